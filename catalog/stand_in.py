@@ -19,14 +19,14 @@ REACH = """
 SELECT CAST(p_partkey + 1 AS BIGINT) AS reach_id,
   CASE WHEN p_partkey = 0 OR (p_partkey + 1) % 97 = 3 THEN NULL
        ELSE CAST(((p_partkey + 1) - (p_partkey + 1) % 2) / 2 AS BIGINT) END AS down_id,
-  500.0 + 100.0 * p_size AS length_m,
-  0.0005 * (1 + (p_partkey + 1) % 40) AS slope,
-  CAST(0.1 + 0.01 * (p_size % 30) AS DOUBLE) AS x,
-  CAST(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 5.0 + p_size END AS DOUBLE) AS top_width,
-  CAST(CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 0.5 + p_size / 10.0 END AS DOUBLE) AS side_slope,
-  CAST(((p_partkey + 1) * 37 % 1000) / 1000.0 AS DOUBLE) AS n_unit,
-  CAST(((p_partkey + 1) * 91 % 1000) / 1000.0 AS DOUBLE) AS q_unit,
-  CAST(((p_partkey + 1) * 53 % 1000) / 1000.0 AS DOUBLE) AS p_unit
+  500.0E0 + 100.0E0 * p_size AS length_m,
+  0.0005E0 * (1 + (p_partkey + 1) % 40) AS slope,
+  CAST(0.1E0 + 0.01E0 * (p_size % 30) AS DOUBLE) AS x,
+  CAST(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 5.0E0 + p_size END AS DOUBLE) AS top_width,
+  CAST(CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 0.5E0 + p_size / 10.0E0 END AS DOUBLE) AS side_slope,
+  CAST(((p_partkey + 1) * 37 % 1000) / 1000.0E0 AS DOUBLE) AS n_unit,
+  CAST(((p_partkey + 1) * 91 % 1000) / 1000.0E0 AS DOUBLE) AS q_unit,
+  CAST(((p_partkey + 1) * 53 % 1000) / 1000.0E0 AS DOUBLE) AS p_unit
 FROM part"""
 
 FLOWPATH = f"""
@@ -41,7 +41,7 @@ SELECT concat('wb-', reach_id) AS id,
   CASE WHEN down_id IS NULL THEN concat('nex-', 900000000 + reach_id % 5) ELSE concat('nex-', down_id) END AS toid,
   CASE WHEN reach_id % 19 <= 1 THEN concat('gages-', lpad(CAST((reach_id - reach_id % 19) / 19 AS VARCHAR(12)), 8, '0'))
        ELSE NULL END AS hl_uri,
-  CAST(reach_id % 1013 AS DOUBLE) + 0.5 AS tot_drainage_areasqkm
+  CAST(reach_id % 1013 AS DOUBLE) + 0.5E0 AS tot_drainage_areasqkm
 FROM reach
 UNION ALL
 SELECT concat('nex-', down_id) AS id, concat('wb-', down_id) AS toid, NULL AS hl_uri, NULL AS tot_drainage_areasqkm
@@ -50,41 +50,41 @@ FROM reach WHERE down_id IS NOT NULL"""
 GAUGE = """
 SELECT lpad(CAST(s_suppkey AS VARCHAR(12)), 8, '0') AS staid, s_name AS name,
   CAST(s_suppkey * 19 + 1 AS BIGINT) AS reach_id,
-  abs(s_acctbal) + 1.0 AS drain_sqkm,
-  abs(s_acctbal) + 1.0 + ((s_suppkey % 9) - 3) * 10.5 AS comid_drain_sqkm,
-  CAST(CASE WHEN s_suppkey % 11 = 5 THEN NULL ELSE 5.0 + s_suppkey % 40 END AS DOUBLE) AS comid_unitarea_sqkm,
-  CAST(CASE WHEN s_suppkey % 13 = 7 THEN NULL ELSE abs((s_suppkey % 9) - 3) * 10.5 END AS DOUBLE) AS abs_diff,
+  abs(s_acctbal) + 1.0E0 AS drain_sqkm,
+  abs(s_acctbal) + 1.0E0 + ((s_suppkey % 9) - 3) * 10.5E0 AS comid_drain_sqkm,
+  CAST(CASE WHEN s_suppkey % 11 = 5 THEN NULL ELSE 5.0E0 + s_suppkey % 40 END AS DOUBLE) AS comid_unitarea_sqkm,
+  CAST(CASE WHEN s_suppkey % 13 = 7 THEN NULL ELSE abs((s_suppkey % 9) - 3) * 10.5E0 END AS DOUBLE) AS abs_diff,
   CASE WHEN s_suppkey % 17 = 4 THEN NULL ELSE s_suppkey % 5 <> 2 END AS da_valid
 FROM supplier"""
 
 INFLOW_HOURLY = f"""
-SELECT CAST(event_id % {N} + 1 AS BIGINT) AS reach_id, date_trunc('hour', ts) AS ts, avg(value) * 0.1 AS qr
+SELECT CAST(event_id % {N} + 1 AS BIGINT) AS reach_id, date_trunc('hour', ts) AS ts, avg(value) * 0.1E0 AS qr
 FROM events GROUP BY 1, 2"""
 
 INFLOW_DAILY = f"""
-SELECT CAST(event_id % {N} + 1 AS BIGINT) AS reach_id, CAST(ts AS DATE) AS d, avg(value) * 0.1 AS qr
+SELECT CAST(event_id % {N} + 1 AS BIGINT) AS reach_id, CAST(ts AS DATE) AS d, avg(value) * 0.1E0 AS qr
 FROM events GROUP BY 1, 2"""
 
 OBSERVED = """
 SELECT lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR(12)), 8, '0') AS staid,
   CAST(date_add(DATE '2024-01-01', CAST(o_orderkey % 30 AS INT)) AS DATE) AS d,
-  avg(o_totalprice) / 1000.0 AS streamflow
+  avg(o_totalprice) / 1000.0E0 AS streamflow
 FROM orders GROUP BY 1, 2"""
 
 SERIES = """
-SELECT o_custkey % 50 AS gauge, o_orderkey AS step, coalesce(s, 0.0) / 1000.0 AS pred,
-  CAST(CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice / 1000.0 END AS DOUBLE) AS target
+SELECT o_custkey % 50 AS gauge, o_orderkey AS step, coalesce(s, 0.0E0) / 1000.0E0 AS pred,
+  CAST(CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice / 1000.0E0 END AS DOUBLE) AS target
 FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY l_orderkey) l
   ON l_orderkey = o_orderkey"""
 
 ATTRIBUTES = """
 SELECT CAST(p_partkey + 1 AS BIGINT) AS reach_id,
-  CAST(p_size AS DOUBLE) AS cly_pc_sav, p_retailprice / 100.0 AS ari_ix_sav,
+  CAST(p_size AS DOUBLE) AS cly_pc_sav, p_retailprice / 100.0E0 AS ari_ix_sav,
   CAST(CASE WHEN p_partkey % 10 = 4 THEN NULL ELSE p_retailprice END AS DOUBLE) AS ele_mt_sav,
-  CAST(p_partkey % 701 AS DOUBLE) AS pre_mm_syr, p_size / 50.0 AS ndv_ix_sav,
+  CAST(p_partkey % 701 AS DOUBLE) AS pre_mm_syr, p_size / 50.0E0 AS ndv_ix_sav,
   CAST(p_partkey % 37 AS DOUBLE) AS slp_dg_sav, CAST((p_partkey * 7) % 5003 AS DOUBLE) AS upa_sk_smx,
   CAST(100 - p_size AS DOUBLE) AS snd_pc_sav, CAST(p_partkey % 997 AS DOUBLE) AS pet_mm_syr,
-  CAST((p_partkey % 89) / 89.0 AS DOUBLE) AS por_pc_sav
+  CAST((p_partkey % 89) / 89.0E0 AS DOUBLE) AS por_pc_sav
 FROM part"""
 
 DERIVED = {
