@@ -149,14 +149,17 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=8)
 def _network(app: str, sf_dir: str):
     from rillflow.operators.baseline import gauge_structure
+    from rillflow.operators.layout import layout
     from rillflow.operators.network import adjacency, ordered
     from rillflow.operators.topology import topology
+    from rillflow.plans.problem import piece_limit
     from rillflow.scratch import store
 
     spark = SparkSession.getActiveSession()
     links = flow(spark, sf_dir)
     topo = topology(links)
     order = store(ordered(links, topo), "order")
+    limit = piece_limit(topo.count(), spark.sparkContext.defaultParallelism)
     gauge_topo, segment = gauge_structure(links, table(spark, sf_dir, "gauge"))
     return {
         "topo": topo,
@@ -164,6 +167,8 @@ def _network(app: str, sf_dir: str):
         "pairs": store(adjacency(order), "adjacency"),
         "gauge_topo": gauge_topo,
         "segment": segment,
+        "limit": limit,
+        "plan": layout(topo, limit),
     }
 
 
