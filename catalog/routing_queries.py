@@ -63,7 +63,7 @@ def _params(spark, sf_dir):
 
 def _routed(spark, sf_dir, scheme):
     t = network(spark, sf_dir)
-    return route(t["plan"], _params(spark, sf_dir), table(spark, sf_dir, "inflow_hourly"), START, scheme, t["limit"])
+    return route(t["plan"], _params(spark, sf_dir), table(spark, sf_dir, "inflow_hourly"), START, scheme)
 
 
 @query(
@@ -132,7 +132,7 @@ def _lti(spark, sf_dir, kind):
     scheme = Scheme(n_hours=HOURS, chunk=240)
     params = lti.lti_parameters(flow(spark, sf_dir))
     routed = route(
-        t["plan"], params, table(spark, sf_dir, "inflow_hourly"), START, scheme, t["limit"], stepper=lti.lti_stepper(kind, 96)
+        t["plan"], params, table(spark, sf_dir, "inflow_hourly"), START, scheme, stepper=lti.lti_stepper(kind, 96)
     )
     g = table(spark, sf_dir, "gauge")
     at_gauge = g.select("staid", "reach_id")
@@ -275,7 +275,7 @@ def b_stream_route(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet").select(
         (F.col("event_id") % n + 1).alias("reach_id"), "ts", (F.col("value") * 0.1).alias("flow")
     )
-    router = StepRouter(t["plan"], _params(spark, sf_dir), t["limit"])
+    router = StepRouter(t["plan"], _params(spark, sf_dir))
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
     q = stream_router(stream, router, START, out, check)
     q.processAllAvailable()

@@ -13,15 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.operators.ranking import row_numbers
 from rillflow.operators.topology import topology
 from rillflow.scratch import store
 
 
 def layout(topo: DataFrame, limit: int) -> DataFrame:
-    """Written table ``reach_id, piece_id, stage, level, inner_down, out_down, to_stage``.
+    """Written table ``reach_id, piece_id, stage, bundle, level, inner_down, out_down, to_stage``.
 
     ``inner_down`` is the downstream reach inside the piece, ``out_down`` the one the piece
-    drains into, which belongs to a piece of the later stage ``to_stage``.
+    drains into, which belongs to a piece of the later stage ``to_stage``. The pieces of a
+    bundle are computed by one task.
     """
     part = F.floor(F.col("size") / F.lit(limit))
     below = topo.select(F.col("reach_id").alias("down_id"), part.alias("_below"))
@@ -48,8 +50,10 @@ def layout(topo: DataFrame, limit: int) -> DataFrame:
         .select(F.col("piece_id").alias("reach_id"), F.col("to_piece").alias("down_id"))
     )
     order = topology(pieces).select(F.col("reach_id").alias("piece_id"), F.col("level").alias("stage"), F.col("down_id").alias("to_piece"))
-    stages = order.select(F.col("piece_id").alias("to_piece"), F.col("stage").alias("to_stage"))
-    plan = order.join(stages, "to_piece", "left").select("piece_id", "stage", "to_stage")
+    sizes = placed.groupBy("piece_id").agg(F.count("*").alias("_n"))
+    packed = store(_pack(order.join(sizes, "piece_id"), limit), "bundles")
+    stages = packed.select(F.col("piece_id").alias("to_piece"), F.col("stage").alias("to_stage"))
+    plan = packed.join(stages, "to_piece", "left").select("piece_id", "stage", "bundle", "to_stage")
     return store(
         placed.join(plan, "piece_id").select(
             "reach_id",
@@ -58,24 +62,33 @@ def layout(topo: DataFrame, limit: int) -> DataFrame:
             "inner_down",
             "out_down",
             F.col("stage").cast("int"),
+            F.col("bundle").cast("int"),
             F.when(F.col("out_down").isNotNull(), F.col("to_stage")).cast("int").alias("to_stage"),
         ),
         "layout",
     )
 
 
-def stage_sizes(plan: DataFrame) -> list[tuple[int, int]]:
-    """(stage, reaches) in order; one row per stage reaches the driver."""
-    return [(r[0], r[1]) for r in plan.groupBy("stage").count().orderBy("stage").collect()]
-
-
-def bundles(plan: DataFrame, sizes: list[tuple[int, int]], limit: int) -> tuple[DataFrame, dict[int, int]]:
-    """Give each piece a bundle within its stage, so that small pieces share a task."""
-    counts = {stage: max(1, -(-n // limit)) for stage, n in sizes}
-    per_stage = plan.sparkSession.createDataFrame([(s, n) for s, n in counts.items()], "stage int, _bundles int")
+def _pack(pieces: DataFrame, limit: int) -> DataFrame:
+    """Bundle per piece within its stage: large pieces alone, small ones sharing by hash."""
+    large = F.col("_n") * 4 >= F.lit(limit)
+    ranked = row_numbers(
+        pieces.withColumn("_large", large.cast("int")), [F.col("_large").desc(), F.col("_n").desc(), F.col("piece_id")], ["stage"]
+    )
     # one row per stage: always small
-    with_count = plan.join(F.broadcast(per_stage), "stage")
-    return (
-        with_count.withColumn("bundle", F.pmod(F.xxhash64("piece_id"), F.col("_bundles")).cast("int")).drop("_bundles"),
-        counts,
+    totals = F.broadcast(
+        pieces.groupBy("stage").agg(
+            F.count_if(large).alias("_alone"),
+            F.greatest(F.ceil(F.sum(F.when(~large, F.col("_n"))) / F.lit(limit)), F.lit(1)).alias("_shared"),
+        )
     )
+    shared = F.col("_alone") + F.pmod(F.xxhash64("piece_id"), F.col("_shared"))
+    return ranked.join(totals, "stage").select(
+        "piece_id", "stage", "to_piece", F.when(F.col("_large") == 1, F.col("rn") - 1).otherwise(shared).alias("bundle")
+    )
+
+
+def stage_tasks(plan: DataFrame) -> list[tuple[int, int]]:
+    """(stage, bundles) in order; one row per stage reaches the driver."""
+    rows = plan.groupBy("stage").agg(F.max("bundle").alias("b")).orderBy("stage").collect()
+    return [(r.stage, r.b + 1) for r in rows]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rillflow.scratch import store
@@ -30,7 +30,7 @@ def check_dendritic(flow: DataFrame) -> DataFrame:
 
 def _double(flow: DataFrame) -> tuple[DataFrame, int, bool]:
     """Run the rounds; returns the last state, their number, and whether all paths ended."""
-    state = store(
+    state, seen = _store_counted(
         flow.select(
             F.col("reach_id").cast("long"),
             F.col("down_id").cast("long"),
@@ -40,15 +40,23 @@ def _double(flow: DataFrame) -> tuple[DataFrame, int, bool]:
             F.lit(1).cast("long").alias("size"),
             F.lit(0).cast("long").alias("level"),
             F.array().cast("array<bigint>").alias("jumps"),
-        ),
-        "topology",
+        )
     )
-    limit = max(1, math.ceil(math.log2(max(2, state.count())))) + 1
+    limit = max(1, math.ceil(math.log2(max(2, seen["rows"])))) + 1
     for r in range(limit):
-        if state.filter(F.col("jump").isNotNull()).isEmpty():
+        if not seen["live"]:
             return state, r, True
-        state = store(_round(state, r), "topology")
-    return state, limit, state.filter(F.col("jump").isNotNull()).isEmpty()
+        state, seen = _store_counted(_round(state, r))
+    return state, limit, not seen["live"]
+
+
+def _store_counted(state: DataFrame) -> tuple[DataFrame, dict]:
+    """Write a state; rows and live pointers are counted while it is written."""
+    watch = Observation()
+    counted = state.observe(
+        watch, F.count(F.lit(1)).alias("rows"), F.count("jump").alias("live")
+    )
+    return store(counted, "topology"), watch.get
 
 
 def _round(state: DataFrame, r: int) -> DataFrame:

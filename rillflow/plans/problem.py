@@ -64,8 +64,8 @@ class RoutingProblem:
 
 
 def piece_limit(n_reaches: int, parallelism: int, low: int = 256, high: int = 4096) -> int:
-    """Pieces small enough to occupy all cores several times, and bounded in memory."""
-    return max(low, min(high, n_reaches // max(1, 4 * parallelism)))
+    """Pieces small enough to occupy all cores, few enough to keep the number of stages low, bounded in memory."""
+    return max(low, min(high, n_reaches // max(1, parallelism)))
 
 
 def build_problem(
@@ -136,7 +136,7 @@ def run(problem: RoutingProblem, params: DataFrame, inflow: DataFrame, state: Da
     scheme = replace(problem.scheme, carry=state is not None)
     wanted = problem.plan.select("reach_id")
     return route(
-        problem.plan, params, inflow.join(wanted, "reach_id", "left_semi"), problem.start, scheme, problem.limit, state
+        problem.plan, params, inflow.join(wanted, "reach_id", "left_semi"), problem.start, scheme, state
     )
 
 

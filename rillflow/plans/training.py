@@ -22,7 +22,7 @@ from rillflow.operators import cleaning, kan
 from rillflow.operators.adjoint import DIRECTIONS, pull_back
 from rillflow.operators.gauges import complete_gauges
 from rillflow.operators.kernel import Scheme, advance, first_state
-from rillflow.operators.layout import bundles, stage_sizes
+from rillflow.operators.layout import stage_tasks
 from rillflow.operators.resample import trimmed_slice
 from rillflow.operators.routing import (
     BOUNDARY,
@@ -123,11 +123,10 @@ class Trainer:
             raise ValueError("training needs the whole window in one chunk")
         unit = store(predict_parameters(problem, attributes, stats, self.shape, self.weights), "unit")
         params = channel_parameters(problem, unit).withColumn("slope", F.greatest("slope", F.lit(scheme.slope_min)))
-        sizes = stage_sizes(problem.plan)
-        placed, counts = bundles(problem.plan, sizes, problem.limit)
+        tasks = stage_tasks(problem.plan)
         if "flow_scale" not in params.columns:
             params = params.withColumn("flow_scale", F.lit(1.0))
-        work, root = self._forward(problem, params, inflow, placed, sizes, counts)
+        work, root = self._forward(problem, params, inflow, tasks)
         routed = (
             spark.read.schema(f"{OUT_SCHEMA}, stage int")
             .parquet(root)
@@ -164,7 +163,7 @@ class Trainer:
         seeds = by_reach.select(
             "reach_id", F.col("_s._o").alias("ints"), F.col("_s._g").alias("a"), F.col("_s._w").alias("b")
         )
-        grads = self._backward(problem, placed, sizes, counts, work, root, seeds)
+        grads = self._backward(problem, tasks, work, root, seeds)
         return row.loss, self._network_gradient(problem, attributes, stats, unit, params, grads)
 
     def _window(self, problem, obs):
@@ -175,7 +174,8 @@ class Trainer:
         grid = each.select("staid", F.date_add(first, F.col("_i")).alias("d"))
         return grid.join(obs.select("staid", "d", "streamflow"), ["staid", "d"], "left")
 
-    def _forward(self, problem, params, inflow, placed, sizes, counts):
+    def _forward(self, problem, params, inflow, tasks):
+        placed = problem.plan
         from rillflow.operators.routing import NUMBERS
 
         none = F.lit(-1).cast("long")
@@ -192,11 +192,11 @@ class Trainer:
         )
         work = store(static.unionByName(lateral), "work", ["stage"])
         root = scratch_path(work.sparkSession, "forward")
-        for stage, _ in sizes:
+        for stage, n_bundles in tasks:
             todo = work.filter(F.col("stage") == stage).select(*IN)
             if stage > 0:
                 todo = todo.unionByName(self._arrived(work.sparkSession, root, placed, stage))
-            self._run(todo, counts[stage], partial(_forward_rows, scheme=problem.scheme), f"{root}/stage={stage}")
+            self._run(todo, n_bundles, partial(_forward_rows, scheme=problem.scheme), f"{root}/stage={stage}")
         return work, root
 
     def _arrived(self, spark, root, placed, stage):
@@ -212,7 +212,8 @@ class Trainer:
             step, OUT_SCHEMA
         ).write.partitionBy("kind", "to_stage").parquet(path)
 
-    def _backward(self, problem, placed, sizes, counts, work, forward_root, seeds) -> DataFrame:
+    def _backward(self, problem, tasks, work, forward_root, seeds) -> DataFrame:
+        placed = problem.plan
         spark = work.sparkSession
         root = scratch_path(spark, "backward")
         seeded = store(
@@ -223,7 +224,7 @@ class Trainer:
         )
         feeders = store(placed.filter("out_down IS NOT NULL").select("stage", "bundle", F.col("out_down").alias("reach_id")).distinct(), "feeders")
         done = False
-        for stage, _ in reversed(sizes):
+        for stage, n_bundles in reversed(tasks):
             todo = work.filter(F.col("stage") == stage).select(*IN)
             todo = todo.unionByName(seeded.filter(F.col("stage") == stage).select(*IN))
             if stage > 0:
@@ -235,7 +236,7 @@ class Trainer:
                     F.lit(None).cast("array<bigint>").alias("ints"), "a", "b",
                 )
                 todo = todo.unionByName(back)
-            self._run(todo, counts[stage], partial(gradient_rows, scheme=problem.scheme), f"{root}/stage={stage}")
+            self._run(todo, n_bundles, partial(gradient_rows, scheme=problem.scheme), f"{root}/stage={stage}")
             done = True
         grads = spark.read.schema(f"{OUT_SCHEMA}, stage int").parquet(root).filter(F.col("kind") == GRADIENT)
         return grads.select("reach_id", *[F.col("a")[i].alias(f"d_{n}") for i, n in enumerate(DIRECTIONS[1:])])
