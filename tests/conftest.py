@@ -13,7 +13,12 @@ def spark():
     session = build_session(
         "tests",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g"},
+        **{
+            "spark.sql.shuffle.partitions": "2",
+            "spark.sql.adaptive.enabled": "false",  # tiny inputs: one job per action is quicker
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "6g",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
