@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.ids import zero_filled
 from rillflow.functions.values import ft3_to_m3, null_if_nan
+from rillflow.operators.ranking import row_numbers
 from rillflow.operators.resample import check_coverage, in_period
 from rillflow.sources.schemas import GAUGE_NAMES, GAUGE_OPTIONAL, GAUGE_REQUIRED, INFLOW, OBSERVED, ZONES
 
@@ -132,14 +133,17 @@ def read_station_ids(spark: SparkSession, path: str, separator: str = ",", colum
 def read_aligned_columns(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     """Headerless one-value-per-line files whose lines belong together, as one table.
 
-    Lines get their position from the order in the file: a file read without splitting keeps
-    it, and ids grow with it.
+    A line's position follows from the start of its file block and its order within the
+    block, so large files may be split over tasks.
     """
     out = None
     for name, path in files.items():
-        lines = spark.read.option("wholetext", True).text(path)
-        values = lines.select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("pos", "v"))
-        column = values.select("pos", F.trim("v").cast("double").alias(name))
+        lines = spark.read.text(path).select(
+            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), "value"
+        )
+        filled = lines.filter(F.trim("value") != "")
+        placed = row_numbers(filled, [F.col("_block"), F.col("_line")], name="pos")
+        column = placed.select("pos", F.trim("value").cast("double").alias(name))
         out = column if out is None else out.join(column, "pos", "full")
     return out
 
