@@ -104,6 +104,8 @@ def area_downsample(df: DataFrame, key: str, index: str, value: str, length: int
     Bin b averages samples floor(b*length/bins) .. ceil((b+1)*length/bins)-1; when the
     bins do not divide the length neighbouring bins share a sample, which is then emitted twice.
     """
+    if bins > length:
+        raise ValueError(f"cannot spread {length} samples over {bins} bins")
     i = F.col(index).cast("long")
     first = F.floor(i * F.lit(bins) / F.lit(length))
     # the next bin starts at or before this sample when its own floor reaches back to it
