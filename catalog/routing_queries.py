@@ -141,7 +141,12 @@ def _lti(spark, sf_dir, kind):
     return series.groupBy("staid", F.floor(F.col("hour_idx") / 24).alias("day")).agg(F.avg("q").alias("q"))
 
 
-# Response of a linear store per reach: y[t] = a * y[t-1] + (1 - a) * u[t], a = exp(-dt/k)
+# Unit responses as recursions on the reach's inflow u = lateral + upstream outflow.
+# Linear store: y[t] = a * y[t-1] + (1 - a) * u[t], a = exp(-dt/k)
+STORE_STEP = """exp(-(1e0 / 24) / 0.1042e0) * coalesce(hy[1], 0e0) + (1 - exp(-(1e0 / 24) / 0.1042e0)) * (lat[t + 1] + sy)"""
+# Muskingum: y[t] = c0 * u[t] + c1 * u[t-1] + c2 * y[t-1], starting from rest
+MUSKINGUM_STEP = """((1e0 / 24 - 2 * 0.1042e0 * 0.3e0) * (lat[t + 1] + sy) + (1e0 / 24 + 2 * 0.1042e0 * 0.3e0) * coalesce(hu[1], 0e0)
+      + (2 * 0.1042e0 * 0.7e0 - 1e0 / 24) * coalesce(hy[1], 0e0)) / (2 * 0.1042e0 * 0.7e0 + 1e0 / 24)"""
 LTI_SQL = (
     LEVELS
     + DENSE
@@ -152,7 +157,7 @@ LTI_SQL = (
   SELECT CAST(0 AS BIGINT) AS d, reach_id, CAST([] AS DOUBLE[]) AS hy, CAST([] AS DOUBLE[]) AS hu FROM stat
   UNION ALL
   SELECT d + 1, reach_id, CASE WHEN t < 0 THEN hy ELSE list_prepend(CASE WHEN t < 720 THEN
-      exp(-(1e0 / 24) / 0.1042e0) * coalesce(hy[1], 0e0) + (1 - exp(-(1e0 / 24) / 0.1042e0)) * (lat[t + 1] + sy) END, hy)[1:20] END, hu
+      RESPONSE END, hy)[1:20] END, CASE WHEN t < 0 THEN hu ELSE [lat[t + 1] + sy] END
   FROM (SELECT g.d, g.reach_id, g.d - c.level AS t, g.hy, g.hu, g.sy, c.lat
     FROM (SELECT d, target AS reach_id, any_value(hy) AS hy, any_value(hu) AS hu, sum(yc) AS sy
       FROM (SELECT s.d, CASE WHEN i = 0 THEN s.reach_id ELSE c.down_id END AS target, CASE WHEN i = 0 THEN s.hy END AS hy, CASE WHEN i = 0 THEN s.hu END AS hu,
@@ -167,14 +172,34 @@ WHERE g.reach_id IN (SELECT down_id FROM reach WHERE down_id IS NOT NULL) GROUP
 )
 
 
-@query("x_lti_storage", with_tables("reach", "inflow_hourly", "gauge", recursive=True, body=LTI_SQL))
+@query("x_lti_storage", with_tables("reach", "inflow_hourly", "gauge", recursive=True, body=LTI_SQL.replace("RESPONSE", STORE_STEP)))
 def x_lti_storage(spark, sf_dir):
     return _lti(spark, sf_dir, "linear_storage").withColumn("q", F.round("q", 6))
 
 
-@query("x_lti_muskingum")
+@query(
+    "x_state_carried",
+    with_tables("reach", "inflow_hourly", recursive=True, body=ROUTED + "SELECT reach_id, round(q, 4) AS q FROM routed WHERE hour_idx = 719"),
+)
+def x_state_carried(spark, sf_dir):
+    """Two runs of fifteen days, the second from the state of the first; one row per reach."""
+    from dataclasses import replace
+
+    from rillflow.operators.routing import final_state
+
+    t = network(spark, sf_dir)
+    inflow = table(spark, sf_dir, "inflow_hourly")
+    scheme = Scheme(n_hours=361, chunk=240)
+    half = route(t["plan"], _params(spark, sf_dir), inflow, START, scheme)
+    later = route(
+        t["plan"], _params(spark, sf_dir), inflow, datetime(2024, 1, 16), replace(scheme, n_hours=360, carry=True), final_state(half, scheme)
+    )
+    return final_state(later, replace(scheme, n_hours=360)).select("reach_id", F.round("q", 4).alias("q"))
+
+
+@query("x_lti_muskingum", with_tables("reach", "inflow_hourly", "gauge", recursive=True, body=LTI_SQL.replace("RESPONSE", MUSKINGUM_STEP)))
 def x_lti_muskingum(spark, sf_dir):
-    return _lti(spark, sf_dir, "muskingum")
+    return _lti(spark, sf_dir, "muskingum").withColumn("q", F.round("q", 6))
 
 
 @query("x_lti_hayami")
@@ -264,9 +289,23 @@ def x_train_step(spark, sf_dir):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "step int, loss double")
 
 
-@query("b_stream_route")
+@query(
+    "b_stream_route",
+    with_tables(
+        "reach",
+        "inflow_hourly",
+        recursive=True,
+        body=ROUTED.replace("coalesce(i.qr, 0.001)", "coalesce(i.qr, 0e0)")
+        + """SELECT reach_id, CAST(DATE '2024-01-01' + CAST(floor(hour_idx / 24) AS INT) AS DATE) AS d, round(avg(q), 4) AS discharge
+          FROM routed WHERE hour_idx BETWEEN 1 AND (SELECT date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', max(ts)) FROM events) GROUP BY 1, 2""",
+    ),
+)
 def b_stream_route(spark, sf_dir):
-    """The event file as a stream, routed hour by hour behind the watermark."""
+    """The event file as a stream, routed hour by hour behind the watermark.
+
+    Unlike the batch run, hours without events carry no inflow, and the values stand at the
+    end of each hour.
+    """
     from rillflow.streaming.stepwise import StepRouter, stream_router
 
     t = network(spark, sf_dir)
@@ -281,7 +320,9 @@ def b_stream_route(spark, sf_dir):
     q.processAllAvailable()
     q.stop()
     done = spark.read.parquet(f"{out}/epoch=*")
-    return done.groupBy("reach_id", F.to_date("ts").alias("d")).agg(F.avg("discharge").alias("discharge"), F.max("depth").alias("depth"))
+    hour = F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"))) / 3600)
+    day = F.date_add(F.lit(date(2024, 1, 1)), F.floor(hour / 24).cast("int"))
+    return done.groupBy("reach_id", day.alias("d")).agg(F.round(F.avg("discharge"), 4).alias("discharge"))
 
 
 @query(
