@@ -130,11 +130,10 @@ CYCLIC = """, looped AS (
 def g_drop_cycles(spark, sf_dir):
     """Links cut by the stand-in are turned into two-reach cycles and self-loops, then removed again."""
     k = F.col("reach_id")
-    n = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count("*").alias("n_reach"))
-    reaches = flow(spark, sf_dir).withColumn("_k", F.lit(1)).join(F.broadcast(n.withColumn("_k", F.lit(1))), "_k")
-    looped = reaches.select(
+    n = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
+    looped = flow(spark, sf_dir).select(
         "reach_id",
-        F.when((k % 97 == 3) & (k % 2 == 0) & (k * 2 <= F.col("n_reach")), k * 2)
+        F.when((k % 97 == 3) & (k % 2 == 0) & (k * 2 <= n), k * 2)
         .when((k % 97 == 3) & (k % 5 == 0), k)
         .otherwise(F.col("down_id"))
         .alias("down_id"),

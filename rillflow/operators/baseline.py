@@ -22,26 +22,21 @@ def summed_inflow(
 ) -> DataFrame:
     """``staid, d, pred``: sum of all upstream inflow per gauge and day, 0 when all is missing.
 
+    ``calendar`` is gapless; its ends limit the scan of the inflow.
+
     The long inflow table is read once and at once reduced to one row per (gauge, day),
     by the nearest gauge below each reach; only these few rows then move from gauge to
     gauge. No row is repeated for each of the nested gauges that it counts towards.
     """
-    days = calendar.select("d")
+    first, last = calendar.agg(F.min("d")).scalar(), calendar.agg(F.max("d")).scalar()
     local = (
-        inflow.join(days, "d", "left_semi")
+        inflow.filter((F.col("d") >= first) & (F.col("d") <= last))
         .join(segment, "reach_id")
         .groupBy(F.col("marked_id").alias("reach_id"), "d")
         .agg(F.sum(null_if_nan(F.col("qr"))).alias("_s"))
     )
     # one row per gauge reach and day, whether or not there was inflow
-    each_day = F.explode(F.sequence(F.lit(0), F.col("_days") - 1))
-    span = days.agg(F.min("d").alias("_from"), F.count("*").cast("int").alias("_days")).withColumn("_k", F.lit(1))
-    grid = (
-        gauge_topo.select("reach_id", F.lit(1).alias("_k"))
-        .join(F.broadcast(span), "_k")
-        .select("reach_id", "_from", each_day.alias("_i"))
-        .select("reach_id", F.expr("date_add(_from, _i)").alias("d"))
-    )
+    grid = gauge_topo.select("reach_id", F.explode(F.sequence(first, last)).alias("d"))
     dense = grid.join(local, ["reach_id", "d"], "left").select("reach_id", "d", F.coalesce("_s", F.lit(0.0)).alias("pred"))
     total = accumulate(dense, gauge_topo, ["d"], "pred")
     ids = gauges.select("staid", F.col("reach_id").cast("long").alias("reach_id"))

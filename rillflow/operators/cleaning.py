@@ -51,12 +51,9 @@ def statistics_row(stats: DataFrame, names: list[str], fields: tuple[str, ...] =
 
 
 def with_statistics(df: DataFrame, stats: DataFrame, names: list[str], fields=("mean", "std")) -> DataFrame:
-    """Attach the single row of statistics to every row.
-
-    The other side is one aggregated row whatever the data size, so it is sent to all tasks.
-    """
-    one = statistics_row(stats, names, fields).withColumn("_k", F.lit(1))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
+    """Attach ``_stats``, a struct of all statistics, by a scalar subquery that is evaluated once."""
+    one = statistics_row(stats, names, fields)
+    return df.withColumn("_stats", one.select(F.struct(*one.columns)).scalar())
 
 
 def fill_and_standardize(df: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
@@ -64,7 +61,9 @@ def fill_and_standardize(df: DataFrame, stats: DataFrame, names: list[str]) -> D
     wide = with_statistics(df, stats, names)
     out = [c for c in df.columns if c not in names]
     scores = [
-        zscore(F.coalesce(null_if_nan(F.col(n)), F.col(f"{n}_mean")), F.col(f"{n}_mean"), F.col(f"{n}_std")).alias(n)
+        zscore(
+            F.coalesce(null_if_nan(F.col(n)), F.col(f"_stats.{n}_mean")), F.col(f"_stats.{n}_mean"), F.col(f"_stats.{n}_std")
+        ).alias(n)
         for n in names
     ]
     return wide.select(*out, *scores)
@@ -72,11 +71,11 @@ def fill_and_standardize(df: DataFrame, stats: DataFrame, names: list[str]) -> D
 
 def fill_with_finite_mean(df: DataFrame, names: list[str]) -> DataFrame:
     """Missing values take the mean of all finite values of the column (stays NULL if none)."""
-    means = df.agg(*[F.avg(finite_or_null(F.col(n))).alias(f"_m_{n}") for n in names]).withColumn("_k", F.lit(1))
-    wide = df.withColumn("_k", F.lit(1)).join(F.broadcast(means), "_k")
+    means = df.agg(F.struct(*[F.avg(finite_or_null(F.col(n))).alias(n) for n in names]))
+    wide = df.withColumn("_means", means.scalar())
     return wide.select(
         *[
-            F.coalesce(null_if_nan(F.col(c)), F.col(f"_m_{c}")).alias(c) if c in names else F.col(c)
+            F.coalesce(null_if_nan(F.col(c)), F.col(f"_means.{c}")).alias(c) if c in names else F.col(c)
             for c in df.columns
         ]
     )
@@ -88,8 +87,8 @@ def out_of_distribution(df: DataFrame, stats: DataFrame, names: list[str]) -> Da
     items = [
         F.struct(
             F.lit(n).alias("attr"),
-            F.count_if(F.col(n) < F.col(f"{n}_p10")).alias("n_below"),
-            F.count_if(F.col(n) > F.col(f"{n}_p90")).alias("n_above"),
+            F.count_if(F.col(n) < F.col(f"_stats.{n}_p10")).alias("n_below"),
+            F.count_if(F.col(n) > F.col(f"_stats.{n}_p90")).alias("n_above"),
         )
         for n in names
     ]

@@ -147,16 +147,20 @@ def nearest_marked(flow: DataFrame, marked: DataFrame) -> DataFrame:
     )
 
 
-def accumulate(values: DataFrame, topo: DataFrame, keys: list[str], value: str, rounds: int | None = None) -> DataFrame:
-    """Sum ``value`` over each reach and everything upstream, separately per ``keys``.
+def accumulate(
+    values: DataFrame, topo: DataFrame, keys: list[str], value: str | list[str], rounds: int | None = None
+) -> DataFrame:
+    """Sum values over each reach and everything upstream, separately per ``keys``.
 
     ``values`` holds one row per (reach, keys) for *every* reach of ``topo``. Each round
     sends a running sum 2^r steps downstream; sums are combined before each shuffle.
+    Several value columns move in one row, which costs far less than a key column.
     """
+    names = [value] if isinstance(value, str) else list(value)
     if rounds is None:
         rounds = topo.agg(F.max(F.size("jumps"))).head()[0] or 0
     ahead = [F.get("jumps", F.lit(r)).alias(f"_j{r}") for r in range(rounds)]
-    state = values.select("reach_id", *keys, F.col(value).cast("double").alias("_v")).join(
+    state = values.select("reach_id", *keys, *[F.col(n).cast("double").alias(n) for n in names]).join(
         topo.select("reach_id", *ahead), "reach_id"
     )
     for r in range(rounds):
@@ -168,11 +172,11 @@ def accumulate(values: DataFrame, topo: DataFrame, keys: list[str], value: str,
         out = F.when(F.col(f"_j{r}").isNotNull(), F.array(stay, move)).otherwise(F.array(stay))
         # plain long columns keep this a hash aggregate; a moved row brings no pointers of its own
         state = (
-            state.select(F.explode(out).alias("_e"), *keys, "_v")
+            state.select(F.explode(out).alias("_e"), *keys, *names)
             .groupBy(F.col("_e.reach_id").alias("reach_id"), *keys)
-            .agg(F.sum("_v").alias("_v"), *[F.max(f"_e.{name}").alias(name) for name in later])
+            .agg(*[F.sum(n).alias(n) for n in names], *[F.max(f"_e.{name}").alias(name) for name in later])
         )
-    return state.select("reach_id", *keys, F.col("_v").alias(value))
+    return state.select("reach_id", *keys, *names)
 
 
 def downstream_pairs(topo: DataFrame) -> DataFrame:

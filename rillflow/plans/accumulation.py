@@ -17,22 +17,33 @@ def hot_start(inflow: DataFrame, topo: DataFrame, discharge_min: float = MINIMUM
     return total.select("reach_id", at_least(F.col("q"), discharge_min).alias("q"))
 
 
-def reach_days(topo: DataFrame, days: DataFrame) -> DataFrame:
-    """One row per reach and day of a gapless calendar."""
-    span = days.agg(F.min("d").alias("_from"), F.count("*").cast("int").alias("_n")).withColumn("_k", F.lit(1))
-    each = topo.select("reach_id", F.lit(1).alias("_k")).join(F.broadcast(span), "_k")
-    return each.select("reach_id", "_from", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i")).select(
-        "reach_id", F.expr("date_add(_from, _i)").alias("d")
-    )
+DAYS_PER_ROW = 16
 
 
 def daily_discharge(
     inflow: DataFrame, topo: DataFrame, days: DataFrame, discharge_min: float = MINIMUMS["discharge"]
 ) -> DataFrame:
-    """``reach_id, d, q`` for every reach and day; inflow is floored before it is summed."""
-    grid = reach_days(topo, days)
-    filled = grid.join(inflow.select("reach_id", "d", "qr"), ["reach_id", "d"], "left").select(
-        "reach_id", "d", at_least(inflow_or_default(F.col("qr")), discharge_min).alias("q")
+    """``reach_id, d, q`` for every reach and day of a gapless calendar; inflow is floored before it is summed.
+
+    Runs of days travel as columns of one row, so each round of the accumulation moves one
+    row per reach and run instead of one per reach and day.
+    """
+    first, last = days.agg(F.min("d")).scalar(), days.agg(F.max("d")).scalar()
+    names = [f"_q{i}" for i in range(DAYS_PER_ROW)]
+    offset = F.date_diff("d", first)
+    inside = inflow.filter((F.col("d") >= first) & (F.col("d") <= last))
+    slots = inside.select(
+        "reach_id", F.floor(offset / DAYS_PER_ROW).alias("_run"), F.pmod(offset, F.lit(DAYS_PER_ROW)).alias("_i"), "qr"
+    )
+    wide = slots.groupBy("reach_id", "_run").agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("qr"))).alias(n) for i, n in enumerate(names)]
+    )
+    runs = F.sequence(F.lit(0).cast("long"), F.floor(F.date_diff(last, first) / DAYS_PER_ROW))
+    grid = topo.select("reach_id", F.explode(runs).alias("_run"))
+    filled = grid.join(wide, ["reach_id", "_run"], "left").select(
+        "reach_id", "_run", *[at_least(inflow_or_default(F.col(n)), discharge_min).alias(n) for n in names]
     )
-    total = accumulate(filled, topo, ["d"], "q")
-    return total.select("reach_id", "d", at_least(F.col("q"), discharge_min).alias("q"))
+    total = accumulate(filled, topo, ["_run"], names)
+    day = F.date_add(first, (F.col("_run") * DAYS_PER_ROW + F.col("_i")).cast("int"))
+    long = total.select("reach_id", "_run", F.posexplode(F.array(*names)).alias("_i", "_q"))
+    return long.select("reach_id", day.alias("d"), at_least(F.col("_q"), discharge_min).alias("q")).filter(F.col("d") <= last)
