@@ -10,10 +10,11 @@ from catalog.network_queries import LEVELS
 from catalog.registry import query
 from catalog.stand_in import base, flow, network, table, with_tables
 from catalog.value_queries import DENSE, _native, _physical
-from rillflow.operators import cleaning, kan, lti, metrics
+from rillflow.operators import cleaning, kan, lti
 from rillflow.operators.kernel import Scheme
 from rillflow.operators.network import gauge_outflow
 from rillflow.operators.routing import gauge_hydrographs, hourly, route
+from rillflow.plans import comparison
 from rillflow.plans import problem as prob
 from rillflow.scratch import scratch_path
 
@@ -349,22 +350,88 @@ def b_stream_daily(spark, sf_dir):
     return spark.read.schema("d date, reach_id bigint, qr double").parquet(out)
 
 
-@query("x_benchmark")
-def x_benchmark(spark, sf_dir):
-    """Scores of the nonlinear router, the linear router and the unrouted sum at the same gauges."""
+COMPARED = (
+    ROUTED
+    + """, bridge AS (SELECT g.staid, w.reach_id FROM gauge g JOIN walk w ON w.below_id = g.reach_id)
+, days AS (SELECT CAST(DATE '2024-01-01' + CAST(i AS INT) AS DATE) AS d FROM range(30) t(i))
+, mc AS (SELECT g.staid, CAST(DATE '2024-01-01' + CAST(floor(o.hour_idx / 24) AS INT) AS DATE) AS d, sum(o.q) / 24 AS pred FROM gauge g
+    JOIN reach r ON r.down_id = g.reach_id JOIN routed o ON o.reach_id = r.reach_id GROUP BY 1, 2)
+, summed AS (SELECT g.staid, days.d, coalesce(s.q, 0.0) AS pred FROM gauge g CROSS JOIN days
+    LEFT JOIN (SELECT b.staid, i.d, sum(i.qr) AS q FROM bridge b JOIN inflow_daily i ON i.reach_id = b.reach_id GROUP BY 1, 2) s ON s.staid = g.staid AND s.d = days.d)
+"""
+)
+
+
+def _models(spark, sf_dir):
     from catalog.network_queries import _summed
 
     scheme = Scheme(n_hours=HOURS, chunk=240)
     t = network(spark, sf_dir)
-    outflow = gauge_outflow(table(spark, sf_dir, "gauge"), t["pairs"])
+    g = table(spark, sf_dir, "gauge")
     day = F.date_add(F.lit(date(2024, 1, 1)), F.floor(F.col("hour_idx") / 24).cast("int"))
-    mc = gauge_hydrographs(_routed(spark, sf_dir, scheme), outflow, START, scheme).groupBy("staid", day.alias("d")).agg(F.avg("q").alias("pred"))
-    linear = _lti(spark, sf_dir, "muskingum").select("staid", F.date_add(F.lit(date(2024, 1, 1)), F.col("day").cast("int")).alias("d"), F.col("q").alias("pred"))
-    models = (
-        mc.withColumn("model", F.lit("muskingum_cunge"))
-        .unionByName(linear.withColumn("model", F.lit("linear")))
-        .unionByName(_summed(spark, sf_dir).withColumn("model", F.lit("summed")))
-    )
-    obs = table(spark, sf_dir, "observed").select("staid", "d", F.col("streamflow").alias("target"))
-    both = models.join(obs, ["staid", "d"], "left").withColumn("gauge", F.concat_ws("|", "model", "staid"))
-    return metrics.moment_scores(both).select("gauge", "n", "bias", "rmse", "nse", "kge")
+    series = gauge_hydrographs(_routed(spark, sf_dir, scheme), gauge_outflow(g, t["pairs"]), START, scheme)
+    daily = series.groupBy("staid", day.alias("d")).agg(F.avg("q").alias("pred"))
+    links = g.join(t["pairs"].select(F.col("dn_id").alias("reach_id")), "reach_id", "left_semi")
+    return {"muskingum_cunge": comparison.without_headwaters(daily, links), "summed": _summed(spark, sf_dir)}
+
+
+@query(
+    "x_benchmark",
+    with_tables(
+        "reach",
+        "inflow_hourly",
+        "inflow_daily",
+        "gauge",
+        "observed",
+        recursive=True,
+        body=COMPARED
+        + """, stacked AS (SELECT 'muskingum_cunge' AS model, staid, d, pred FROM mc UNION ALL
+            SELECT 'summed', s.staid, s.d, s.pred FROM summed s JOIN mc ON mc.staid = s.staid AND mc.d = s.d)
+        , pair AS (SELECT b.*, o.streamflow AS t, avg(o.streamflow) OVER (PARTITION BY b.model, b.staid) AS tm FROM stacked b
+            LEFT JOIN observed o ON o.staid = b.staid AND o.d = b.d)
+        SELECT model, staid, count(t) AS n, round(avg(pred - t), 4) AS bias, round(sqrt(avg((pred - t) * (pred - t))), 4) AS rmse,
+          round(1 - sum((t - pred) * (t - pred)) / sum((t - tm) * (t - tm)), 4) AS nse FROM pair GROUP BY 1, 2""",
+    ),
+)
+def x_benchmark(spark, sf_dir):
+    """Routed and unrouted predictions at the gauges and days that both have."""
+    obs = table(spark, sf_dir, "observed")
+    out = comparison.compare(_models(spark, sf_dir), obs)
+    return out.select("model", "staid", "n", *[F.round(c, 4).alias(c) for c in ("bias", "rmse", "nse")])
+
+
+@query(
+    "x_mass_balance",
+    with_tables(
+        "reach",
+        "inflow_hourly",
+        "inflow_daily",
+        "gauge",
+        recursive=True,
+        body=COMPARED
+        + """SELECT s.staid, round(CASE WHEN sum(s.pred) = 0 THEN 1.0 ELSE abs(sum(mc.pred) - sum(s.pred)) / sum(s.pred) END, 5) AS mass_error
+          FROM summed s JOIN mc ON mc.staid = s.staid AND mc.d = s.d GROUP BY 1""",
+    ),
+)
+def x_mass_balance(spark, sf_dir):
+    m = _models(spark, sf_dir)
+    return comparison.balance(m["muskingum_cunge"], m["summed"]).select("staid", F.round("mass_error", 5).alias("mass_error"))
+
+
+@query(
+    "i_resolve",
+    with_tables(
+        "nexus_network",
+        body="""SELECT raw, CASE WHEN raw LIKE 'wb-%' THEN raw WHEN EXISTS (SELECT 1 FROM nexus_network n WHERE n.id = 'wb-' || CAST(TRY_CAST(substr(raw, 5) AS DOUBLE) AS BIGINT))
+            THEN 'wb-' || CAST(TRY_CAST(substr(raw, 5) AS DOUBLE) AS BIGINT) END AS id
+          FROM (SELECT CASE WHEN substr(id, 4)::INT % 3 = 0 THEN 'cat-' || substr(id, 4) || '.0' ELSE id END AS raw FROM nexus_network WHERE id LIKE 'wb-%')""",
+    ),
+)
+def i_resolve(spark, sf_dir):
+    """Ids in another spelling found by their number."""
+    from rillflow.operators.network import resolve_ids
+
+    wb = table(spark, sf_dir, "nexus_network").filter(F.col("id").startswith("wb-"))
+    number = F.expr("substring(id, 4)")
+    raw = F.when(number.cast("int") % 3 == 0, F.concat(F.lit("cat-"), number, F.lit(".0"))).otherwise(F.col("id"))
+    return resolve_ids(wb.select(raw.alias("raw")), wb)

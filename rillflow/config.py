@@ -138,3 +138,17 @@ def load_config(path: str, overrides: list[str] | None = None) -> Config:
 def save_config(config: Config, folder: str) -> None:
     Path(folder).mkdir(parents=True, exist_ok=True)
     (Path(folder) / "config.json").write_text(json.dumps(asdict(config), indent=2, default=str))
+
+
+def describe() -> str:
+    """All settings and their defaults as Markdown tables."""
+    out = []
+    for section in (Config, DataSources, Params, Kan, Experiment):
+        out += [f"### {section.__name__}", "", "| setting | type | default |", "|---|---|---|"]
+        blank = section()
+        for f in fields(section):
+            value = getattr(blank, f.name)
+            shown = f"see {type(value).__name__}" if is_dataclass(value) else f"`{value!r}`"
+            out.append(f"| `{f.name}` | `{f.type}` | {shown} |")
+        out.append("")
+    return "\n".join(out)

@@ -221,6 +221,15 @@ def load_checkpoint(spark: SparkSession, path: str):
     return shape, arrays(body["weights"]), adam, row.epoch, row.mini_batch, body["seed"]
 
 
+def latest_checkpoint(spark: SparkSession, folder: str) -> str:
+    """Most recently written checkpoint below ``folder``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    if not len(found):
+        raise FileNotFoundError(folder)
+    return max((f.getModificationTime(), f.getPath().toString()) for f in found)[1]
+
+
 def learning_rate(schedule: dict[int, float], epoch: int) -> float:
     """Rate of the epoch, else of the nearest earlier entry, else the first one."""
     earlier = [e for e in schedule if e <= epoch]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.values import null_if_nan
-from rillflow.operators.ranking import average_rank, row_numbers
+from rillflow.operators.ranking import row_numbers
 
 MOMENT_SCORES = ("bias", "mae", "rmse", "ub_rmse", "corr", "nse", "r2", "pbias", "kge", "kge_12")
 SPLIT_SCORES = ("flv", "fhv", "pbias_mid", "rmse_low", "rmse_high", "rmse_mid")
@@ -108,17 +108,23 @@ def _pairs_with_id(df: DataFrame, gauge: str, order: str) -> DataFrame:
     return s.filter(F.col("p").isNotNull() & F.col("t").isNotNull())
 
 
-def split_scores(df: DataFrame, gauge: str = "gauge", order: str = "step") -> DataFrame:
+def paired_ranks(df: DataFrame, gauge: str = "gauge", order: str = "step") -> dict[str, DataFrame]:
+    """Positions of predictions and of targets among the usable pairs of each gauge."""
+    pairs = _pairs_with_id(df, gauge, order)
+    return {
+        c: row_numbers(pairs.select("_g", "_o", F.col(c).alias("_v")), [F.col("_v"), F.col("_o")], ["_g"], "_pos")
+        for c in ("p", "t")
+    }
+
+
+def split_scores(df: DataFrame, gauge: str = "gauge", order: str = "step", ranks: dict[str, DataFrame] | None = None) -> DataFrame:
     """Low, middle and high flow errors on independently sorted series.
 
     Low is the first round(0.3 n), high starts at round(0.98 n), halves rounding to even.
     """
-    pairs = _pairs_with_id(df, gauge, order)
+    ranks = ranks or paired_ranks(df, gauge, order)
     sides = [
-        row_numbers(pairs.select("_g", "_o", F.col(c).alias("_v")), [F.col("_v"), F.col("_o")], ["_g"], "_pos").select(
-            "_g", "_pos", F.col("_pos_total").alias("_n"), F.col("_v").alias(c)
-        )
-        for c in ("p", "t")
+        ranks[c].select("_g", "_pos", F.col("_pos_total").alias("_n"), F.col("_v").alias(c)) for c in ("p", "t")
     ]
     ranked = sides[0].join(sides[1].drop("_n"), ["_g", "_pos"])
     low_end = F.bround(F.col("_n") * F.lit(0.3))
@@ -158,11 +164,14 @@ def duration_score(df: DataFrame, gauge: str = "gauge", order: str = "step") ->
     return p.join(t, [gauge, "i"]).groupBy(gauge).agg(F.sqrt(F.avg(d * d)).alias("fdc_rmse"))
 
 
-def rank_correlation(df: DataFrame, gauge: str = "gauge", order: str = "step") -> DataFrame:
-    pairs = _pairs_with_id(df, gauge, order)
-    ranked = average_rank(pairs, ["_g"], "p", ["_o"], "_rp")
-    ranked = average_rank(ranked, ["_g"], "t", ["_o"], "_rt")
-    return ranked.groupBy(F.col("_g").alias(gauge)).agg(
+def rank_correlation(df: DataFrame, gauge: str = "gauge", order: str = "step", ranks: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Spearman's r; tied values share the mean of their positions."""
+    ranks = ranks or paired_ranks(df, gauge, order)
+    sides = []
+    for c in ("p", "t"):
+        ties = ranks[c].groupBy("_g", "_v").agg(F.avg("_pos").alias(f"_r{c}"))
+        sides.append(ranks[c].join(ties, ["_g", "_v"]).select("_g", "_o", f"_r{c}"))
+    return sides[0].join(sides[1], ["_g", "_o"]).groupBy(F.col("_g").alias(gauge)).agg(
         F.when(F.count("*") > 1, correlation(F.col("_rp"), F.col("_rt"))).alias("corr_spearman")
     )
 
@@ -170,7 +179,12 @@ def rank_correlation(df: DataFrame, gauge: str = "gauge", order: str = "step") -
 def all_scores(df: DataFrame, gauge: str = "gauge", order: str = "step") -> DataFrame:
     """All 18 scores; gauges without a usable pair keep a row of NULLs."""
     checked = check_predictions(df)
-    parts = [split_scores(checked, gauge, order), duration_score(checked, gauge, order), rank_correlation(checked, gauge, order)]
+    ranks = paired_ranks(checked, gauge, order)
+    parts = [
+        split_scores(checked, gauge, order, ranks),
+        duration_score(checked, gauge, order),
+        rank_correlation(checked, gauge, order, ranks),
+    ]
     joined = reduce(lambda left, right: left.join(right, gauge, "left"), parts, moment_scores(checked, gauge))
     return joined.select(gauge, "n", *ALL_SCORES)
 

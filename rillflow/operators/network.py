@@ -232,3 +232,18 @@ def nexus_targets(flowpaths: DataFrame) -> DataFrame:
         .groupBy(number_of(F.col("toid")).cast("long").alias("nexus_id"))
         .agg(F.max(number_of(F.col("id")).cast("long")).alias("reach_id"))
     )
+
+
+def resolve_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """``raw, id``: each raw id as it is stored, else the stored ``wb-<number>`` of the same number."""
+    plain = known.select("id").distinct()
+    number = F.coalesce(F.split_part("raw", F.lit("-"), F.lit(2)), F.lit(""))
+    digits = F.when(number != "", number).otherwise(F.col("raw"))
+    rewritten = F.concat(F.lit("wb-"), digits.try_cast("double").cast("long").cast("string"))
+    direct = plain.select(F.col("id").alias("raw"), F.col("id").alias("_direct"))
+    return (
+        wanted.select("raw", rewritten.alias("_other"))
+        .join(direct, "raw", "left")
+        .join(plain.select(F.col("id").alias("_other"), F.col("id").alias("_found")), "_other", "left")
+        .select("raw", F.coalesce("_direct", "_found").alias("id"))
+    )

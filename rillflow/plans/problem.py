@@ -14,7 +14,7 @@ from rillflow.operators import cleaning, kan
 from rillflow.operators.gauges import segment_flow_scale
 from rillflow.operators.kernel import Scheme
 from rillflow.operators.layout import layout
-from rillflow.operators.network import adjacency, gauge_outflow, ordered, target_network
+from rillflow.operators.network import gauge_outflow, target_network
 from rillflow.operators.resample import daily_runoff
 from rillflow.operators.routing import gauge_hydrographs, hourly, route
 from rillflow.operators.topology import topology
@@ -99,7 +99,8 @@ def build_problem(
     scheme = Scheme(n_hours=(end - start).days * 24, chunk=chunk_hours, hold=hold)
     problem = RoutingProblem(flow, layout(topo, limit), limit, source.reaches(), scheme, start_ts, gauges)
     if gauges is not None:
-        problem.outflow = gauge_outflow(gauges, adjacency(ordered(flow, topo)))
+        links = flow.filter("down_id IS NOT NULL").select(F.col("down_id").alias("dn_id"), F.col("reach_id").alias("up_id"))
+        problem.outflow = store(gauge_outflow(gauges, links), "outflow")
     return problem
 
 

@@ -20,12 +20,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet table at a local, shared or object-store path (``s3a://bucket/prefix``)."""
-    if not path_exists(spark, path):
-        raise FileNotFoundError(path)
+def read_table(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
+    """Parquet table at one or several local, shared or object-store paths (``s3a://bucket/prefix``)."""
+    paths = [path] if isinstance(path, str) else list(path)
+    for p in paths:
+        if not path_exists(spark, p):
+            raise FileNotFoundError(p)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(*paths)
 
 
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str]:
