@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.network_queries import LEVELS
 from catalog.registry import query
 from catalog.stand_in import base, flow, network, table, with_tables
-from catalog.value_queries import DENSE, _native, _physical
+from catalog.value_queries import DENSE, GEO_COLUMNS, NATIVE, PHYSICAL, _native, _physical
 from rillflow.operators import cleaning, kan, lti
 from rillflow.operators.kernel import Scheme
 from rillflow.operators.network import gauge_outflow
@@ -244,17 +244,73 @@ def _learned(spark, sf_dir):
     return kan.predict(cleaning.fill_and_standardize(joined, stats, names), SHAPE, kan.initial_weights(SHAPE, 42))
 
 
-@query("m_kan")
+def _numbers(values) -> str:
+    return "[" + ", ".join(f"{float(v)!r}" if "e" in repr(float(v)) else f"{float(v)!r}e0" for v in values) + "]"
+
+
+def network_sql() -> str:
+    """The spline network as list arithmetic: quadratic B-splines in their piecewise form."""
+    w = kan.initial_weights(SHAPE, 42)
+    first, h = float(kan.knots(SHAPE)[0]), 2.0 / SHAPE.grid
+    count = SHAPE.grid + SHAPE.k
+    u = f"((v - ({first!r}e0)) / {h!r}e0 - b)"
+    bump = (
+        f"CASE WHEN {u} >= 0 AND {u} < 1 THEN {u} * {u} / 2 WHEN {u} >= 1 AND {u} < 2 THEN (-2 * {u} * {u} + 6 * {u} - 3) / 2 "
+        f"WHEN {u} >= 2 AND {u} < 3 THEN (3 - {u}) * (3 - {u}) / 2 ELSE 0e0 END"
+    )
+    scores = ", ".join(f"(coalesce({n}, m_{n}) - m_{n}) / s_{n}" for n in SHAPE.inputs)
+    moments = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in SHAPE.inputs)
+    hidden = range(SHAPE.hidden)
+    linear = ", ".join(f"list_dot_product(z, {_numbers(w['in_w'][o])}) + ({float(w['in_b'][o])!r}e0)" for o in hidden)
+    out = f""", z AS (SELECT reach_id, [{scores}] AS z FROM native, (SELECT {moments} FROM native) s)
+, a0 AS (SELECT reach_id, [{linear}] AS a FROM z)
+"""
+    for i in range(SHAPE.layers):
+        mix = w[f"scale_{i}"][..., None] * w[f"coef_{i}"]
+        rows = ", ".join(
+            f"list_dot_product(smooth, {_numbers(w[f'base_{i}'][o])}) + list_dot_product(bumps, {_numbers(mix[o].ravel())})" for o in hidden
+        )
+        out += f""", f{i} AS (SELECT reach_id, list_transform(a, lambda v: v / (1 + exp(-v))) AS smooth,
+  flatten(list_transform(a, lambda v: list_transform(range({count}), lambda b: {bump}))) AS bumps FROM a{i})
+, a{i + 1} AS (SELECT reach_id, [{rows}] AS a FROM f{i})
+"""
+    final = ", ".join(
+        f"1 / (1 + exp(-(list_dot_product(a, {_numbers(w['out_w'][o])}) + ({float(w['out_b'][o])!r}e0)))) AS {n}" for o, n in enumerate(SHAPE.outputs)
+    )
+    return out + f", learned AS (SELECT reach_id, {final} FROM a{SHAPE.layers})\n"
+
+
+@query(
+    "m_kan",
+    with_tables("attributes", body=NATIVE + network_sql() + "SELECT reach_id, " + ", ".join(f"round({n}, 8) AS {n}" for n in SHAPE.outputs) + " FROM learned"),
+)
 def m_kan(spark, sf_dir):
-    return _learned(spark, sf_dir)
+    return _learned(spark, sf_dir).select("reach_id", *[F.round(n, 8).alias(n) for n in SHAPE.outputs])
 
 
-@query("x_geometry")
+@query(
+    "x_geometry",
+    with_tables(
+        "attributes",
+        "reach",
+        body=NATIVE
+        + network_sql()
+        + """, phys AS (SELECT r.reach_id, greatest(r.slope, 0.001e0) AS slope, 0.5e0 + r.length_m / 1000 AS flow, l.n * (0.25e0 - 0.015e0) + 0.015e0 AS n,
+            l.q_spatial AS q, exp(l.p_spatial * (ln(200e0) - ln(1.000001e0)) + ln(1.000001e0)) AS p FROM reach r JOIN learned l USING (reach_id))
+          """
+        + PHYSICAL[PHYSICAL.index(", d0 AS") : PHYSICAL.index(", cel AS")]
+        + "SELECT reach_id, round(n, 6) AS n, round(p, 5) AS p_spatial, round(q, 6) AS q_spatial, "
+        + ", ".join(f"round({c}, 5) AS {c}" for c in GEO_COLUMNS)
+        + " FROM geo",
+    ),
+)
 def x_geometry(spark, sf_dir):
     native = _native(spark, sf_dir)
     stats = cleaning.attribute_statistics(native, list(SHAPE.inputs))
     at = table(spark, sf_dir, "reach").select("reach_id", "slope", (F.lit(0.5) + F.col("length_m") / 1000).alias("q"))
-    return prob.geometry_prediction(native, stats, SHAPE, kan.initial_weights(SHAPE, 42), at)
+    out = prob.geometry_prediction(native, stats, SHAPE, kan.initial_weights(SHAPE, 42), at)
+    digits = {"n": 6, "q_spatial": 6}
+    return out.select("reach_id", *[F.round(c, digits.get(c, 5)).alias(c) for c in out.columns if c != "reach_id"])
 
 
 @query("x_evaluate")
