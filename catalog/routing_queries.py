@@ -128,12 +128,12 @@ def x_route_mass(spark, sf_dir):
     return out.join(into, "outlet").select("outlet", F.round("routed", 6).alias("routed"), F.round("inflow", 6).alias("inflow"))
 
 
-def _lti(spark, sf_dir, kind):
+def _lti(spark, sf_dir, kind, memory=96):
     t = network(spark, sf_dir)
     scheme = Scheme(n_hours=HOURS, chunk=240)
     params = lti.lti_parameters(flow(spark, sf_dir))
     routed = route(
-        t["plan"], params, table(spark, sf_dir, "inflow_hourly"), START, scheme, stepper=lti.lti_stepper(kind, 96)
+        t["plan"], params, table(spark, sf_dir, "inflow_hourly"), START, scheme, stepper=lti.lti_stepper(kind, memory)
     )
     g = table(spark, sf_dir, "gauge")
     at_gauge = g.select("staid", "reach_id")
@@ -158,7 +158,7 @@ LTI_SQL = (
   SELECT CAST(0 AS BIGINT) AS d, reach_id, CAST([] AS DOUBLE[]) AS hy, CAST([] AS DOUBLE[]) AS hu FROM stat
   UNION ALL
   SELECT d + 1, reach_id, CASE WHEN t < 0 THEN hy ELSE list_prepend(CASE WHEN t < 720 THEN
-      RESPONSE END, hy)[1:20] END, CASE WHEN t < 0 THEN hu ELSE [lat[t + 1] + sy] END
+      RESPONSE END, hy)[1:20] END, CASE WHEN t < 0 THEN hu ELSE HISTORY END
   FROM (SELECT g.d, g.reach_id, g.d - c.level AS t, g.hy, g.hu, g.sy, c.lat
     FROM (SELECT d, target AS reach_id, any_value(hy) AS hy, any_value(hu) AS hu, sum(yc) AS sy
       FROM (SELECT s.d, CASE WHEN i = 0 THEN s.reach_id ELSE c.down_id END AS target, CASE WHEN i = 0 THEN s.hy END AS hy, CASE WHEN i = 0 THEN s.hu END AS hu,
@@ -173,7 +173,17 @@ WHERE g.reach_id IN (SELECT down_id FROM reach WHERE down_id IS NOT NULL) GROUP
 )
 
 
-@query("x_lti_storage", with_tables("reach", "inflow_hourly", "gauge", recursive=True, body=LTI_SQL.replace("RESPONSE", STORE_STEP)))
+def linear_sql(step: str, history: str = "[lat[t + 1] + sy]") -> str:
+    return LTI_SQL.replace("RESPONSE", step).replace("HISTORY", history)
+
+
+# Any response: dot product with the inflow of the last hours
+HAYAMI_HOURS = 48
+HAYAMI_TAPS = "[" + ", ".join(f"{v:.17e}" for v in lti.unit_response("hayami", lti.DEFAULT_K_DAYS, lti.DEFAULT_X, HAYAMI_HOURS, 1 / 24)) + "]"
+HAYAMI_STEP = f"list_dot_product(list_prepend(lat[t + 1] + sy, hu)[1:{HAYAMI_HOURS}], {HAYAMI_TAPS}[1:least(t + 1, {HAYAMI_HOURS})])"
+
+
+@query("x_lti_storage", with_tables("reach", "inflow_hourly", "gauge", recursive=True, body=linear_sql(STORE_STEP)))
 def x_lti_storage(spark, sf_dir):
     return _lti(spark, sf_dir, "linear_storage").withColumn("q", F.round("q", 6))
 
@@ -198,14 +208,23 @@ def x_state_carried(spark, sf_dir):
     return final_state(later, replace(scheme, n_hours=360)).select("reach_id", F.round("q", 4).alias("q"))
 
 
-@query("x_lti_muskingum", with_tables("reach", "inflow_hourly", "gauge", recursive=True, body=LTI_SQL.replace("RESPONSE", MUSKINGUM_STEP)))
+@query("x_lti_muskingum", with_tables("reach", "inflow_hourly", "gauge", recursive=True, body=linear_sql(MUSKINGUM_STEP)))
 def x_lti_muskingum(spark, sf_dir):
     return _lti(spark, sf_dir, "muskingum").withColumn("q", F.round("q", 6))
 
 
-@query("x_lti_hayami")
+@query(
+    "x_lti_hayami",
+    with_tables(
+        "reach",
+        "inflow_hourly",
+        "gauge",
+        recursive=True,
+        body=linear_sql(HAYAMI_STEP, f"list_prepend(lat[t + 1] + sy, hu)[1:{HAYAMI_HOURS - 1}]"),
+    ),
+)
 def x_lti_hayami(spark, sf_dir):
-    return _lti(spark, sf_dir, "hayami")
+    return _lti(spark, sf_dir, "hayami", HAYAMI_HOURS).withColumn("q", F.round("q", 6))
 
 
 SHAPE = kan.KanShape(cleaning.NATIVE_ATTRIBUTES, ("n", "q_spatial", "p_spatial"), hidden=21, layers=2, grid=10, k=2)

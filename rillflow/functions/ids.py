@@ -45,10 +45,11 @@ class IdConverter:
     from_number: ColumnFn
 
 
-_REGISTRY: dict[str, IdConverter] = {
-    "merit": IdConverter(lambda c: c.cast("int"), lambda c: c.cast("int")),
-    "lynker": IdConverter(number_of, lambda c: with_prefix(c.cast("int"), "wb")),
-}
+_INTEGER = IdConverter(lambda c: c.cast("int"), lambda c: c.cast("int"))
+_PREFIXED = IdConverter(number_of, lambda c: with_prefix(c.cast("int"), "wb"))
+
+# Names under which stored networks declare their data set
+_REGISTRY: dict[str, IdConverter] = {"merit": _INTEGER, "lynker": _PREFIXED, "hydrofabric_v2.2": _PREFIXED}
 
 
 def converter_for(dataset: str) -> IdConverter:

@@ -28,7 +28,7 @@ def test_identifiers(spark):
     assert column(spark, ["wb-12", "nex-7.0"], ids.number_of, "string") == [12, 7]
     conv = ids.converter_for("lynker")
     assert column(spark, ["wb-12", "ghost-3"], lambda c: conv.from_number(conv.to_number(c)), "string") == ["wb-12", "wb-3"]
-    with pytest.raises(ValueError, match="lynker, merit"):
+    with pytest.raises(ValueError, match="hydrofabric_v2.2, lynker, merit"):
         ids.converter_for("unknown")
     ids.register_converter("plain", ids.converter_for("merit"))
     assert "plain" in ids.registered()
