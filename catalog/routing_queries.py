@@ -396,7 +396,7 @@ def b_stream_route(spark, sf_dir):
     q.processAllAvailable()
     q.stop()
     done = spark.read.parquet(f"{out}/epoch=*")
-    hour = F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"))) / 3600)
+    hour = F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3600)
     day = F.date_add(F.lit(date(2024, 1, 1)), F.floor(hour / 24).cast("int"))
     return done.groupBy("reach_id", day.alias("d")).agg(F.round(F.avg("discharge"), 4).alias("discharge"))
 

@@ -137,31 +137,33 @@ def daily_runoff(
 
 
 def interpolate(df: DataFrame, key: str, ts: str, value: str, step_hours: int) -> DataFrame:
-    """Linear values at every hour between samples ``step_hours`` apart.
+    """Linear values at every hour between samples ``step_hours`` apart, whatever hour they start at.
 
     Each sample also travels to the slot before it, so that both ends meet by an
     aggregation and no series is ordered in a single task.
     """
-    secs = F.lit(step_hours * 3600)
-    slot = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / secs)
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    slot = F.floor(F.timestamp_diff("SECOND", start, F.col(ts).cast("timestamp_ntz")) / F.lit(step_hours * 3600))
     ends = df.select(
         key,
         F.explode(
             F.array(F.struct(slot.alias("slot"), F.lit(0).alias("side")), F.struct((slot - 1).alias("slot"), F.lit(1).alias("side")))
         ).alias("_e"),
         F.col(value).alias("_v"),
+        F.col(ts).cast("timestamp_ntz").alias("_t"),
     )
     pairs = ends.groupBy(key, F.col("_e.slot").alias("slot")).agg(
         F.max(F.when(F.col("_e.side") == 0, F.col("_v"))).alias("a"),
+        F.max(F.when(F.col("_e.side") == 0, F.col("_t"))).alias("t"),
         F.max(F.when(F.col("_e.side") == 1, F.col("_v"))).alias("b"),
     )
     h = F.col("h").cast("double") / F.lit(float(step_hours))
     return (
         pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .select(key, "slot", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(step_hours - 1))).alias("h"))
+        .select(key, "t", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(step_hours - 1))).alias("h"))
         .select(
             key,
-            F.timestamp_seconds(F.col("slot") * secs + F.col("h") * 3600).alias("ts"),
+            (F.col("t") + F.make_dt_interval(hours=F.col("h"))).alias("ts"),
             ((F.lit(1.0) - h) * F.col("a") + h * F.col("b")).alias(value),
         )
     )

@@ -145,6 +145,14 @@ def test_daily_runoff_lengths(spark):
     assert resample.trimmed_slice(240, 11) == (24, 24)  # an end at zero leaves nothing
 
 
+def test_interpolation_keeps_the_phase_of_the_samples(spark):
+    rows = [("k", datetime(2024, 1, 1, 1) + timedelta(hours=3 * i), float(v)) for i, v in enumerate([0, 3, 9])]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    got = {r.ts: r.v for r in resample.interpolate(df, "k", "ts", "v", 3).collect()}
+    want = [0, 1, 2, 3, 5, 7]
+    assert got == {datetime(2024, 1, 1, 1 + i): pytest.approx(v) for i, v in enumerate(want)}
+
+
 def test_coverage_errors(spark):
     df = spark.createDataFrame([(datetime(2020, 1, 1),), (datetime(2020, 2, 1),)], "ts timestamp_ntz")
     resample.check_coverage(df, "ts", datetime(2020, 1, 1), datetime(2020, 1, 31))
