@@ -9,7 +9,7 @@ database.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -135,8 +135,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return base(spark, sf_dir, name)
     sql, needs = DERIVED[name]
     inputs = {n: table(spark, sf_dir, n) for n in needs}
-    import re
-
     for n in needs:
         sql = re.sub(rf"(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
     return spark.sql(sql, **inputs)
@@ -146,8 +144,10 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "reach").select("reach_id", "down_id")
 
 
-@lru_cache(maxsize=8)
-def _network(app: str, sf_dir: str):
+_BUILT: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from rillflow.operators.baseline import gauge_structure
     from rillflow.operators.layout import layout
     from rillflow.operators.network import adjacency, ordered
@@ -155,7 +155,6 @@ def _network(app: str, sf_dir: str):
     from rillflow.plans.problem import piece_limit
     from rillflow.scratch import store
 
-    spark = SparkSession.getActiveSession()
     links = flow(spark, sf_dir)
     topo = topology(links)
     order = store(ordered(links, topo), "order")
@@ -178,4 +177,7 @@ def network(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     Like any network, it is built before it is queried; the building itself is timed and
     checked by its own queries.
     """
-    return _network(spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = _build(spark, sf_dir)
+    return _BUILT[key]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.values import finite_or_null, is_finite, null_if_nan, zscore
+from rillflow.operators.ranking import quantiles
+from rillflow.scratch import store
 
 
 def join_attributes(reaches: DataFrame, attributes: DataFrame, names: list[str]) -> DataFrame:
@@ -22,24 +24,23 @@ def require_match(reaches: DataFrame, attributes: DataFrame) -> None:
 def attribute_statistics(attributes: DataFrame, names: list[str]) -> DataFrame:
     """One row per attribute: min, max, mean, population std, 10th and 90th percentile.
 
-    One pass over the wide table. The exact percentiles keep a count per distinct value
-    and merge partial counts before the shuffle.
+    Moments take one pass over the wide table; the percentiles come from distributed ranks of
+    all attributes at once, as an exact percentile aggregate would gather every value.
     """
-    aggs = []
+    moments = []
     for n in names:
         v = null_if_nan(F.col(n))
-        aggs.append(
+        moments.append(
             F.struct(
-                F.lit(n).alias("attr"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.avg(v).alias("mean"),
-                F.stddev_pop(v).alias("std"),
-                F.percentile(v, F.lit(0.1)).alias("p10"),
-                F.percentile(v, F.lit(0.9)).alias("p90"),
+                F.lit(n).alias("attr"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")
             )
         )
-    return attributes.agg(F.array(*aggs).alias("_s")).select(F.inline("_s"))
+    table = attributes.agg(F.array(*moments).alias("_s")).select(F.inline("_s"))
+    long = attributes.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("attr"), null_if_nan(F.col(n)).alias("v")) for n in names]))
+    )
+    ends = quantiles(long, "v", {"p10": 0.1, "p90": 0.9}, ["attr"])
+    return store(table.join(ends, "attr", "left"), "statistics")
 
 
 def statistics_row(stats: DataFrame, names: list[str], fields: tuple[str, ...] = ("mean", "std")) -> DataFrame:
@@ -98,14 +99,16 @@ def out_of_distribution(df: DataFrame, stats: DataFrame, names: list[str]) -> Da
 def flow_report(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Counts of missing, tiny and negative values, and min, median, max."""
     v = null_if_nan(F.col(value))
-    return df.groupBy(*group).agg(
+    counts = df.groupBy(*group).agg(
         F.count_if(v.isNull()).alias("n_missing"),
         F.count_if(v < 1e-6).alias("n_below_floor"),
         F.count_if(v < 0).alias("n_negative"),
         F.min(v).alias("min"),
-        F.median(v).alias("median"),
         F.max(v).alias("max"),
     )
+    middle = quantiles(df, value, {"median": 0.5}, group)
+    columns = [*group, "n_missing", "n_below_floor", "n_negative", "min", "median", "max"]
+    return counts.join(middle, group, "left").select(*columns)
 
 
 def require_all(df: DataFrame, lookup: DataFrame, key: str) -> None:

@@ -55,3 +55,25 @@ def average_rank(df: DataFrame, group: list[str], value: str, tie_break: list[st
     ranked = row_numbers(df, [F.col(value), *[F.col(c) for c in tie_break]], group, "_pos")
     ties = ranked.groupBy(*group, value).agg(F.avg("_pos").alias(name))
     return ranked.drop("_pos", "_pos_total").join(ties, [*group, value])
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: list[str]) -> DataFrame:
+    """Exact quantiles per group, linear between neighbours: one column per name in ``shares``.
+
+    Missing values are ignored; a group without values is missing from the result. Only the
+    few rows next to the wanted positions are brought together.
+    """
+    kept = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranked = row_numbers(kept, [F.col("_v")], group, "_pos")
+    at = {n: (F.col("_pos_total") - 1) * F.lit(float(p)) for n, p in shares.items()}
+    idx = F.col("_pos") - 1
+    near = [(idx == F.floor(a)) | (idx == F.ceil(a)) for a in at.values()]
+    wanted = near[0]
+    for cond in near[1:]:
+        wanted = wanted | cond
+    aggs = []
+    for n, a in at.items():
+        low = F.max(F.when(idx == F.floor(a), F.col("_v")))
+        high = F.max(F.when(idx == F.ceil(a), F.col("_v")))
+        aggs.append((low + (high - low) * F.max(a - F.floor(a))).alias(n))
+    return ranked.filter(wanted).groupBy(*group).agg(*aggs)

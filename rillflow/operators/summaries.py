@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.hydraulics import MINIMUMS, at_least, trapezoid
 from rillflow.functions.values import clip, finite_or_null, null_if_nan
-from rillflow.operators.ranking import row_numbers
+from rillflow.operators.ranking import quantiles, row_numbers
 
 # Drainage-area classes in km2, right-closed
 AREA_EDGES = (0, 1000, 5000, 10000, 30000, 50000)
@@ -33,17 +33,19 @@ def area_class(area: Column, edges: tuple[int, ...] = AREA_EDGES) -> Column:
     return out
 
 
+BOX = {"p05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "p95": 0.95}
+
+
 def box_statistics(df: DataFrame, value: str, group: list[str], bounds: tuple[float, float] | None = None) -> DataFrame:
     """Whiskers at 5 and 95 percent, quartiles, median and count, values clipped first if asked for."""
+    if not group:
+        raise ValueError("box statistics need at least one grouping column")
     v = null_if_nan(F.col(value))
     if bounds:
         v = clip(v, *bounds)
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return (
-        df.groupBy(*group)
-        .agg(q.alias("_q"), F.count(v).alias("n"))
-        .select(*group, *[F.col("_q")[i].alias(n) for i, n in enumerate(("p05", "q25", "median", "q75", "p95"))], "n")
-    )
+    rows = df.select(*group, v.alias("_x"))
+    counts = rows.groupBy(*group).agg(F.count("_x").alias("n"))
+    return counts.join(quantiles(rows, "_x", BOX, group), group, "left").select(*group, *BOX, "n")
 
 
 def score_change(left: DataFrame, right: DataFrame, key: str, score: str) -> DataFrame:
@@ -69,11 +71,9 @@ def log_histogram(df: DataFrame, value: str, low: float = 0.1, high: float = 100
 
 def value_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Min, median and max of each column."""
-    rows = [
-        F.struct(F.lit(c).alias("name"), F.min(c).alias("min"), F.median(c).alias("median"), F.max(c).alias("max"))
-        for c in columns
-    ]
-    return df.agg(F.array(*rows).alias("_s")).select(F.inline("_s"))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])))
+    ends = long.groupBy("name").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    return ends.join(quantiles(long, "v", {"median": 0.5}, ["name"]), "name", "left").select("name", "min", "median", "max")
 
 
 def routing_summary(discharge: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from rillflow.operators import network as net
 from rillflow.operators import topology as top
 from rillflow.operators.baseline import gauge_structure, summed_inflow
 from rillflow.operators.layout import layout
-from rillflow.operators.ranking import average_rank, row_numbers
+from rillflow.operators.ranking import average_rank, quantiles, row_numbers
 
 
 def make(spark, down):
@@ -162,3 +162,16 @@ def test_ranks_with_hot_group_and_ties(spark):
         if g == "hot":
             below, same = sum(x < v for x in hot), hot.count(v)
             assert ranks[i] == below + (same + 1) / 2
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"big": rng.normal(size=400), "few": rng.normal(size=4), "one": rng.normal(size=1)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in quantiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.95}, ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert (got[g].a, got[g].b, got[g].c) == pytest.approx(tuple(np.quantile(vs, [0.1, 0.5, 0.95])))
