@@ -411,10 +411,12 @@ def b_stream_daily(spark, sf_dir):
     events = base(spark, sf_dir, "events")
     n = base(spark, sf_dir, "part").count()
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
+    # days of the session's time zone
+    midnight = spark.range(1).select(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) % 86400).head()[0]
     daily = (
         stream.select((F.col("event_id") % n + 1).alias("reach_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
         .withWatermark("ts", "0 seconds")
-        .groupBy(F.window("ts", "1 day").alias("w"), "reach_id")
+        .groupBy(F.window("ts", "1 day", startTime=f"{midnight} seconds").alias("w"), "reach_id")
         .agg(F.round(F.avg("value") * 0.1, 7).alias("qr"))
         .select(F.to_date(F.col("w.start")).alias("d"), "reach_id", "qr")
     )

@@ -70,7 +70,8 @@ def chunks_with_lead(days: DataFrame, size: int) -> DataFrame:
 
 def in_period(df: DataFrame, ts: str, start: datetime | date, end: datetime | date) -> DataFrame:
     """Rows of [start, end); a plain comparison, so it prunes partitions and row groups."""
-    return df.filter((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
+    low, high = (F.lit(str(x)).cast("timestamp_ntz") if isinstance(x, datetime) else F.lit(x) for x in (start, end))
+    return df.filter((F.col(ts) >= low) & (F.col(ts) < high))
 
 
 def check_coverage(df: DataFrame, ts: str, start: datetime, end: datetime) -> None:
