@@ -120,7 +120,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a doc_id, min(b) compon
 
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judged(table(spark, sf_dir, "documents"))
+    out = quality.judged(table(spark, sf_dir, "documents"), ["doc_id"])
     counts = [F.col("_rule").getField(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return out.select("doc_id", *counts, F.col("_rule_kept").alias("kept"))
 
