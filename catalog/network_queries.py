@@ -107,7 +107,8 @@ def g_checks(spark, sf_dir):
 
 
 CYCLIC = """, looped AS (
-  SELECT reach_id, CASE WHEN reach_id % 97 = 3 AND reach_id % 2 = 0 AND reach_id * 2 <= (SELECT count(*) FROM part)
+  SELECT reach_id, CASE WHEN reach_id BETWEEN 100 AND 179 AND (SELECT count(*) FROM part) >= 180 THEN CASE WHEN reach_id = 179 THEN 100 ELSE reach_id + 1 END
+         WHEN reach_id % 97 = 3 AND reach_id % 2 = 0 AND reach_id * 2 <= (SELECT count(*) FROM part)
          THEN reach_id * 2 WHEN reach_id % 97 = 3 AND reach_id % 5 = 0 THEN reach_id ELSE down_id END AS down_id
   FROM reach)
 """
@@ -121,19 +122,20 @@ CYCLIC = """, looped AS (
         body=CYCLIC + """, walk AS (
           SELECT reach_id, down_id AS at_id, 1 AS hops FROM looped WHERE down_id IS NOT NULL
           UNION ALL SELECT w.reach_id, l.down_id, w.hops + 1 FROM walk w JOIN looped l ON l.reach_id = w.at_id
-          WHERE l.down_id IS NOT NULL AND w.at_id <> w.reach_id AND w.hops < 60)
+          WHERE l.down_id IS NOT NULL AND w.at_id <> w.reach_id AND w.hops <= (SELECT count(*) FROM part))
         , bad AS (SELECT DISTINCT reach_id FROM walk WHERE at_id = reach_id)
         SELECT reach_id, CASE WHEN down_id IN (SELECT reach_id FROM bad) THEN NULL ELSE down_id END AS down_id
         FROM looped WHERE reach_id NOT IN (SELECT reach_id FROM bad)""",
     ),
 )
 def g_drop_cycles(spark, sf_dir):
-    """Links cut by the stand-in are turned into two-reach cycles and self-loops, then removed again."""
+    """Links cut by the stand-in are turned into two-reach cycles, self-loops and one of eighty reaches, then removed again."""
     k = F.col("reach_id")
     n = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
     looped = flow(spark, sf_dir).select(
         "reach_id",
-        F.when((k % 97 == 3) & (k % 2 == 0) & (k * 2 <= n), k * 2)
+        F.when(k.between(100, 179) & (n >= 180), F.when(k == 179, 100).otherwise(k + 1))
+        .when((k % 97 == 3) & (k % 2 == 0) & (k * 2 <= n), k * 2)
         .when((k % 97 == 3) & (k % 5 == 0), k)
         .otherwise(F.col("down_id"))
         .alias("down_id"),
@@ -323,20 +325,47 @@ def g_virtual_terminal(spark, sf_dir):
 )
 def j_find_origin(spark, sf_dir):
     rows = table(spark, sf_dir, "nexus_network")
-    return net.gauge_origin(table(spark, sf_dir, "gauge"), rows, rows.filter(F.col("id").startswith("wb-")))
+    gauges = table(spark, sf_dir, "gauge")
+    known = gauges.join(net.gauges_without_origin(gauges, rows).select("staid"), "staid", "left_anti")
+    return net.gauge_origin(known, rows, rows.filter(F.col("id").startswith("wb-")))
+
+
+@query(
+    "f_gauges_without_origin",
+    with_tables(
+        "nexus_network",
+        "gauge",
+        body="SELECT staid FROM gauge WHERE staid NOT IN (SELECT substr(hl_uri, 7) FROM nexus_network WHERE id LIKE 'wb-%' AND hl_uri LIKE 'gages-%')",
+    ),
+)
+def f_gauges_without_origin(spark, sf_dir):
+    return net.gauges_without_origin(table(spark, sf_dir, "gauge"), table(spark, sf_dir, "nexus_network")).select("staid")
 
 
 @query(
     "j_nexus_targets",
     with_tables(
         "nexus_network",
-        body="""SELECT CAST(substr(toid, 5) AS BIGINT) AS nexus_id, max(CAST(substr(id, 4) AS BIGINT)) AS reach_id
-          FROM nexus_network WHERE id LIKE 'wb-%' AND toid LIKE 'nex-%' GROUP BY 1""",
+        body="""SELECT nexus_id, reach_id FROM (SELECT CAST(substr(toid, 5) AS BIGINT) AS nexus_id, CAST(substr(id, 4) AS BIGINT) AS reach_id,
+            row_number() OVER (PARTITION BY toid ORDER BY CAST(substr(id, 4) AS BIGINT) * 37 % 10007 DESC) AS rn
+          FROM nexus_network WHERE id LIKE 'wb-%' AND toid LIKE 'nex-%' AND CAST(substr(id, 4) AS BIGINT) % 7 <> 0) WHERE rn = 1""",
     ),
 )
 def j_nexus_targets(spark, sf_dir):
-    rows = table(spark, sf_dir, "nexus_network")
-    return net.nexus_targets(rows.filter(F.col("id").startswith("wb-")))
+    """Several flowpaths per nexus in a row order of their own; a seventh of them is not routed."""
+    rows = table(spark, sf_dir, "nexus_network").filter(F.col("id").startswith("wb-"))
+    number = F.substring("id", 4, 20).cast("long")
+    routed = rows.select(number.alias("reach_id")).filter("reach_id % 7 <> 0")
+    return net.nexus_targets(rows.withColumn("pos", number * 37 % 10007), routed)
+
+
+@query(
+    "j_nexus_identity",
+    with_tables("reach", body="SELECT reach_id AS nexus_id, reach_id FROM reach"),
+)
+def j_nexus_identity(spark, sf_dir):
+    """Without a flowpath table every nexus has the id of its reach."""
+    return net.nexus_targets(None, flow(spark, sf_dir))
 
 
 @query(
@@ -396,13 +425,17 @@ def f_headwater(spark, sf_dir):
     with_tables(
         "reach",
         "gauge",
-        body="""SELECT staid FROM gauge WHERE da_valid AND reach_id IN (SELECT down_id FROM reach WHERE down_id IS NOT NULL)""",
+        body="""SELECT staid, 'flag' AS rule FROM gauge WHERE da_valid AND reach_id IN (SELECT down_id FROM reach WHERE down_id IS NOT NULL)
+          UNION ALL SELECT staid, 'gap' AS rule FROM gauge WHERE abs_diff <= 20.0 AND reach_id IN (SELECT down_id FROM reach WHERE down_id IS NOT NULL)""",
     ),
 )
 def f_training_gauges(spark, sf_dir):
+    """Both rules of the area check: the validity flag where there is one, else the threshold."""
     g = table(spark, sf_dir, "gauge")
     direct = g.join(network(spark, sf_dir)["pairs"].select(F.col("dn_id").alias("reach_id")), "reach_id", "left_semi")
-    return gauges.training_gauges(g.select("staid"), g, direct, threshold=30.0)
+    by_flag = gauges.training_gauges(g.select("staid"), g, direct, threshold=20.0)
+    by_gap = gauges.training_gauges(g.select("staid"), g.drop("da_valid"), direct, threshold=20.0)
+    return by_flag.withColumn("rule", F.lit("flag")).unionByName(by_gap.withColumn("rule", F.lit("gap")))
 
 
 @query(

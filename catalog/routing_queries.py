@@ -26,7 +26,7 @@ HOURS = 720
 ROUTED = (
     LEVELS
     + DENSE
-    + """, stat AS (SELECT r.reach_id, r.down_id, s.level, b.level AS down_level, r.length_m, greatest(r.slope, 0.001e0) AS slope, r.x,
+    + """, stat AS (SELECT r.reach_id, r.down_id, s.level, b.level AS down_level, (SELECT max(level) + 2 FROM shape) AS keep, r.length_m, greatest(r.slope, 0.001e0) AS slope, r.x,
     n_unit * (0.25e0 - 0.015e0) + 0.015e0 AS n, q_unit + 0.000001e0 AS qe, exp(p_unit * (ln(200e0) - ln(1.000001e0)) + ln(1.000001e0)) AS p,
     l.lat, h.hot FROM reach r JOIN shape s ON s.reach_id = r.reach_id LEFT JOIN shape b ON b.reach_id = r.down_id
     JOIN (SELECT reach_id, list(greatest(qr, 0.0001e0) ORDER BY hour_idx) AS lat FROM dense GROUP BY reach_id) l ON l.reach_id = r.reach_id
@@ -34,9 +34,9 @@ ROUTED = (
 , step AS (
   SELECT CAST(0 AS BIGINT) AS d, reach_id, CAST([] AS DOUBLE[]) AS hx, CAST([] AS DOUBLE[]) AS hq FROM stat
   UNION ALL
-  SELECT d + 1, reach_id, CASE WHEN t < 0 THEN hx ELSE list_prepend(nx, hx)[1:20] END,
-    CASE WHEN t < 0 THEN hq ELSE list_prepend(greatest(nx, CASE WHEN nx IS NULL THEN NULL ELSE 0.0001e0 END), hq)[1:20] END
-  FROM (SELECT d, reach_id, t, hx, hq, CASE WHEN t < 0 OR t >= 720 THEN NULL WHEN t = 0 THEN hot
+  SELECT d + 1, reach_id, CASE WHEN t < 0 THEN hx ELSE list_prepend(nx, hx)[1:keep] END,
+    CASE WHEN t < 0 THEN hq ELSE list_prepend(greatest(nx, CASE WHEN nx IS NULL THEN NULL ELSE 0.0001e0 END), hq)[1:keep] END
+  FROM (SELECT d, reach_id, t, hx, hq, keep, CASE WHEN t < 0 OR t >= 720 THEN NULL WHEN t = 0 THEN hot
       ELSE (3600 - 2 * k * x) / den * sx + (3600 + 2 * k * x) / den * sq + (2 * k * (1 - x) - 3600) / den * qp + 7200 / den * lat[t] END AS nx
     FROM (SELECT *, 2 * k * (1 - x) + 3600 AS den FROM (SELECT *, length_m / (least(greatest(1 / n * power(radius, 2e0 / 3e0) * sqrt(slope), 0.01e0), 15e0) * 5e0 / 3e0) AS k
       FROM (SELECT *, ((top + bottom) * depth / 2) / (bottom + 2 * depth * sqrt(1 + side * side)) AS radius
@@ -128,12 +128,12 @@ def x_route_mass(spark, sf_dir):
     return out.join(into, "outlet").select("outlet", F.round("routed", 6).alias("routed"), F.round("inflow", 6).alias("inflow"))
 
 
-def _lti(spark, sf_dir, kind, memory=96):
+def _lti(spark, sf_dir, kind):
     t = network(spark, sf_dir)
     scheme = Scheme(n_hours=HOURS, chunk=240)
     params = lti.lti_parameters(flow(spark, sf_dir))
     routed = route(
-        t["plan"], params, table(spark, sf_dir, "inflow_hourly"), START, scheme, stepper=lti.lti_stepper(kind, memory)
+        t["plan"], params, table(spark, sf_dir, "inflow_hourly"), START, scheme, stepper=lti.lti_stepper(kind)
     )
     g = table(spark, sf_dir, "gauge")
     at_gauge = g.select("staid", "reach_id")
@@ -152,14 +152,14 @@ LTI_SQL = (
     LEVELS
     + DENSE
     + """, first AS (SELECT count(*) AS n FROM reach)
-, stat AS (SELECT r.reach_id, r.down_id, s.level, b.level AS down_level, l.lat FROM reach r JOIN shape s ON s.reach_id = r.reach_id
+, stat AS (SELECT r.reach_id, r.down_id, s.level, b.level AS down_level, (SELECT max(level) + 2 FROM shape) AS keep, TAPS AS taps, l.lat FROM reach r JOIN shape s ON s.reach_id = r.reach_id
     LEFT JOIN shape b ON b.reach_id = r.down_id JOIN (SELECT reach_id, list(qr ORDER BY hour_idx) AS lat FROM dense GROUP BY reach_id) l ON l.reach_id = r.reach_id)
 , step AS (
   SELECT CAST(0 AS BIGINT) AS d, reach_id, CAST([] AS DOUBLE[]) AS hy, CAST([] AS DOUBLE[]) AS hu FROM stat
   UNION ALL
   SELECT d + 1, reach_id, CASE WHEN t < 0 THEN hy ELSE list_prepend(CASE WHEN t < 720 THEN
-      RESPONSE END, hy)[1:20] END, CASE WHEN t < 0 THEN hu ELSE HISTORY END
-  FROM (SELECT g.d, g.reach_id, g.d - c.level AS t, g.hy, g.hu, g.sy, c.lat
+      RESPONSE END, hy)[1:keep] END, CASE WHEN t < 0 THEN hu ELSE HISTORY END
+  FROM (SELECT g.d, g.reach_id, g.d - c.level AS t, g.hy, g.hu, g.sy, c.lat, c.keep, c.taps
     FROM (SELECT d, target AS reach_id, any_value(hy) AS hy, any_value(hu) AS hu, sum(yc) AS sy
       FROM (SELECT s.d, CASE WHEN i = 0 THEN s.reach_id ELSE c.down_id END AS target, CASE WHEN i = 0 THEN s.hy END AS hy, CASE WHEN i = 0 THEN s.hu END AS hu,
           CASE WHEN i = 0 THEN 0e0 ELSE coalesce(s.hy[c.down_level - c.level], 0e0) END AS yc
@@ -173,14 +173,17 @@ WHERE g.reach_id IN (SELECT down_id FROM reach WHERE down_id IS NOT NULL) GROUP
 )
 
 
-def linear_sql(step: str, history: str = "[lat[t + 1] + sy]") -> str:
-    return LTI_SQL.replace("RESPONSE", step).replace("HISTORY", history)
+def linear_sql(step: str, history: str = "[lat[t + 1] + sy]", taps: str = "NULL") -> str:
+    return LTI_SQL.replace("RESPONSE", step).replace("HISTORY", history).replace("TAPS", taps)
 
 
-# Any response: dot product with the inflow of the last hours
-HAYAMI_HOURS = 48
-HAYAMI_TAPS = "[" + ", ".join(f"{v:.17e}" for v in lti.unit_response("hayami", lti.DEFAULT_K_DAYS, lti.DEFAULT_X, HAYAMI_HOURS, 1 / 24)) + "]"
-HAYAMI_STEP = f"list_dot_product(list_prepend(lat[t + 1] + sy, hu)[1:{HAYAMI_HOURS}], {HAYAMI_TAPS}[1:least(t + 1, {HAYAMI_HOURS})])"
+# Any response: dot product with the inflow of the last hours. The taps are the density of the
+# diffusive wave at mid-hour, k = 0.1042 d, x = 0.3, scaled to sum to one; after 60 hours 1e-11 of it is left.
+HAYAMI_HOURS = 60
+HAYAMI_TAPS = f"""(SELECT list_transform(h, lambda v: v / list_sum(h)) FROM (SELECT list_transform(range({HAYAMI_HOURS}), lambda i:
+  sqrt(0.1042e0 * 0.1042e0 / (4 * pi() * 0.02084e0 * power((i + 0.5e0) / 24, 3)))
+  * exp(-power((i + 0.5e0) / 24 - 0.1042e0, 2) / (4 * 0.02084e0 * (i + 0.5e0) / 24)) / 24) AS h))"""
+HAYAMI_STEP = f"list_dot_product(list_prepend(lat[t + 1] + sy, hu)[1:{HAYAMI_HOURS}], taps[1:least(t + 1, {HAYAMI_HOURS})])"
 
 
 @query("x_lti_storage", with_tables("reach", "inflow_hourly", "gauge", recursive=True, body=linear_sql(STORE_STEP)))
@@ -220,11 +223,11 @@ def x_lti_muskingum(spark, sf_dir):
         "inflow_hourly",
         "gauge",
         recursive=True,
-        body=linear_sql(HAYAMI_STEP, f"list_prepend(lat[t + 1] + sy, hu)[1:{HAYAMI_HOURS - 1}]"),
+        body=linear_sql(HAYAMI_STEP, f"list_prepend(lat[t + 1] + sy, hu)[1:{HAYAMI_HOURS - 1}]", HAYAMI_TAPS),
     ),
 )
 def x_lti_hayami(spark, sf_dir):
-    return _lti(spark, sf_dir, "hayami", HAYAMI_HOURS).withColumn("q", F.round("q", 6))
+    return _lti(spark, sf_dir, "hayami").withColumn("q", F.round("q", 6))
 
 
 SHAPE = kan.KanShape(cleaning.NATIVE_ATTRIBUTES, ("n", "q_spatial", "p_spatial"), hidden=21, layers=2, grid=10, k=2)
@@ -258,7 +261,7 @@ class StandIn:
 def _learned(spark, sf_dir):
     names = list(SHAPE.inputs)
     native = _native(spark, sf_dir)
-    stats = cleaning.attribute_statistics(native, names)
+    stats = cleaning.attribute_moments(native, names)
     joined = cleaning.join_attributes(flow(spark, sf_dir).select("reach_id"), native, names)
     return kan.predict(cleaning.fill_and_standardize(joined, stats, names), SHAPE, kan.initial_weights(SHAPE, 42))
 
@@ -325,7 +328,7 @@ def m_kan(spark, sf_dir):
 )
 def x_geometry(spark, sf_dir):
     native = _native(spark, sf_dir)
-    stats = cleaning.attribute_statistics(native, list(SHAPE.inputs))
+    stats = cleaning.attribute_moments(native, list(SHAPE.inputs))
     at = table(spark, sf_dir, "reach").select("reach_id", "slope", (F.lit(0.5) + F.col("length_m") / 1000).alias("q"))
     out = prob.geometry_prediction(native, stats, SHAPE, kan.initial_weights(SHAPE, 42), at)
     digits = {"n": 6, "q_spatial": 6}
@@ -339,7 +342,7 @@ def x_evaluate(spark, sf_dir):
     problem = prob.build_problem(
         source, date(2024, 1, 1), date(2024, 1, 30), hold=24, batch=source.gauges(), limit=network(spark, sf_dir)["limit"]
     )
-    stats = cleaning.attribute_statistics(source.attributes(), list(SHAPE.inputs))
+    stats = cleaning.attribute_moments(source.attributes(), list(SHAPE.inputs))
     unit = prob.predict_parameters(problem, source.attributes(), stats, SHAPE, kan.initial_weights(SHAPE, 42))
     routed = prob.run(problem, prob.channel_parameters(problem, unit), source.inflow())
     _, scores = prob.evaluate(problem, routed, source.observations(), warmup=3)
@@ -358,7 +361,7 @@ def x_train_step(spark, sf_dir):
     problem = prob.build_problem(
         source, date(2024, 1, 1), date(2024, 1, 30), hold=24, batch=full, limit=network(spark, sf_dir)["limit"]
     )
-    stats = cleaning.attribute_statistics(source.attributes(), list(SHAPE.inputs))
+    stats = cleaning.attribute_moments(source.attributes(), list(SHAPE.inputs))
     trainer = Trainer(SHAPE, kan.initial_weights(SHAPE, 42), kan.Adam(rate=0.005))
     args = (problem, source.attributes(), stats, source.inflow(), source.observations())
     losses = [trainer.step(*args) for _ in range(2)]
@@ -392,7 +395,7 @@ def b_stream_route(spark, sf_dir):
     )
     router = StepRouter(t["plan"], _params(spark, sf_dir))
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
-    q = stream_router(stream, router, START, out, check)
+    q = stream_router(stream, router, START, out, check, "0 seconds")
     q.processAllAvailable()
     q.stop()
     done = spark.read.parquet(f"{out}/epoch=*")

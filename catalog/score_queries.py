@@ -120,42 +120,37 @@ SCORES = PAIR + """, m AS (SELECT gauge, avg(p) AS mp, avg(t) AS mt, stddev_pop(
 
 
 @query(
-    "e_summary",
-    with_tables(
-        "series",
-        body=SCORES + " UNION ALL ".join(
-            f"""SELECT '{n}' AS metric, round(quantile_cont({n}, 0.5), 5) AS median, round(avg({n}), 5) AS mean,
-              round(quantile_cont({n}, 0.25), 5) AS q25, round(quantile_cont({n}, 0.75), 5) AS q75, count({n}) AS valid FROM scores"""
-            for n in ("bias", "kge", "nse")
-        ),
-    ),
+    "e_all_scores",
+    "SELECT gauge, " + ", ".join(sorted(met.ALL_SCORES)) + " FROM "
+    + " JOIN ".join(f"({ORACLES[n]}) AS {n} USING (gauge)" for n in ("e_basic", "e_ub_rmse", "e_nse_kge", "e_spearman", "e_fdc", "e_splits")).replace(" USING (gauge)", "", 1),
 )
-def e_summary(spark, sf_dir):
-    scores = met.moment_scores(_series(spark, sf_dir))
-    return _round(met.summarize(scores, ("bias", "kge", "nse")), ["metric", "valid"], 5)
+def e_all_scores(spark, sf_dir):
+    """All 18 scores in one table."""
+    return _round(met.all_scores(_series(spark, sf_dir)).drop("n"), ["gauge"])
+
+
+SUMMARY_SQL = "WITH scores AS (" + ORACLES["e_all_scores"] + ") "
 
 
 @query(
-    "e_score_log",
-    with_tables(
-        "series",
-        body=SCORES + """SELECT round(avg(nse), 5) AS mean_nse, round(quantile_cont(nse, 0.5), 5) AS median_nse,
-          round(avg(kge), 5) AS mean_kge, round(quantile_cont(kge, 0.5), 5) AS median_kge FROM scores""",
+    "e_summary",
+    SUMMARY_SQL + " UNION ALL ".join(
+        f"""SELECT '{n}' AS metric, round(quantile_cont({n}, 0.5), 4) AS median, round(avg({n}), 4) AS mean,
+          round(quantile_cont({n}, 0.25), 4) AS q25, round(quantile_cont({n}, 0.75), 4) AS q75, count({n}) AS valid FROM scores"""
+        for n in met.SUMMARY_SCORES
     ),
 )
-def e_score_log(spark, sf_dir):
-    log = summaries.score_log(met.moment_scores(_series(spark, sf_dir)))
-    return _round(log.select("mean_nse", "median_nse", "mean_kge", "median_kge"), [], 5)
+def e_summary(spark, sf_dir):
+    """Every score of the summary over all gauges."""
+    return _round(met.summarize(_round(met.all_scores(_series(spark, sf_dir)), ["gauge"])), ["metric", "valid"], 4)
 
 
 @query(
-    "e_all_scores",
-    "SELECT gauge, " + ", ".join(sorted(met.ALL_SCORES)) + " FROM "
-    + " JOIN ".join(f"({ORACLES[n]}) AS {n} USING (gauge)" for n in ("e_basic", "e_ub_rmse", "e_nse_kge", "e_spearman", "e_fdc", "e_splits")).replace(" USING (gauge)", "", 1),
+    "e_score_log",
+    SUMMARY_SQL + "SELECT " + ", ".join(f"round(avg({n}), 4) AS mean_{n}, round(quantile_cont({n}, 0.5), 4) AS median_{n}" for n in ("nse", "rmse", "kge")) + " FROM scores",
 )
-def e_all_scores(spark, sf_dir):
-    """All 18 scores in one table."""
-    return _round(met.all_scores(_series(spark, sf_dir)).drop("n"), ["gauge"])
+def e_score_log(spark, sf_dir):
+    return _round(summaries.score_log(_round(met.all_scores(_series(spark, sf_dir)), ["gauge"])), [], 4)
 
 
 @query(
@@ -190,15 +185,19 @@ def e_box(spark, sf_dir):
     "e_bins",
     with_tables(
         "gauge",
-        body="""SELECT area_class, count(drain_sqkm) AS n, round(quantile_cont(drain_sqkm, 0.5), 6) AS median FROM (
-          SELECT drain_sqkm, CASE WHEN drain_sqkm > 0 AND drain_sqkm <= 1000 THEN '0-1000' WHEN drain_sqkm > 1000 AND drain_sqkm <= 5000 THEN '1000-5000'
-            WHEN drain_sqkm > 5000 AND drain_sqkm <= 10000 THEN '5000-10000' END AS area_class FROM gauge) WHERE area_class IS NOT NULL GROUP BY 1""",
+        body="SELECT area_class, count(v) AS n, "
+        + ", ".join(f"round(quantile_cont(v, {p}), 6) AS {n}" for n, p in summaries.BOX.items())
+        + " FROM (SELECT v, CASE "
+        + " ".join(f"WHEN v > {lo} AND v <= {hi} THEN '{lo}-{hi}'" for lo, hi in ((0, 1000), (1000, 5000), (5000, 10000), (10000, 30000), (30000, 50000)))
+        + " END AS area_class FROM (SELECT drain_sqkm * (1 + CAST(staid AS BIGINT) % 7) AS v FROM gauge)) WHERE area_class IS NOT NULL GROUP BY 1",
     ),
 )
 def e_bins(spark, sf_dir):
-    g = table(spark, sf_dir, "gauge").withColumn("area_class", summaries.area_class(F.col("drain_sqkm")))
-    out = summaries.box_statistics(g.filter("area_class IS NOT NULL"), "drain_sqkm", ["area_class"])
-    return out.select("area_class", "n", F.round("median", 6).alias("median"))
+    """All five classes: the areas of the stand-in gauges are spread by a factor of one to seven."""
+    area = F.col("drain_sqkm") * (F.lit(1) + F.col("staid").cast("long") % 7)
+    g = table(spark, sf_dir, "gauge").withColumn("drain_sqkm", area)
+    g = g.withColumn("area_class", summaries.area_class(F.col("drain_sqkm"))).filter("area_class IS NOT NULL")
+    return _round(summaries.box_statistics(g, "drain_sqkm", ["area_class"]), ["area_class", "n"], 6)
 
 
 @query(

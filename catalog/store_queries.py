@@ -7,13 +7,17 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from catalog.network_queries import BRIDGE, ORDER
-from catalog.registry import query
+from catalog.registry import ORACLES, query
 from catalog.stand_in import flow, network, table, with_tables
+from rillflow.operators.cleaning import NATIVE_AND_HYDROATLAS
 from rillflow.operators import gauges, network as net, references, summaries
 from rillflow.scratch import scratch_path
 from rillflow.sources import readers, sinks
 
 
+RAW_ATTRIBUTES = [source for _, source in NATIVE_AND_HYDROATLAS]
+
+
 @query(
     "k_network_round_trip",
     with_tables("reach", recursive=True, body=ORDER + "SELECT dn_id, up_id, dn_idx, up_idx FROM pairs"),
@@ -54,11 +58,12 @@ def k_gauge_subsets(spark, sf_dir):
         "reach",
         "attributes",
         recursive=True,
-        body=ORDER + "SELECT t.reach_id, t.topo_idx, CAST(a.ele_mt_sav AS FLOAT) AS ele_mt_sav FROM topo t LEFT JOIN attributes a ON a.reach_id = t.reach_id",
+        body=ORDER + "SELECT t.reach_id, t.topo_idx, " + ", ".join(f"CAST(a.{n} AS FLOAT) AS {n}" for n in RAW_ATTRIBUTES)
+        + " FROM topo t LEFT JOIN attributes a ON a.reach_id = t.reach_id",
     ),
 )
 def k_reach_attributes(spark, sf_dir):
-    return sinks.reach_attributes(network(spark, sf_dir)["order"], table(spark, sf_dir, "attributes"), ["ele_mt_sav"])
+    return sinks.reach_attributes(network(spark, sf_dir)["order"], table(spark, sf_dir, "attributes"), RAW_ATTRIBUTES)
 
 
 @query(
@@ -114,14 +119,21 @@ def k_clean_store(spark, sf_dir):
 
 @query(
     "k_statistics_cache",
-    with_tables("attributes", body="SELECT 'pre_mm_syr' AS attr, round(avg(pre_mm_syr), 6) AS mean, round(stddev_pop(pre_mm_syr), 6) AS std FROM attributes"),
+    with_tables(
+        "attributes",
+        body=" UNION ALL ".join(
+            f"""SELECT '{n}' AS attr, round(min({n}), 6) AS min, round(max({n}), 6) AS max, round(avg({n}), 6) AS mean, round(stddev_pop({n}), 6) AS std,
+              round(quantile_cont({n}, 0.1), 6) AS p10, round(quantile_cont({n}, 0.9), 6) AS p90 FROM attributes"""
+            for n in RAW_ATTRIBUTES
+        ),
+    ),
 )
 def k_statistics_cache(spark, sf_dir):
     path = scratch_path(spark, "statistics")
     attributes = table(spark, sf_dir, "attributes")
-    sinks.cached_statistics(attributes, ["pre_mm_syr"], path)
-    stats = sinks.cached_statistics(attributes, ["pre_mm_syr"], path)
-    return stats.select("attr", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    sinks.cached_statistics(attributes, RAW_ATTRIBUTES, path)
+    stats = sinks.cached_statistics(attributes, RAW_ATTRIBUTES, path)
+    return stats.select("attr", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "p10", "p90")])
 
 
 @query(
@@ -224,12 +236,12 @@ def g_dense_adjacency(spark, sf_dir):
 
 @query(
     "e_score_json",
-    with_tables("series", body="SELECT count(DISTINCT gauge) AS n, count(DISTINCT gauge) AS n_with_nse FROM series"),
+    "SELECT gauge, nse, kge, corr FROM (" + ORACLES["e_nse_kge"] + ")",
 )
 def e_score_json(spark, sf_dir):
+    """Scores read back from the JSON texts."""
     from rillflow.operators.metrics import moment_scores
 
     texts = sinks.scores_as_json(moment_scores(table(spark, sf_dir, "series")))
-    return texts.agg(
-        F.count("*").alias("n"), F.count_if(F.get_json_object("body", "$.nse").isNotNull()).alias("n_with_nse")
-    )
+    row = F.from_json("body", "gauge bigint, nse double, kge double, corr double").alias("s")
+    return texts.select(row).select("s.gauge", *[(F.round(f"s.{c}", 6) + 0.0).alias(c) for c in ("nse", "kge", "corr")])

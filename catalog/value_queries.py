@@ -76,7 +76,7 @@ def a_fill_zscore(spark, sf_dir):
     native = _native(spark, sf_dir)
     names = list(NATIVE_ATTRIBUTES)
     joined = cleaning.join_attributes(flow(spark, sf_dir).select("reach_id"), native, names)
-    scores = cleaning.fill_and_standardize(joined, cleaning.attribute_statistics(native, names), names)
+    scores = cleaning.fill_and_standardize(joined, cleaning.attribute_moments(native, names), names)
     return rounded(scores, 6, ["reach_id"], names)
 
 
@@ -179,13 +179,13 @@ def a_da_valid(spark, sf_dir):
         body=NATIVE + " UNION ALL ".join(
             f"""SELECT '{n}' AS attr, count(*) FILTER ({n} < lo) AS n_below, count(*) FILTER ({n} > hi) AS n_above
               FROM native, (SELECT quantile_cont({n}, 0.1) AS lo, quantile_cont({n}, 0.9) AS hi FROM native WHERE reach_id IN (SELECT DISTINCT l_partkey FROM lineitem))"""
-            for n in ("SoilGrids1km_clay", "meanP", "meanslope", "ETPOT_Hargr")
+            for n in NATIVE_ATTRIBUTES
         ),
     ),
 )
 def o_ood_counts(spark, sf_dir):
     """Statistics of one set of catchments (parts that were sold) applied to all of them."""
-    names = ["SoilGrids1km_clay", "meanP", "meanslope", "ETPOT_Hargr"]
+    names = list(NATIVE_ATTRIBUTES)
     native = _native(spark, sf_dir)
     known = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("reach_id"))
     stats = cleaning.attribute_statistics(native.join(known, "reach_id", "left_semi"), names)

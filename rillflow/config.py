@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from datetime import date
 from pathlib import Path
 
-from rillflow.functions.hydraulics import DEFAULT_P_SPATIAL, LOG_SPACE, MINIMUMS, PARAMETER_RANGES
+from rillflow.functions.hydraulics import DEFAULT_P_SPATIAL, LOG_SPACE, MINIMUMS, PARAMETER_RANGES, Physics
 from rillflow.operators.resample import parse_day
 
 MODES = ("training", "testing", "routing")
@@ -81,6 +81,13 @@ class Config:
     kan: Kan = field(default_factory=Kan)
     experiment: Experiment = field(default_factory=Experiment)
 
+    @property
+    def physics(self) -> Physics:
+        """Ranges and defaults as the plans take them; what the file leaves out keeps its default."""
+        ranges = {**PARAMETER_RANGES, **{k: tuple(map(float, v)) for k, v in self.params.parameter_ranges.items()}}
+        defaults = {"p_spatial": DEFAULT_P_SPATIAL, **self.params.defaults}
+        return Physics(ranges, tuple(self.params.log_space_parameters), defaults)
+
     def check(self) -> Config:
         from rillflow.functions.ids import converter_for
 
@@ -95,6 +102,11 @@ class Config:
         unknown = set(self.kan.learnable_parameters) - set(self.params.parameter_ranges)
         if unknown:
             raise ValueError(f"no range for learnable parameters {sorted(unknown)}")
+        # the routing scheme has these built in; a changed value must not be accepted and ignored
+        if dict(self.params.attribute_minimums) != MINIMUMS:
+            raise ValueError(f"attribute_minimums cannot be changed from {MINIMUMS}")
+        if not self.experiment.shuffle:
+            raise ValueError("gauge batches are always shuffled; shuffle must be true")
         return self
 
 

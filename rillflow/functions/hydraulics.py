@@ -7,6 +7,7 @@ equation for depth and velocity, kinematic celerity and Muskingum coefficients.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,16 +41,24 @@ def denormalize(unit: Column, bounds: tuple[float, float], log_space: bool = Fal
     return F.exp(unit * F.lit(math.log(high) - base) + F.lit(base))
 
 
-def physical_parameters(n: Column, q_spatial: Column, p_spatial: Column | None) -> dict[str, Column]:
+@dataclass(frozen=True)
+class Physics:
+    """Ranges of the learned parameters, which of them live in log space, and defaults of those not learned."""
+
+    ranges: dict = field(default_factory=lambda: dict(PARAMETER_RANGES))
+    log_space: tuple[str, ...] = LOG_SPACE
+    defaults: dict = field(default_factory=lambda: {"p_spatial": DEFAULT_P_SPATIAL})
+
+
+def physical_parameters(n: Column, q_spatial: Column, p_spatial: Column | None, physics: Physics | None = None) -> dict[str, Column]:
     """Denormalise the three learned parameters; a missing ``p`` takes its default."""
-    out = {
-        "n": denormalize(n, PARAMETER_RANGES["n"], "n" in LOG_SPACE),
-        "q_spatial": denormalize(q_spatial, PARAMETER_RANGES["q_spatial"], "q_spatial" in LOG_SPACE),
-    }
-    if p_spatial is None:
-        out["p_spatial"] = F.lit(DEFAULT_P_SPATIAL)
-    else:
-        out["p_spatial"] = denormalize(p_spatial, PARAMETER_RANGES["p_spatial"], "p_spatial" in LOG_SPACE)
+    physics = physics or Physics()
+    out = {}
+    for name, unit in (("n", n), ("q_spatial", q_spatial), ("p_spatial", p_spatial)):
+        if unit is None:
+            out[name] = F.lit(float(physics.defaults[name]))
+        else:
+            out[name] = denormalize(unit, physics.ranges[name], name in physics.log_space)
     return out
 
 

@@ -12,6 +12,7 @@ from rillflow.scratch import store
 
 def join_attributes(reaches: DataFrame, attributes: DataFrame, names: list[str]) -> DataFrame:
     """Attributes of each reach, NULL where there are none; fails when nothing matches."""
+    require_match(reaches, attributes)
     values = attributes.select("reach_id", *[null_if_nan(F.col(n)).alias(n) for n in names])
     return reaches.join(values, "reach_id", "left")
 
@@ -24,9 +25,18 @@ def require_match(reaches: DataFrame, attributes: DataFrame) -> None:
 def attribute_statistics(attributes: DataFrame, names: list[str]) -> DataFrame:
     """One row per attribute: min, max, mean, population std, 10th and 90th percentile.
 
-    Moments take one pass over the wide table; the percentiles come from distributed ranks of
-    all attributes at once, as an exact percentile aggregate would gather every value.
+    The percentiles come from distributed ranks of all attributes at once, as an exact
+    percentile aggregate would gather every value.
     """
+    long = attributes.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("attr"), null_if_nan(F.col(n)).alias("v")) for n in names]))
+    )
+    ends = quantiles(long, "v", {"p10": 0.1, "p90": 0.9}, ["attr"])
+    return store(attribute_moments(attributes, names).join(ends, "attr", "left"), "statistics")
+
+
+def attribute_moments(attributes: DataFrame, names: list[str]) -> DataFrame:
+    """One row per attribute: min, max, mean and population std, in one pass over the wide table."""
     moments = []
     for n in names:
         v = null_if_nan(F.col(n))
@@ -35,12 +45,7 @@ def attribute_statistics(attributes: DataFrame, names: list[str]) -> DataFrame:
                 F.lit(n).alias("attr"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")
             )
         )
-    table = attributes.agg(F.array(*moments).alias("_s")).select(F.inline("_s"))
-    long = attributes.select(
-        F.inline(F.array(*[F.struct(F.lit(n).alias("attr"), null_if_nan(F.col(n)).alias("v")) for n in names]))
-    )
-    ends = quantiles(long, "v", {"p10": 0.1, "p90": 0.9}, ["attr"])
-    return store(table.join(ends, "attr", "left"), "statistics")
+    return attributes.agg(F.array(*moments).alias("_s")).select(F.inline("_s"))
 
 
 def statistics_row(stats: DataFrame, names: list[str], fields: tuple[str, ...] = ("mean", "std")) -> DataFrame:
@@ -82,6 +87,15 @@ def fill_with_finite_mean(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def require_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """Pass rows on, failing the job at the first missing value."""
+    out = []
+    for n in names:
+        missing = F.raise_error(F.concat(F.lit(f"no value of {n} for reach "), F.col("reach_id").cast("string"))).cast("double")
+        out.append(F.coalesce(null_if_nan(F.col(n).cast("double")), missing).alias(n))
+    return df.select(*[c for c in df.columns if c not in names], *out)
+
+
 def out_of_distribution(df: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
     """Per attribute how many values fall below the 10th or above the 90th percentile."""
     wide = with_statistics(df, stats, names, ("p10", "p90"))
@@ -118,38 +132,22 @@ def require_all(df: DataFrame, lookup: DataFrame, key: str) -> None:
         raise KeyError(f"no {key} entry for {missing}")
 
 
-# Attribute names of the two supported catchment sources
-NATIVE_ATTRIBUTES = (
-    "SoilGrids1km_clay",
-    "aridity",
-    "meanelevation",
-    "meanP",
-    "NDVI",
-    "meanslope",
-    "log10_uparea",
-    "SoilGrids1km_sand",
-    "ETPOT_Hargr",
-    "Porosity",
-)
-HYDROATLAS_NAMES = (
-    "cly_pc_sav",
-    "ari_ix_sav",
-    "ele_mt_sav",
-    "pre_mm_syr",
-    "ndv_ix_sav",
-    "slp_dg_sav",
-    "upa_sk_smx",
-    "snd_pc_sav",
-    "pet_mm_syr",
-    "por_pc_sav",
+# The network's attribute names and those of the second supported source
+NATIVE_AND_HYDROATLAS = (
+    ("SoilGrids1km_clay", "cly_pc_sav"),
+    ("aridity", "ari_ix_sav"),
+    ("meanelevation", "ele_mt_sav"),
+    ("meanP", "pre_mm_syr"),
+    ("NDVI", "ndv_ix_sav"),
+    ("meanslope", "slp_dg_sav"),
+    ("log10_uparea", "upa_sk_smx"),
+    ("SoilGrids1km_sand", "snd_pc_sav"),
+    ("ETPOT_Hargr", "pet_mm_syr"),
+    ("Porosity", "por_pc_sav"),
 )
+NATIVE_ATTRIBUTES = tuple(native for native, _ in NATIVE_AND_HYDROATLAS)
 # native name -> (source name, scale, offset, take log10)
-ADAPTERS = {
-    "hydroatlas": {
-        native: (source, 1.0, 0.0, native == "log10_uparea")
-        for native, source in zip(NATIVE_ATTRIBUTES, HYDROATLAS_NAMES, strict=True)
-    }
-}
+ADAPTERS = {"hydroatlas": {native: (source, 1.0, 0.0, native == "log10_uparea") for native, source in NATIVE_AND_HYDROATLAS}}
 
 
 def attribute_source(columns: list[str]) -> str | None:

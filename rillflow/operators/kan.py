@@ -121,7 +121,9 @@ def predict(df: DataFrame, shape: KanShape, weights: dict[str, np.ndarray], key:
         y, _ = forward(shape, weights, np.stack(x.to_numpy()).astype(float))
         return pd.DataFrame(y, columns=list(shape.outputs))
 
-    values = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in shape.inputs])
+    # a missing input is an error: 0 would silently be the mean of the training set
+    lack = lambda n: F.raise_error(F.concat(F.lit(f"no value of {n} for "), F.col(key).cast("string"))).cast("double")
+    values = F.array(*[F.coalesce(F.col(n).cast("double"), lack(n)) for n in shape.inputs])
     return df.select(key, evaluate(values).alias("_y")).select(key, "_y.*")
 
 

@@ -38,16 +38,19 @@ def parameter_table(reaches: DataFrame, k=None, x=None, tau=None, delay=None, k_
     return reaches.select("reach_id", *[c.cast("double").alias(n) for n, c in cols.items() if c is not None])
 
 
-def unit_response(kind: str, k: float, x: float, steps: int, dt: float, stages: int = 2) -> np.ndarray:
-    """Discrete response of length ``steps`` that sums to one; ``k`` and ``dt`` in the same unit."""
+#: Share of a response that may lie beyond its length.
+MOST_BEYOND = 1e-10
+
+
+def _raw_response(kind: str, k: float, x: float, steps: int, dt: float, stages: int = 2) -> np.ndarray:
+    """First ``steps`` values of the response; ``k`` and ``dt`` in the same unit."""
     t = (np.arange(steps) + 0.5) * dt
     if kind == "muskingum":
         total = 2 * k * (1 - x) + dt
         c_now, c_before, c_own = (dt - 2 * k * x) / total, (dt + 2 * k * x) / total, (2 * k * (1 - x) - dt) / total
         h = np.zeros(steps)
         h[0] = c_now
-        if steps > 1:
-            h[1:] = (c_before + c_own * c_now) * c_own ** np.arange(steps - 1)
+        h[1:] = (c_before + c_own * c_now) * c_own ** np.arange(steps - 1)
     elif kind == "linear_storage":
         edge = np.exp(-np.arange(steps + 1) * dt / k) if k > 0 else np.r_[1.0, np.zeros(steps)]
         h = edge[:-1] - edge[1:]
@@ -56,16 +59,42 @@ def unit_response(kind: str, k: float, x: float, steps: int, dt: float, stages:
         h = (t / scale) ** (stages - 1) * np.exp(-t / scale) / (scale * math.gamma(stages)) * dt
     elif kind == "pure_lag":
         lag = k / dt
-        low = min(int(lag), steps - 1)
         h = np.zeros(steps)
-        h[low] += 1 - (lag - int(lag))
-        h[min(low + 1, steps - 1)] += lag - int(lag)
+        for at, share in ((int(lag), 1 - (lag - int(lag))), (int(lag) + 1, lag - int(lag))):
+            if at < steps:
+                h[at] += share
     elif kind == "hayami":
         # travel time k, dispersion from the weight x (x = 0.5 is pure translation)
         spread = max((1 - 2 * x), 1e-3) * k / 2
         h = np.sqrt(k * k / (4 * np.pi * spread * t**3)) * np.exp(-((t - k) ** 2) / (4 * spread * t)) * dt
     else:
         raise ValueError(f"unknown response {kind!r}; available: {', '.join(RESPONSES)}")
+    return h
+
+
+def response_steps(kind: str, k: float, x: float, dt: float, stages: int = 2) -> int:
+    """Steps after which at most ``MOST_BEYOND`` of the response is left."""
+    n = max(8, 2 * math.ceil(k / dt) + 2)
+    while True:
+        mass = np.abs(_raw_response(kind, k, x, 2 * n, dt, stages))
+        if mass[n:].sum() <= MOST_BEYOND / 8 * max(mass.sum(), 1e-300):
+            break
+        n *= 2
+    left = mass[::-1].cumsum()[::-1]
+    return int(np.searchsorted(-left, -MOST_BEYOND * left[0], side="left")) or 1
+
+
+def unit_response(kind: str, k: float, x: float, steps: int | None, dt: float, stages: int = 2) -> np.ndarray:
+    """Discrete response that sums to one, as long as it needs to be or of ``steps`` values.
+
+    Raises if ``steps`` would cut off more than ``MOST_BEYOND`` of it.
+    """
+    needed = response_steps(kind, k, x, dt, stages)
+    if steps is None:
+        steps = needed
+    elif steps < needed:
+        raise ValueError(f"{kind} response with k = {k} needs {needed} steps, got {steps}")
+    h = _raw_response(kind, k, x, steps, dt, stages)
     mass = h.sum()
     return h / mass if mass else np.r_[1.0, np.zeros(steps - 1)]
 
@@ -73,16 +102,16 @@ def unit_response(kind: str, k: float, x: float, steps: int, dt: float, stages:
 class ChunkConvolution:
     """Same task-side interface as the nonlinear router."""
 
-    def __init__(self, b: Bundle, scheme: Scheme, kind: str, memory: int):
-        self.b, self.scheme, self.next, self.memory = b, scheme, 0, memory
-        self.tail = np.zeros((memory - 1, b.size))
-        cache: dict[tuple[float, float], np.ndarray] = {}
+    def __init__(self, b: Bundle, scheme: Scheme, kind: str):
+        self.b, self.scheme, self.next = b, scheme, 0
+        pairs = list(zip(b.values["length_m"], b.values["x"], strict=True))
         dt_days = scheme.dt / 86400.0
-        self.response = np.empty((memory, b.size))
-        for i, (k, x) in enumerate(zip(b.values["length_m"], b.values["x"], strict=True)):
-            if (k, x) not in cache:
-                cache[k, x] = unit_response(kind, k, x, memory, dt_days)
-            self.response[:, i] = cache[k, x]
+        known = {p: unit_response(kind, *p, None, dt_days) for p in set(pairs)}
+        self.memory = memory = max((len(h) for h in known.values()), default=1)
+        self.tail = np.zeros((memory - 1, b.size))
+        self.response = np.zeros((memory, b.size))
+        for i, p in enumerate(pairs):
+            self.response[: len(known[p]), i] = known[p]
 
     def step(self, part: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
         b, s, n = self.b, self.scheme, self.scheme.length(self.next)
@@ -107,9 +136,9 @@ class ChunkConvolution:
         yield from emit(b, self.next - 1, out, out)
 
 
-def lti_stepper(kind: str, memory: int):
+def lti_stepper(kind: str):
     """``stepper`` argument of ``route`` for linear routing (``length_m`` holds k in days)."""
-    return partial(route_rows, router=partial(ChunkConvolution, kind=kind, memory=memory))
+    return partial(route_rows, router=partial(ChunkConvolution, kind=kind))
 
 
 def lti_parameters(reaches: DataFrame, k_days: float = DEFAULT_K_DAYS, x: float = DEFAULT_X) -> DataFrame:

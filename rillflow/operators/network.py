@@ -200,7 +200,7 @@ def target_network(flow: DataFrame, targets: DataFrame) -> DataFrame:
 def gauge_origin(gauges: DataFrame, network: DataFrame, flowpaths: DataFrame) -> DataFrame:
     """Flowpath of each gauge; of several candidates the closest drainage area wins, then the id.
 
-    Gauges without a candidate are missing from the result; see ``gauges_without_origin``.
+    A gauge without a candidate fails the job when its row is read; ``gauges_without_origin`` finds them beforehand.
     """
     marks = network.filter(F.col("id").startswith("wb-") & F.col("hl_uri").startswith("gages-")).select(
         "id", F.expr("substring(hl_uri, 7)").alias("staid")
@@ -209,29 +209,33 @@ def gauge_origin(gauges: DataFrame, network: DataFrame, flowpaths: DataFrame) ->
     near: Column = F.struct(
         F.abs(F.col("tot_drainage_areasqkm") - F.col("drain_sqkm")).alias("diff"), F.col("id").alias("id")
     )
-    return (
-        gauges.select("staid", "drain_sqkm")
-        .join(marks, "staid")
-        .join(area, "id")
-        .groupBy("staid")
-        .agg(F.min(near).alias("_best"))
-        .select("staid", F.col("_best.id").alias("id"))
-    )
+    best = marks.join(area, "id").join(gauges.select("staid", "drain_sqkm"), "staid").groupBy("staid").agg(F.min(near).alias("_best"))
+    lost = F.raise_error(F.concat(F.lit("no flowpath carries gauge "), F.col("staid"))).cast("string")
+    return gauges.select("staid").distinct().join(best, "staid", "left").select("staid", F.coalesce("_best.id", lost).alias("id"))
+
 
+def gauges_without_origin(gauges: DataFrame, network: DataFrame) -> DataFrame:
+    """Gauges that no flowpath of ``network`` carries."""
+    marks = network.filter(F.col("id").startswith("wb-") & F.col("hl_uri").startswith("gages-"))
+    return gauges.join(marks.select(F.expr("substring(hl_uri, 7)").alias("staid")), "staid", "left_anti")
 
-def gauges_without_origin(gauges: DataFrame, origins: DataFrame) -> DataFrame:
-    return gauges.join(origins, "staid", "left_anti")
 
+def nexus_targets(flowpaths: DataFrame | None, reaches: DataFrame, position: str = "pos") -> DataFrame:
+    """Flowpath that receives what arrives at a nexus; of several in ``reaches`` the last row counts.
 
-def nexus_targets(flowpaths: DataFrame) -> DataFrame:
-    """Flowpath that receives what arrives at a nexus; of several the largest id counts."""
+    ``position`` numbers the rows of the flowpath table. Without such a table a nexus is taken to
+    have the id of its reach.
+    """
     from rillflow.functions.ids import number_of
 
-    return (
-        flowpaths.filter(F.col("toid").startswith("nex-") & (F.col("id").startswith("wb-") | F.col("id").startswith("cat-")))
-        .groupBy(number_of(F.col("toid")).cast("long").alias("nexus_id"))
-        .agg(F.max(number_of(F.col("id")).cast("long")).alias("reach_id"))
+    known = reaches.select(F.col("reach_id").cast("long").alias("reach_id"))
+    if flowpaths is None:
+        return known.select(F.col("reach_id").alias("nexus_id"), "reach_id")
+    rows = flowpaths.filter(F.col("toid").startswith("nex-") & (F.col("id").startswith("wb-") | F.col("id").startswith("cat-")))
+    rows = rows.select(
+        number_of(F.col("toid")).cast("long").alias("nexus_id"), number_of(F.col("id")).cast("long").alias("reach_id"), F.col(position).alias("_pos")
     )
+    return rows.join(known, "reach_id", "left_semi").groupBy("nexus_id").agg(F.max_by("reach_id", "_pos").alias("reach_id"))
 
 
 def resolve_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:

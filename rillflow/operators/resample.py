@@ -75,8 +75,15 @@ def in_period(df: DataFrame, ts: str, start: datetime | date, end: datetime | da
 
 
 def check_coverage(df: DataFrame, ts: str, start: datetime, end: datetime) -> None:
-    """Raise unless the stored series covers the wanted period (min and max come from a cheap scan)."""
-    low, high = df.agg(F.min(ts), F.max(ts)).head()
+    """Raise unless the stored series covers the wanted period.
+
+    Of a store by month only the first and the last month are read.
+    """
+    if "month" in df.columns:
+        first, last = df.agg(F.min("month"), F.max("month")).head()
+        low, high = df.filter(F.col("month").isin(first, last)).agg(F.min(ts), F.max(ts)).head()
+    else:
+        low, high = df.agg(F.min(ts), F.max(ts)).head()
     if low is None or start < low:
         raise ValueError(f"period starts {start}, stored series starts {low}")
     if end > high:

@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.hydraulics import DEFAULT_X, MINIMUMS, physical_parameters
+from rillflow.functions.hydraulics import DEFAULT_X, MINIMUMS, Physics, physical_parameters
 from rillflow.operators import cleaning, kan
 from rillflow.operators.gauges import segment_flow_scale
 from rillflow.operators.kernel import Scheme
@@ -60,6 +60,7 @@ class RoutingProblem:
     start: datetime
     gauges: DataFrame | None = None
     outflow: DataFrame | None = None
+    physics: Physics = field(default_factory=Physics)
     extras: dict = field(default_factory=dict)
 
 
@@ -77,6 +78,7 @@ def build_problem(
     targets: DataFrame | None = None,
     batch: DataFrame | None = None,
     limit: int | None = None,
+    physics: Physics | None = None,
 ) -> RoutingProblem:
     """Problem for the given targets, for a batch of gauges, or for all reaches.
 
@@ -97,7 +99,7 @@ def build_problem(
     limit = limit or piece_limit(n, flow.sparkSession.sparkContext.defaultParallelism)
     start_ts = datetime(start.year, start.month, start.day)
     scheme = Scheme(n_hours=(end - start).days * 24, chunk=chunk_hours, hold=hold)
-    problem = RoutingProblem(flow, layout(topo, limit), limit, source.reaches(), scheme, start_ts, gauges)
+    problem = RoutingProblem(flow, layout(topo, limit), limit, source.reaches(), scheme, start_ts, gauges, physics=physics or Physics())
     if gauges is not None:
         links = flow.filter("down_id IS NOT NULL").select(F.col("down_id").alias("dn_id"), F.col("reach_id").alias("up_id"))
         problem.outflow = store(gauge_outflow(gauges, links), "outflow")
@@ -107,17 +109,20 @@ def build_problem(
 def channel_parameters(problem: RoutingProblem, unit: DataFrame) -> DataFrame:
     """Physical parameters of each reach from unit-interval ones, measured lengths and slopes.
 
-    Missing lengths and slopes take the mean of the finite ones, a missing weight the default;
-    with gauges the inflow of a gauge's own reach is scaled to the part above the gauge.
+    Reaches are aligned to the problem first; then missing lengths, slopes and weights, of absent
+    reaches too, take the mean of the finite ones of the problem. A value that stays missing is an
+    error. With gauges the inflow of a gauge's own reach is scaled to the part above the gauge.
     """
-    p = physical_parameters(F.col("n"), F.col("q_spatial"), F.col("p_spatial") if "p_spatial" in unit.columns else None)
+    p_unit = F.col("p_spatial") if "p_spatial" in unit.columns else None
+    p = physical_parameters(F.col("n"), F.col("q_spatial"), p_unit, problem.physics)
     unit = unit.select("reach_id", *[c.alias(n) for n, c in p.items()])
     reaches = problem.reaches
     if "x" not in reaches.columns:
         reaches = reaches.withColumn("x", F.lit(DEFAULT_X))
     names = ["length_m", "slope", "x"]
-    static = cleaning.fill_with_finite_mean(reaches.select("reach_id", *names), names)
-    params = problem.plan.select("reach_id").join(static, "reach_id", "left").join(unit, "reach_id", "left")
+    aligned = problem.plan.select("reach_id").join(reaches.select("reach_id", *names), "reach_id", "left")
+    params = cleaning.fill_with_finite_mean(aligned, names).join(unit, "reach_id", "left")
+    params = cleaning.require_values(params, [*names, *p])
     if problem.gauges is not None:
         batch = problem.gauges.select("staid", "reach_id", F.col("staid").alias("pos"))
         scale = segment_flow_scale(batch, problem.gauges)
@@ -167,14 +172,17 @@ def long_discharge(problem: RoutingProblem, routed: DataFrame) -> DataFrame:
     return hourly(routed, problem.start, problem.scheme)
 
 
-def geometry_prediction(attributes: DataFrame, stats: DataFrame, shape: kan.KanShape, weights, reach_flow: DataFrame) -> DataFrame:
+def geometry_prediction(
+    attributes: DataFrame, stats: DataFrame, shape: kan.KanShape, weights, reach_flow: DataFrame, physics: Physics | None = None
+) -> DataFrame:
     """Channel geometry of each reach at a given discharge (``reach_id, q, slope``)."""
     from rillflow.functions.hydraulics import at_least, trapezoid
 
     names = list(shape.inputs)
     native = cleaning.adapt_attributes(attributes) if not set(names) <= set(attributes.columns) else attributes
     unit = kan.predict(cleaning.fill_and_standardize(native.select("reach_id", *names), stats, names), shape, weights)
-    p = physical_parameters(F.col("n"), F.col("q_spatial"), F.col("p_spatial") if "p_spatial" in unit.columns else None)
+    p_unit = F.col("p_spatial") if "p_spatial" in unit.columns else None
+    p = physical_parameters(F.col("n"), F.col("q_spatial"), p_unit, physics)
     rows = unit.select("reach_id", *[c.alias(n) for n, c in p.items()]).join(reach_flow, "reach_id")
     geo = trapezoid(F.col("n"), F.col("p_spatial"), F.col("q_spatial"), F.col("q"), at_least(F.col("slope"), MINIMUMS["slope"]))
     return rows.select("reach_id", "n", "p_spatial", "q_spatial", *[c.alias(n) for n, c in geo.items()])

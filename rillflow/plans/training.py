@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.hydraulics import LOG_SPACE, PARAMETER_RANGES
 from rillflow.operators import cleaning, kan
 from rillflow.operators.adjoint import DIRECTIONS, pull_back
 from rillflow.operators.gauges import complete_gauges
@@ -248,8 +247,8 @@ class Trainer:
         # clamping the slope has no effect on the learned parameters
         by_unit = []
         for name in self.shape.outputs:
-            low, high = PARAMETER_RANGES[name]
-            if name in LOG_SPACE:
+            low, high = problem.physics.ranges[name]
+            if name in problem.physics.log_space:
                 factor = F.col(name) * F.lit(math.log(high) - math.log(low + 1e-6))
             else:
                 factor = F.lit(high - low)

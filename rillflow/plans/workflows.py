@@ -42,8 +42,9 @@ class TableSource:
     def statistics(self) -> DataFrame:
         return sinks.cached_statistics(self.attributes(), list(self.config.kan.input_var_names), self.where.statistics)
 
-    def inflow(self) -> DataFrame:
-        return readers.read_table(self.spark, self.where.streamflow).select("reach_id", "ts", "qr")
+    def inflow(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """Inflow of [start, end); the period prunes the months and is pushed to the scan."""
+        return readers.read_period(self.spark, self.where.streamflow, start, end)
 
     def gauges(self) -> DataFrame:
         return readers.checked_gauges(readers.read_gauges(self.spark, self.where.gages), with_reach=True)
@@ -86,15 +87,18 @@ def _model(spark: SparkSession, config: Config):
     return shape, kan.initial_weights(shape, config.seed)
 
 
+def _period(config: Config) -> tuple[datetime, datetime]:
+    """First midnight of the period and the midnight after its last day."""
+    first, last = config.experiment.first, config.experiment.last
+    return datetime.combine(first, datetime.min.time()), datetime.combine(last, datetime.min.time()) + timedelta(days=1)
+
+
 def summed(spark: SparkSession, config: Config) -> DataFrame:
     """Unrouted baseline against observations; writes series and score report."""
     source = TableSource(spark, config)
     flow, wanted = source.flow(), source.gauges()
     days = resample.daily_calendar(spark, config.experiment.first, config.experiment.last)
-    inflow = resample.in_period(
-        source.inflow(), "ts", datetime.combine(config.experiment.first, datetime.min.time()),
-        datetime.combine(config.experiment.last, datetime.min.time()) + timedelta(days=1),
-    )
+    inflow = source.inflow(*_period(config))
     if config.data_sources.is_hourly:
         inflow = resample.hourly_to_daily(inflow, "reach_id", "ts", "qr")
     else:
@@ -115,11 +119,14 @@ def _routed(spark: SparkSession, config: Config, source: TableSource, batch: Dat
         ids = [(int(str(t).split("-")[-1]),) for t in config.data_sources.target_catchments]
         targets, batch = spark.createDataFrame(ids, "reach_id bigint"), None
     hold = 1 if config.data_sources.is_hourly else 24
-    problem = prob.build_problem(source, config.experiment.first, config.experiment.last, hold=hold, targets=targets, batch=batch)
+    problem = prob.build_problem(
+        source, config.experiment.first, config.experiment.last, hold=hold, targets=targets, batch=batch,
+        physics=config.physics,
+    )
     shape, weights = _model(spark, config)
     unit = prob.predict_parameters(problem, source.attributes(), source.statistics(), shape, weights)
     params = prob.channel_parameters(problem, unit)
-    return problem, prob.run(problem, params, source.inflow())
+    return problem, prob.run(problem, params, source.inflow(*_period(config)))
 
 
 def route(spark: SparkSession, config: Config) -> DataFrame:
@@ -169,10 +176,12 @@ def train(spark: SparkSession, config: Config) -> str:
             start, end = resample.random_window(exp.first, n_days, rho, config.seed * 1_000_003 + epoch * 1009 + b)
             one = batches.filter(F.col("batch") == b).select("staid")
             hours = (end - start).days * 24
-            problem = prob.build_problem(source, start, end, chunk_hours=hours, hold=hold, batch=one)
+            problem = prob.build_problem(source, start, end, chunk_hours=hours, hold=hold, batch=one, physics=config.physics)
+            midnight = datetime.min.time()
+            inflow = source.inflow(datetime.combine(start, midnight), datetime.combine(end, midnight) + timedelta(days=1))
             try:
                 trainer.step(
-                    problem, source.attributes(), source.statistics(), source.inflow(), source.observations(),
+                    problem, source.attributes(), source.statistics(), inflow, source.observations(),
                     kan.learning_rate({int(k): v for k, v in exp.learning_rate.items()}, epoch),
                 )
             except ValueError as exc:
@@ -196,7 +205,7 @@ def geometry(spark: SparkSession, config: Config) -> DataFrame:
     source = TableSource(spark, config)
     flow = source.flow()
     days = resample.daily_calendar(spark, config.experiment.first, config.experiment.last)
-    inflow = source.inflow()
+    inflow = source.inflow(*_period(config))
     first_hour = inflow.filter(F.hour("ts") == 0).select("reach_id", F.to_date("ts").alias("d"), "qr")
     covered = first_hour.select("reach_id").distinct()
     sub = store(network.target_network(flow, covered), "flow")
@@ -205,7 +214,7 @@ def geometry(spark: SparkSession, config: Config) -> DataFrame:
     names = list(shape.inputs)
     joined = cleaning.join_attributes(flow.select("reach_id"), source.attributes(), names)
     unit = kan.predict(cleaning.fill_and_standardize(joined, source.statistics(), names), shape, weights)
-    pseudo = prob.RoutingProblem(flow, flow, 0, source.reaches(), Scheme(1, 1), datetime(1970, 1, 1))
+    pseudo = prob.RoutingProblem(flow, flow, 0, source.reaches(), Scheme(1, 1), datetime(1970, 1, 1), physics=config.physics)
     params = store(prob.channel_parameters(pseudo, unit), "params")
     stats = summaries.geometry_statistics(daily, params)
     out = params.select("reach_id", "n", "p_spatial", "q_spatial", "slope").join(stats, "reach_id", "left")

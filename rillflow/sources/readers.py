@@ -14,6 +14,9 @@ from rillflow.operators.ranking import row_numbers
 from rillflow.operators.resample import check_coverage, in_period
 from rillflow.sources.schemas import GAUGE_NAMES, GAUGE_OPTIONAL, GAUGE_REQUIRED, INFLOW, OBSERVED, ZONES
 
+#: Folders that gauge subsets are spread over by gauge; written and read with the same number.
+GAUGE_BUCKETS = 64
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +47,7 @@ def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 def read_gauge_subset(spark: SparkSession, path: str, staid: str) -> DataFrame:
     """Adjacency pairs of one gauge; the bucket prunes the files that are read."""
     table = read_table(spark, f"{path}/gauge_pairs")
-    bucket = F.pmod(F.xxhash64(F.lit(staid)), F.lit(64))
+    bucket = F.pmod(F.xxhash64(F.lit(staid)), F.lit(GAUGE_BUCKETS))
     known = read_table(spark, f"{path}/gauges").filter(F.col("staid") == staid)
     if known.isEmpty():
         raise KeyError(staid)
@@ -102,12 +105,23 @@ def read_inflow(
     The period prunes the monthly partitions and is pushed to the scan; a period that the
     store does not cover is an error.
     """
+    check_coverage(read_table(spark, path), "ts", start, end)
+    rows = read_period(spark, path, start, end, value)
+    return rows.join(wanted.select("reach_id"), "reach_id", "left_semi")
+
+
+def read_period(spark: SparkSession, path: str, start: datetime | None, end: datetime | None, value: str = "qr") -> DataFrame:
+    """``reach_id, ts, qr`` of [start, end), or of the whole store without a period.
+
+    Months and timestamps are compared as they are stored, so partitions are pruned and the rest
+    of the filter reaches the scan. Two values for one reach and time are an error.
+    """
     table = read_table(spark, path)
-    check_coverage(table, "ts", start, end)
-    if "month" in table.columns:
-        table = table.filter((F.col("month") >= start.strftime("%Y-%m")) & (F.col("month") <= end.strftime("%Y-%m")))
-    rows = in_period(table, "ts", start, end)
-    return rows.join(wanted.select("reach_id"), "reach_id", "left_semi").select("reach_id", "ts", F.col(value).alias("qr"))
+    if start is not None and end is not None:
+        if "month" in table.columns:
+            table = table.filter((F.col("month") >= start.strftime("%Y-%m")) & (F.col("month") <= end.strftime("%Y-%m")))
+        table = in_period(table, "ts", start, end)
+    return table.select("reach_id", "ts", F.col(value).alias("qr"))
 
 
 def read_observations(

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from rillflow.functions.values import floored_flow, mm_day_to_m3s
 from rillflow.operators import cleaning
 from rillflow.operators.metrics import summarize
-from rillflow.sources.readers import path_exists
+from rillflow.sources.readers import GAUGE_BUCKETS, path_exists
 
-GAUGE_BUCKETS = 64
 # Scores of the detailed report, under the names used there
 DETAIL = {
     "bias": "bias",
@@ -74,11 +73,13 @@ def merit_attributes(order: DataFrame, reaches: DataFrame) -> DataFrame | None:
 
 
 def write_by_month(df: DataFrame, path: str, ts: str = "ts", mode: str = "errorifexists") -> None:
-    """Long series partitioned by month, each month's rows gathered in few files."""
+    """Long series partitioned by month.
+
+    Rows are rebalanced by month: small months share a task, large ones are split into pieces of
+    the session's advisory size, whatever the number of months or rows.
+    """
     month = F.date_format(ts, "yyyy-MM")
-    df.withColumn("month", month).repartition("month", F.pmod(F.xxhash64(df.columns[0]), F.lit(16))).write.mode(mode).partitionBy(
-        "month"
-    ).parquet(path)
+    df.withColumn("month", month).hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(path)
 
 
 def write_results(df: DataFrame, path: str, **notes: str) -> None:

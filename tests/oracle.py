@@ -66,9 +66,10 @@ def main() -> None:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--cores", default="8")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("oracle", f"local[{args.cores}]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = database(args.sf)
     qs, sqls = queries(), oracle_sql()

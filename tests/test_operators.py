@@ -78,7 +78,7 @@ def test_statistics_fill_and_adapters(spark):
     assert {r.reach_id: r.a for r in scores.collect()}[5] == 0.0
     filled = {r.reach_id: r.a for r in cleaning.fill_with_finite_mean(df, ["a"]).collect()}
     assert filled[5] == 4.0
-    atlas = spark.createDataFrame([(1, *[100.0] * 10)], "reach_id bigint, " + ", ".join(f"{n} double" for n in cleaning.HYDROATLAS_NAMES))
+    atlas = spark.createDataFrame([(1, *[100.0] * 10)], "reach_id bigint, " + ", ".join(f"{n} double" for _, n in cleaning.NATIVE_AND_HYDROATLAS))
     row = cleaning.adapt_attributes(atlas).head()
     assert list(row.asDict())[1:] == list(cleaning.NATIVE_ATTRIBUTES)
     assert row.log10_uparea == pytest.approx(2.0) and row.aridity == 100.0
@@ -183,12 +183,20 @@ def test_points_in_polygons(spark):
 
 @pytest.mark.parametrize("kind", lti.RESPONSES)
 def test_unit_responses_conserve_mass(kind):
-    h = lti.unit_response(kind, 0.2, 0.2, 96, 1 / 24)
-    assert h.sum() == pytest.approx(1.0) and len(h) == 96
+    h = lti.unit_response(kind, 0.2, 0.2, 400, 1 / 24)
+    assert h.sum() == pytest.approx(1.0) and len(h) == 400
     if kind == "pure_lag":
         assert h.argmax() in (4, 5)
 
 
+@pytest.mark.parametrize("kind", lti.RESPONSES)
+def test_no_response_is_cut_short(kind):
+    with pytest.raises(ValueError, match="steps"):
+        lti.unit_response(kind, 10.0, 0.2, 96, 1 / 24)
+    whole, longer = lti.unit_response(kind, 10.0, 0.2, None, 1 / 24), lti.unit_response(kind, 10.0, 0.2, 20_000, 1 / 24)
+    assert np.allclose(whole, longer[: len(whole)]) and longer[len(whole) :].sum() < 1e-9
+
+
 def test_linear_routing_equals_convolution(spark):
     start, hours = datetime(2024, 1, 1), 60
     down = {0: None, 1: 0, 2: 0, 3: 1, 4: 3}
@@ -198,9 +206,9 @@ def test_linear_routing_equals_convolution(spark):
     flow = spark.createDataFrame(list(down.items()), "reach_id bigint, down_id bigint")
     series = spark.createDataFrame(rows, "reach_id bigint, ts timestamp_ntz, qr double")
     scheme = Scheme(n_hours=hours, chunk=17)
-    routed = route(layout(topology(flow), 2), lti.lti_parameters(flow, 0.2, 0.2), series, start, scheme, stepper=lti.lti_stepper("nash_cascade", 24))
+    routed = route(layout(topology(flow), 2), lti.lti_parameters(flow, 0.2, 0.2), series, start, scheme, stepper=lti.lti_stepper("nash_cascade"))
     got = {(r.reach_id, r.hour_idx): r.q for r in hourly(routed, start, scheme).collect()}
-    h = lti.unit_response("nash_cascade", 0.2, 0.2, 24, 1 / 24)
+    h = lti.unit_response("nash_cascade", 0.2, 0.2, None, 1 / 24)
     out = {}
     for i in (4, 3, 2, 1, 0):
         total = inflow[:, i] + sum((out[j] for j in down if down[j] == i), np.zeros(hours))
@@ -228,3 +236,79 @@ def test_summaries(spark):
     assert summaries.color_limit(spark.createDataFrame([(0.05,), (-0.02,)], "delta double")).head()[0] == pytest.approx(0.1)
     bins = summaries.log_histogram(spark.createDataFrame([(0.1,), (1000.0,), (5000.0,)], "v double"), "v").collect()
     assert {(r.bin, r.n) for r in bins} == {(0, 1), (49, 1)}
+
+
+def test_ties_do_not_gather_in_one_partition(spark, tmp_path):
+    """Nine of ten rows hold the floor value; the ranked table has one row for it."""
+    from rillflow.operators import ranking
+
+    df = spark.range(40_000).select(F.lit(1).alias("g"), F.when(F.col("id") % 10 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    row = ranking.quantiles(df, "v", {"low": 0.5, "high": 0.95, "top": 1.0}, ["g"]).head()
+    values = np.sort([0.0 if i % 10 else float(i) for i in range(40_000)])
+    assert (row.low, row.high, row.top) == tuple(pytest.approx(np.quantile(values, p)) for p in (0.5, 0.95, 1.0))
+    counted = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    placed = ranking.running_counts(counted, [F.col("v")], "n", ["g"])
+    assert placed.filter("v = 0").count() == 1 and placed.agg(F.max(F.col("_before") + F.col("n"))).head()[0] == 40_000
+
+
+def test_inflow_reads_only_its_months(spark, tmp_path):
+    from rillflow.sources import readers, sinks
+
+    rows = [(i % 5, datetime(2024, 1 + i // 24, 1 + i % 24), float(i)) for i in range(24 * 6)]
+    sinks.write_by_month(spark.createDataFrame(rows, "reach_id bigint, ts timestamp_ntz, qr double"), str(tmp_path / "store"))
+    got = readers.read_period(spark, str(tmp_path / "store"), datetime(2024, 3, 2), datetime(2024, 4, 5))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
+    assert got.count() == sum(datetime(2024, 3, 2) <= ts < datetime(2024, 4, 5) for _, ts, _ in rows)
+
+
+def test_disjoint_attributes_absent_reaches_and_doubled_hours_fail(spark):
+    from rillflow.operators import kan
+    from rillflow.operators.routing import pack_inflow
+
+    reaches = spark.createDataFrame([(1,), (2,)], "reach_id bigint")
+    other = spark.createDataFrame([(9, 1.0)], "reach_id bigint, a double")
+    with pytest.raises(ValueError, match="no reach has catchment attributes"):
+        cleaning.join_attributes(reaches, other, ["a"])
+    shape = kan.KanShape(("a",), ("n",), hidden=2, layers=1, grid=2, k=1)
+    missing = spark.createDataFrame([(1, None)], "reach_id bigint, a double")
+    with pytest.raises(Exception, match="no value of a"):
+        kan.predict(missing, shape, kan.initial_weights(shape, 1)).collect()
+    twice = spark.createDataFrame([(1, datetime(2024, 1, 1, 3), 1.0), (1, datetime(2024, 1, 1, 3), 2.0)], "reach_id bigint, ts timestamp_ntz, qr double")
+    with pytest.raises(Exception, match="two values for one time"):
+        pack_inflow(twice, datetime(2024, 1, 1), Scheme(n_hours=24, chunk=12)).collect()
+
+
+def test_parameters_of_absent_reaches_are_filled_after_the_join(spark):
+    from dataclasses import replace
+
+    from rillflow.functions.hydraulics import Physics
+    from rillflow.plans import problem as prob
+
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, None)], "reach_id bigint, down_id bigint")
+    known = spark.createDataFrame([(1, 100.0, 0.01), (3, 300.0, 0.03)], "reach_id bigint, length_m double, slope double")
+    unit = spark.createDataFrame([(i, 0.5, 0.5) for i in (1, 2, 3)], "reach_id bigint, n double, q_spatial double")
+    one = prob.RoutingProblem(chain, chain, 0, known, Scheme(1, 1), datetime(2024, 1, 1))
+    got = {r.reach_id: r for r in prob.channel_parameters(one, unit).collect()}
+    assert got[2].length_m == pytest.approx(200.0) and got[2].slope == pytest.approx(0.02)
+    wide = replace(one, physics=Physics(ranges={"n": (0.0, 1.0), "q_spatial": (0.0, 4.0)}, log_space=(), defaults={"p_spatial": 7.0}))
+    row = prob.channel_parameters(wide, unit).filter("reach_id = 1").head()
+    assert (row.n, row.q_spatial, row.p_spatial) == (0.5, 2.0, 7.0)
+
+
+def test_changed_minimums_are_refused():
+    from rillflow.config import Config, Params
+
+    Config().check()
+    with pytest.raises(ValueError, match="attribute_minimums"):
+        Config(params=Params(attribute_minimums={"depth": 1.0})).check()
+
+
+def test_gauges_without_a_flowpath_fail(spark):
+    from rillflow.operators import network
+
+    gauges = spark.createDataFrame([("00000001", 5.0), ("00000002", 5.0)], "staid string, drain_sqkm double")
+    rows = spark.createDataFrame([("wb-7", "gages-00000001", 4.0)], "id string, hl_uri string, tot_drainage_areasqkm double")
+    assert [r.staid for r in network.gauges_without_origin(gauges, rows).collect()] == ["00000002"]
+    with pytest.raises(Exception, match="no flowpath carries gauge 00000002"):
+        network.gauge_origin(gauges, rows, rows).collect()
