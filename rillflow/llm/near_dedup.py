@@ -7,7 +7,8 @@
 2. *Buckets.* ``ROWS`` bins make a band, a band's value is a bucket. A pair at similarity
    0.75 misses all buckets with probability 4e-6.
 3. *Stars.* A node asks one centre of its buckets per round, so a round tests at most one
-   pair per node however large the buckets are. Confirmed pairs join components.
+   pair per node however large the buckets are. Confirmed pairs join components. Rounds go
+   on while they halve what is left.
 4. *The rest, exactly.* Pairs inside a component need no test. When stars leave little,
    every pair of one bucket across two components is tested: members outside the bucket's
    largest component against all members. Nothing is capped.
@@ -40,8 +41,8 @@ BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
 CHUNK = 512
 WORD_CACHE = 300_000
-#: Pairs per node up to which the exact step replaces another round of stars.
-FEW_PAIRS = 4
+#: Pairs per node, counted in every bucket they share, up to which the exact step replaces another round of stars.
+FEW_PAIRS = 16
 MOST_ROUNDS = 8
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +206,7 @@ def _fits(n: str, m: str) -> str:
 
 def linked_nodes(live: DataFrame, texts: DataFrame, n_nodes: int) -> DataFrame:
     """``node, comp`` of linked nodes. ``live``: bucket, node, n, of buckets with two nodes or more."""
-    links, known = None, None
+    links, known, before = None, None, None
     for turn in range(MOST_ROUNDS + 1):
         rows = live if known is None else live.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         rows = rows.withColumn("comp", F.col("node")) if known is None else rows
@@ -218,7 +219,9 @@ def linked_nodes(live: DataFrame, texts: DataFrame, n_nodes: int) -> DataFrame:
         if not todo:
             break
         rows = store(rows.join(buckets.select("bucket", "main"), "bucket"), "open")
-        last = turn == MOST_ROUNDS or todo <= FEW_PAIRS * n_nodes
+        # a round that leaves more than half would go on so: what is left is mostly dissimilar
+        last = turn == MOST_ROUNDS or todo <= FEW_PAIRS * n_nodes or (before is not None and 2 * todo > before)
+        before = todo
         if last:
             outer = rows.filter("comp <> main").select("bucket", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"))
             pairs = outer.join(rows, "bucket").filter("cc <> comp").filter(_fits("cn", "n"))
