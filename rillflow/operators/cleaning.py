@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.values import finite_or_null, is_finite, null_if_nan, zscore
+from rillflow.functions.values import finite_or_null, null_if_nan, zscore
 from rillflow.operators.ranking import quantiles
 from rillflow.scratch import store
 
@@ -178,7 +178,3 @@ def adapt_attributes(df: DataFrame, source: str | None = None, key: str = "reach
             v = F.when(v.isNotNull(), F.log10(F.greatest(v, F.lit(1e-6))))
         out.append(v.alias(native))
     return df.select(key, *out)
-
-
-def finite_only(df: DataFrame, name: str) -> DataFrame:
-    return df.filter(is_finite(F.col(name)))

@@ -26,10 +26,6 @@ def with_valid_area(wanted: DataFrame, gauges: DataFrame) -> DataFrame:
     return wanted.join(gauges.filter(F.col("da_valid")).select("staid"), "staid", "left_semi")
 
 
-def in_store(wanted: DataFrame, bridge: DataFrame) -> DataFrame:
-    return wanted.join(bridge.select("staid"), "staid", "left_semi")
-
-
 def not_headwater(wanted: DataFrame, gauge_pairs: DataFrame) -> DataFrame:
     """Keep gauges whose subset has at least one link."""
     return wanted.join(gauge_pairs.select("staid"), "staid", "left_semi")

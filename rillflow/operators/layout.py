@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.operators.ranking import row_numbers
-from rillflow.operators.topology import topology
+from rillflow.operators.topology import join_link, topology
 from rillflow.scratch import store
 
 
@@ -27,7 +27,7 @@ def layout(topo: DataFrame, limit: int) -> DataFrame:
     """
     part = F.floor(F.col("size") / F.lit(limit))
     below = topo.select(F.col("reach_id").alias("down_id"), part.alias("_below"))
-    linked = topo.select("reach_id", "down_id", "level", part.alias("_part")).join(below, "down_id", "left")
+    linked = join_link(topo.select("reach_id", "down_id", "level", part.alias("_part")), "down_id", "reach_id", below)
     same = F.col("_part") == F.col("_below")
     split = store(
         linked.select(
@@ -43,17 +43,15 @@ def layout(topo: DataFrame, limit: int) -> DataFrame:
     )
     placed = store(split.join(tips, "reach_id"), "pieces")
     into = placed.select(F.col("reach_id").alias("out_down"), F.col("piece_id").alias("to_piece"))
-    pieces = (
-        placed.filter(F.col("reach_id") == F.col("piece_id"))
-        .select("piece_id", "out_down")
-        .join(into, "out_down", "left")
-        .select(F.col("piece_id").alias("reach_id"), F.col("to_piece").alias("down_id"))
+    ends = placed.filter(F.col("reach_id") == F.col("piece_id")).select("piece_id", "out_down")
+    pieces = join_link(ends, "out_down", "piece_id", into).select(
+        F.col("piece_id").alias("reach_id"), F.col("to_piece").alias("down_id")
     )
     order = topology(pieces).select(F.col("reach_id").alias("piece_id"), F.col("level").alias("stage"), F.col("down_id").alias("to_piece"))
     sizes = placed.groupBy("piece_id").agg(F.count("*").alias("_n"))
     packed = store(_pack(order.join(sizes, "piece_id"), limit), "bundles")
     stages = packed.select(F.col("piece_id").alias("to_piece"), F.col("stage").alias("to_stage"))
-    plan = packed.join(stages, "to_piece", "left").select("piece_id", "stage", "bundle", "to_stage")
+    plan = join_link(packed, "to_piece", "piece_id", stages).select("piece_id", "stage", "bundle", "to_stage")
     return store(
         placed.join(plan, "piece_id").select(
             "reach_id",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.operators.ranking import row_numbers
-from rillflow.operators.topology import downstream_pairs, nearest_marked, topology, upstream_of
+from rillflow.operators.topology import downstream_pairs, join_link, nearest_marked, topology, upstream_of
 
 
 def flow_from_reaches(reaches: DataFrame, id_col: str = "COMID", down_col: str = "NextDownID") -> DataFrame:
@@ -192,7 +192,7 @@ def target_network(flow: DataFrame, targets: DataFrame) -> DataFrame:
     inside = upstream_of(flow, targets)
     rows = inside.join(flow, "reach_id", "left")
     known = inside.select(F.col("reach_id").alias("down_id"), F.lit(True).alias("_in"))
-    return rows.join(known, "down_id", "left").select(
+    return join_link(rows, "down_id", "reach_id", known).select(
         "reach_id", F.when(F.col("_in"), F.col("down_id")).alias("down_id")
     )
 

@@ -203,7 +203,3 @@ def after_warmup(df: DataFrame, day: str, first: date, warmup: int) -> DataFrame
 def unmatched_days(calendar: DataFrame, series: DataFrame) -> DataFrame:
     """Days of the calendar for which a series has no row at all."""
     return calendar.select("d").join(series.select(F.to_date("d").alias("d")), "d", "left_anti")
-
-
-def at_midnight(col: Column) -> Column:
-    return F.date_trunc("DAY", col)

@@ -118,11 +118,21 @@ def cycle_members(flow: DataFrame) -> DataFrame:
     return state.filter(F.col("jump").isNotNull()).select(F.col("jump").alias("reach_id")).distinct()
 
 
+def join_link(df: DataFrame, link: str, own: str, other: DataFrame) -> DataFrame:
+    """Left join on ``link``, the key of ``other`` too; rows without a link are spread by their own id.
+
+    A join on NULL keys would send every outlet and isolated reach to one partition.
+    """
+    left = df.withColumns({"_linked": F.col(link).isNotNull(), "_link": F.coalesce(link, own)})
+    right = other.withColumnRenamed(link, "_link").withColumn("_linked", F.lit(True))
+    return left.join(right, ["_linked", "_link"], "left").drop("_linked", "_link")
+
+
 def drop_cycles(flow: DataFrame) -> DataFrame:
     """Remove reaches on cycles together with every link that touches them."""
     gone = cycle_members(flow)
     kept = flow.join(gone, "reach_id", "left_anti")
-    marked = kept.join(gone.select(F.col("reach_id").alias("down_id"), F.lit(True).alias("_gone")), "down_id", "left")
+    marked = join_link(kept, "down_id", "reach_id", gone.select(F.col("reach_id").alias("down_id"), F.lit(True).alias("_gone")))
     return marked.select("reach_id", F.when(F.col("_gone").isNull(), F.col("down_id")).alias("down_id"))
 
 

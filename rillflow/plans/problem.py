@@ -15,7 +15,7 @@ from rillflow.operators.gauges import segment_flow_scale
 from rillflow.operators.kernel import Scheme
 from rillflow.operators.layout import layout
 from rillflow.operators.network import gauge_outflow, target_network
-from rillflow.operators.resample import daily_runoff
+from rillflow.operators.resample import after_warmup, daily_runoff
 from rillflow.operators.routing import gauge_hydrographs, hourly, route
 from rillflow.operators.topology import topology
 from rillflow.scratch import store
@@ -163,9 +163,8 @@ def evaluate(problem: RoutingProblem, routed: DataFrame, obs: DataFrame, warmup:
     from rillflow.operators.metrics import all_scores
 
     both = store(with_observations(gauge_daily(problem, routed, tau), obs), "daily")
-    first = (problem.start + timedelta(days=1 + warmup)).date()
-    scored = both.filter(F.col("d") >= F.lit(first))
-    return both, all_scores(scored, "staid", "d")
+    first = (problem.start + timedelta(days=1)).date()
+    return both, all_scores(after_warmup(both, "d", first, warmup), "staid", "d")
 
 
 def long_discharge(problem: RoutingProblem, routed: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,6 +105,10 @@ def summed(spark: SparkSession, config: Config) -> DataFrame:
     else:
         inflow = inflow.select("reach_id", F.to_date("ts").alias("d"), "qr")
     topo, segment = baseline.gauge_structure(flow, wanted)
+    lacking = resample.unmatched_days(days, inflow.select("d").distinct())
+    n_lacking = lacking.count()
+    if n_lacking:
+        warnings.warn(f"{n_lacking} days of the period have no inflow at all", stacklevel=2)
     pred = baseline.summed_inflow(inflow, wanted, days, topo, segment)
     both = store(baseline.with_observations(pred, source.observations()), "summed")
     sinks.write_results(both, f"{config.params.save_path}/summed_q_prime", version=__version__)

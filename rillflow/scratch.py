@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +32,25 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """Collects the scratch paths handed out inside the block, for a later ``remove``."""
+    paths: list[str] = []
+    token = _recorded.set(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.reset(token)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    if (paths := _recorded.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
