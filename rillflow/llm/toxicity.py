@@ -32,12 +32,12 @@ TOXIC_ROWS = 1500
 ORDINARY_ROWS = 4500
 TRAIN_BYTES = 20_000
 ORDINARY_DICTIONARY = 64 << 10
-TOXIC_DICTIONARY = 6 << 10
-LEVEL = 5
+TOXIC_DICTIONARY = 32 << 10
+LEVEL = 12
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: A word is contrastive if its share of toxic documents is so many times its share of others.
-CONTRAST, LEAST_DOCS = 20, 5
+CONTRAST, LEAST_DOCS = 20, 3
 STEMS = (4, 5, 6)
 GAINS = (2, 3, 4, 5, 6)
 WINDOWS_KEPT = 400_000
