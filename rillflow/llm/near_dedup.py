@@ -6,9 +6,9 @@
    Documents with equal sets form one *node*; copies cost nothing from here on.
 2. *Buckets.* ``ROWS`` bins make a band, a band's value is a bucket. A pair at similarity
    0.75 misses all buckets with probability 4e-6.
-3. *Stars.* A node asks one centre of its buckets per round, so a round tests at most one
-   pair per node however large the buckets are. Confirmed pairs join components. Rounds go
-   on while they halve what is left.
+3. *Stars.* A node asks one centre of its buckets in the first round and up to ``ASKED`` in
+   later ones, so the pairs of a round are bounded by the nodes however large the buckets
+   are. Confirmed pairs join components. Rounds go on while they halve what is left.
 4. *The rest, exactly.* Pairs inside a component need no test. When stars leave little,
    every pair of one bucket across two components is tested: members outside the bucket's
    largest component against all members. Nothing is capped.
@@ -43,7 +43,8 @@ CHUNK = 512
 WORD_CACHE = 300_000
 #: Pairs per node, counted in every bucket they share, up to which the exact step replaces another round of stars.
 FEW_PAIRS = 16
-MOST_ROUNDS = 8
+#: Centres a node asks in a round after the first, rounds that are always made if much is left, most rounds.
+ASKED, LEAST_ROUNDS, MOST_ROUNDS = 8, 3, 8
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -162,6 +163,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs`` (c, m) those whose complete sets are similar, as (a, b). ``texts``: node, text."""
+    pairs = store(pairs, "asked")
     salts = pairs.groupBy("c").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("salts"))
     dealt = store(pairs.join(salts, "c").select("c", F.pmod(F.xxhash64("m"), F.col("salts")).alias("chunk"), "m"), "pairs")
     wanted = dealt.select("c", "chunk", "m", F.col("m").alias("node")).unionByName(
@@ -207,9 +209,10 @@ def _fits(n: str, m: str) -> str:
 def linked_nodes(live: DataFrame, texts: DataFrame, n_nodes: int) -> DataFrame:
     """``node, comp`` of linked nodes. ``live``: bucket, node, n, of buckets with two nodes or more."""
     links, known, before = None, None, None
+    rows = live.withColumn("comp", F.col("node"))
     for turn in range(MOST_ROUNDS + 1):
-        rows = live if known is None else live.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rows = rows.withColumn("comp", F.col("node")) if known is None else rows
+        if known is not None:  # closed buckets stay closed, so the open ones of the last round are enough
+            rows = rows.select("bucket", "node", "n").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sides = rows.groupBy("bucket", "comp").agg(F.count("*").alias("held"))
         buckets = sides.groupBy("bucket").agg(
             F.max_by("comp", F.struct("held", "comp")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most"), F.count("*").alias("comps")
@@ -219,19 +222,24 @@ def linked_nodes(live: DataFrame, texts: DataFrame, n_nodes: int) -> DataFrame:
         if not todo:
             break
         rows = store(rows.join(buckets.select("bucket", "main"), "bucket"), "open")
-        # a round that leaves more than half would go on so: what is left is mostly dissimilar
-        last = turn == MOST_ROUNDS or todo <= FEW_PAIRS * n_nodes or (before is not None and 2 * todo > before)
+        # a late round that leaves more than half would go on so: what is left is mostly dissimilar
+        slow = turn >= LEAST_ROUNDS and 2 * todo > before
+        last = turn > 0 and (turn == MOST_ROUNDS or todo <= FEW_PAIRS * n_nodes or slow)
         before = todo
         if last:
             outer = rows.filter("comp <> main").select("bucket", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"))
             pairs = outer.join(rows, "bucket").filter("cc <> comp").filter(_fits("cn", "n"))
             pairs = pairs.select(F.least("c", "node").alias("c"), F.greatest("c", "node").alias("m")).distinct()
         else:
-            order = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
+            # first the smallest node of a bucket, later one drawn per bucket
+            order = F.xxhash64(F.lit(turn), "bucket", "node") if turn else F.col("node")
             centre = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "comp"), order).alias("centre"))
             asked = rows.join(centre, "bucket").select("node", "n", "comp", F.col("centre.node").alias("c"), F.col("centre.n").alias("cn"), F.col("centre.comp").alias("cc"))
             asked = asked.filter("cc <> comp").filter(_fits("cn", "n"))
-            pairs = asked.groupBy("node").agg(F.min_by("c", F.xxhash64(F.lit(turn), "c") if turn else F.col("c")).alias("c")).select("c", F.col("node").alias("m"))
+            rank = F.xxhash64(F.lit(turn), "node", "c") if turn else F.col("c")
+            # a node has at most BANDS centres
+            drawn = asked.groupBy("node").agg(F.sort_array(F.collect_set(F.struct(rank.alias("rank"), "c"))).alias("drawn"))
+            pairs = drawn.select(F.explode(F.slice("drawn", 1, ASKED if turn else 1)).alias("d"), "node").select("d.c", F.col("node").alias("m"))
         found = confirm(pairs, texts)
         links = found if links is None else links.unionByName(found)
         known = store(components(links), "components")
