@@ -39,7 +39,7 @@ def parameter_table(reaches: DataFrame, k=None, x=None, tau=None, delay=None, k_
 
 
 #: Share of a response that may lie beyond its length.
-MOST_BEYOND = 1e-10
+MOST_BEYOND = 1e-14
 
 
 def _raw_response(kind: str, k: float, x: float, steps: int, dt: float, stages: int = 2) -> np.ndarray:
