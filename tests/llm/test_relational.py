@@ -118,6 +118,13 @@ def test_divergence_rejects_odd_text_and_keeps_prose(spark):
     assert kept == {r[0] for r in rows} - {100}
 
 
+def test_most_labelled_junk_is_rejected_and_clean_text_is_kept(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.judged(docs, ["doc_id"]).filter("not _rule.base_failed").join(labels, "doc_id").select("quality", "_rule_kept").collect()
+    kept = {k: [r["_rule_kept"] for r in out if r["quality"] == k] for k in (0, 1)}
+    assert sum(kept[0]) / len(kept[0]) < 0.2 and sum(kept[1]) / len(kept[1]) > 0.999
+
+
 def test_url_rules_and_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com/en/", "http://a.example.com/en/", "http://example.com",
             "http://net/es/", "http://xnet/es/", "http://a.net/fr/1#u", "s://É.com/", "http://h?://q/", "a://b\nc/d"]
