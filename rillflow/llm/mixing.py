@@ -13,7 +13,7 @@ closes, and only the documents of that leaf are put in order.
 
 Null source: a source of its own, last. Null or wordless text: size 0, nothing to take.
 Documents that share id and text share their random number and are interchangeable; their
-order is arbitrary. An empty table gives an empty result. Other columns travel untouched in
+order is arbitrary, and at the border only as many of them as fill the gap are taken. An empty table gives an empty result. Other columns travel untouched in
 ``mix_documents``.
 """
 
@@ -80,6 +80,7 @@ def copies(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIG
             "source",
             word_count(F.col("text")).alias("size"),
             unit_interval(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("u"),
+            F.monotonically_increasing_id().alias("row"),  # tells apart rows that repeat id and text
             kept.alias("payload"),
         ).withColumn("named", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit(""))),
         "mix-sizes",
@@ -113,13 +114,13 @@ def copies(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIG
     inside = open_.join(coarse, "source").filter(first == F.col("cut1"))
     fine = store(_closing_cell(cells(inside, second, "gap1")).select("source", F.col("cell").alias("cut2"), F.col("left").alias("gap2")), "mix-fine")
     leaf = open_.join(fine, "source").filter(second == F.col("cut2"))
-    w = Window.partitionBy("source").orderBy("key", "u", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("source").orderBy("key", "u", "size", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = F.sum("size").over(w)
     # the document across the border is taken if that brings the source nearer to its target
     chosen = leaf.withColumn("run", run).filter(2 * (F.col("run") - F.col("gap2")) <= F.col("size"))
-    ends = chosen.groupBy("source").agg(F.max(F.struct("key", "u", "size", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))).alias("last"))
+    mine = F.struct("key", "u", "size", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "row")
+    ends = chosen.groupBy("source").agg(F.max(mine).alias("last"))
     limits = plan.select("source").join(fine.select("source", "cut2"), "source", "left").join(ends, "source", "left")
-    mine = F.struct("key", "u", "size", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))
     extra = (second < F.col("cut2")) | ((second == F.col("cut2")) & F.coalesce(mine <= F.col("last"), F.lit(False)))
     # a source whose gap never closes (it equals all its words) takes every document
     extra = F.col("key").isNotNull() & F.when(F.col("cut2").isNull(), True).otherwise(extra)

@@ -1,7 +1,9 @@
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 from rillflow.llm import mixing, quality, sharding, url_filter
 from rillflow.llm.queries import ORACLES, QUERIES
 
@@ -53,6 +55,20 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.copies(empty(spark)).count() == 0 and mixing.mix_documents(empty(spark)).count() == 0
 
 
+def test_rows_tied_at_the_border_only_fill_the_gap(spark, tmp_path):
+    rows = [(1, prose(3, 40), "en", "a", 0)] * 200 + [(1000 + i, prose(i, 30), "en", "b", 0) for i in range(50)]
+    rows += [(None, prose(4, 25), "en", "c", 0)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents"))
+    df = spark.read.parquet(str(tmp_path / "documents"))
+    out = mixing.copies(df).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    assert compare(out, con, ORACLES["op2_mix_sources"]) == ""
+    for size, (taken, target) in {r["size"]: (r["sum(taken)"], r["max(target)"]) for r in out.filter("size > 0").groupBy("size").agg({"taken": "sum", "target": "max"}).collect()}.items():
+        assert abs(taken - target) <= size / 2 + 1
+
+
 def test_inclusion_follows_the_odds(spark):
     """Over many seeds short documents enter more rarely than long ones, by their odds."""
     rows = [(i, " ".join(["w"] * (4 if i % 2 else 64)), "en", "a", 0) for i in range(400)]
