@@ -1,9 +1,12 @@
+import hashlib
 import zlib
+from collections import Counter
 
 import corpus_pipeline
+import duckdb
 from pyspark.sql import functions as F
 from rillflow.llm import toxicity
-from rillflow.llm.queries import QUERIES
+from rillflow.llm.queries import ORACLES, QUERIES
 from rillflow.scratch import store
 from tokenizers import Tokenizer
 
@@ -68,6 +71,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(repr, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(map(repr, out.collect()))
 
 
+def test_pipeline_stages_equal_sql_and_library(spark, tmp_path):
+    """Verdicts, copies per document and both hashes, each over the stage's own input."""
+    sf_dir = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(corpus_pipeline.BYTE_BPE())
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    docs, source = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{sf_dir}/documents.parquet"
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        rows = docs.collect()
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{source}')")
+        if name == "quality_rules":
+            want = con.execute(f"SELECT doc_id FROM ({ORACLES['op4_quality_rules']}) WHERE kept").fetchall()
+            assert 0 < len(rows) < len(before) and sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in want)
+        if name == "mixing":
+            taken = con.execute(f"SELECT doc_id, taken // size FROM ({ORACLES['op2_mix_sources']}) WHERE taken > 0").fetchall()
+            text = {r["doc_id"]: r for r in before}
+            assert Counter(r["doc_id"] for r in rows) == Counter(dict(taken)) and all(r == text[r["doc_id"]] for r in rows)
+        if name == "bpe":
+            ids = {r["text"]: library.encode(r["text"], add_special_tokens=False).ids for r in before}
+            want = [(r["doc_id"], len(i := ids[r["text"]]), sha(",".join(map(str, i))), sha(library.decode(i, skip_special_tokens=False))) for r in before]
+            assert sorted(map(tuple, rows)) == sorted(want)
+        source = str(tmp_path / str(k) / "*.parquet")
+
+
 def test_pipeline_of_awkward_and_empty_tables(spark):
     for docs in (awkward(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
