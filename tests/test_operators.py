@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from rillflow.functions import hydraulics as hyd
 from rillflow.functions import ids
 from rillflow.functions import values as val
-from rillflow.operators import cleaning, gauges, lti, references, resample, summaries
+from rillflow.operators import cleaning, gauges, lti, network, references, resample, summaries
 from rillflow.operators.kernel import Scheme
 from rillflow.operators.layout import layout
 from rillflow.operators.routing import hourly, route
 from rillflow.operators.topology import topology
 from rillflow.plans import problem as prob
+from rillflow.sources import readers, sinks
 
 NAN = float("nan")
 
@@ -312,3 +313,28 @@ def test_gauges_without_a_flowpath_fail(spark):
     assert [r.staid for r in network.gauges_without_origin(gauges, rows).collect()] == ["00000002"]
     with pytest.raises(Exception, match="no flowpath carries gauge 00000002"):
         network.gauge_origin(gauges, rows, rows).collect()
+
+
+def test_batch_pairs_of_nested_gauges(spark):
+    pairs = spark.createDataFrame([("a", 1, 0), ("b", 1, 0), ("b", 2, 1), ("c", 9, 8)], "staid string, dn_idx long, up_idx long")
+    batch = spark.createDataFrame([("a",), ("b",), ("missing",)], "staid string")
+    assert sorted(map(tuple, network.batch_pairs(pairs, batch).collect())) == [(1, 0), (2, 1)]
+
+
+def test_first_and_last_day_are_dropped(spark):
+    days = spark.createDataFrame([(date(2001, 1, d),) for d in range(1, 6)], "d date")
+    out = resample.without_ends(days, "d", date(2001, 1, 1), date(2001, 1, 5))
+    assert sorted(r["d"].day for r in out.collect()) == [2, 3, 4]
+
+
+def test_stored_baseline_and_gauge_tables(spark, tmp_path):
+    gauge = spark.createDataFrame([("02", 1.5), ("01", 2.5)], "STAID string, q double")
+    path = str(tmp_path / "summed")
+    assert readers.read_summed(spark, path, gauge.select(F.col("STAID").alias("staid"))) is None
+    gauge.select(F.col("STAID").alias("staid"), "q").write.parquet(path)
+    known, unknown = (spark.createDataFrame([(x,)], "staid string") for x in ("01", "99"))
+    assert [tuple(r) for r in readers.read_summed(spark, path, known).collect()] == [("01", 2.5)]
+    assert readers.read_summed(spark, path, unknown) is None
+    sinks.write_gauge_tables({"all": gauge, "one": gauge.filter("STAID = '02'")}, str(tmp_path / "csv"))
+    texts = {k: ["".join(f.read_text() for f in (tmp_path / "csv" / k).glob("part-*"))] for k in ("all", "one")}
+    assert texts == {"all": ["STAID,q\n01,2.5\n02,1.5\n"], "one": ["STAID,q\n02,1.5\n"]}
