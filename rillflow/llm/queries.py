@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_count, token_file, toxicity, url_filter
+from rillflow.llm import (
+    bpe,
+    exact_dedup,
+    fill_middle,
+    mixing,
+    near_dedup,
+    quality,
+    sharding,
+    token_count,
+    token_file,
+    toxicity,
+    url_filter,
+)
 from rillflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +227,27 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+@_query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    hashed = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select(
+        "record.doc_id", "n", "form", "prefix_chars", "middle_chars", hashed(F.col("output")).alias("output_sha256"), hashed(back).alias("restored_sha256")
+    )
+
+
+ORACLES["op12_fill_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) s,
+  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') u FROM documents),
+h AS (SELECT *, len(u) n, ('0x' || substr(s, 1, 8))::BIGINT h1, ('0x' || substr(s, 9, 8))::BIGINT h2, ('0x' || substr(s, 17, 8))::BIGINT h3,
+  ('0x' || substr(s, 25, 8))::BIGINT h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+       WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END form FROM h),
+x AS (SELECT *, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:], '') r FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || r || '<M>' || m WHEN 'spm' THEN '<S>' || r || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM x"""
