@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm import (
     bpe,
+    embedding_dedup,
     exact_dedup,
     fill_middle,
     mixing,
@@ -251,3 +252,18 @@ x AS (SELECT *, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || r || '<M>' || m WHEN 'spm' THEN '<S>' || r || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
   sha256(t) AS restored_sha256 FROM x"""
+
+
+@_query
+def op13_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_embedding_duplicates"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () r, vec_id, embedding::DOUBLE[] v,
+  embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 ok FROM embeddings),
+l AS MATERIALIZED (SELECT a.r a, b.r b, b.vec_id id FROM v a JOIN v b ON a.ok AND b.ok AND len(a.v) = len(b.v) AND a.r <> b.r
+  AND list_cosine_similarity(a.v, b.v) >= 0.95),
+c AS (SELECT r a, r b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT c.a r, min(v.vec_id) component_id FROM c JOIN v ON c.b = v.r GROUP BY c.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.r)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m USING (r)"""
