@@ -12,6 +12,7 @@ from rillflow.llm import (
     embedding_dedup,
     exact_dedup,
     fill_middle,
+    hard_negatives,
     mixing,
     near_dedup,
     quality,
@@ -261,9 +262,28 @@ def op13_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op13_embedding_duplicates"] = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () r, vec_id, embedding::DOUBLE[] v,
-  embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 ok FROM embeddings),
+  embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ok FROM embeddings),
 l AS MATERIALIZED (SELECT a.r a, b.r b, b.vec_id id FROM v a JOIN v b ON a.ok AND b.ok AND len(a.v) = len(b.v) AND a.r <> b.r
   AND list_cosine_similarity(a.v, b.v) >= 0.95),
 c AS (SELECT r a, r b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
 m AS (SELECT c.a r, min(v.vec_id) component_id FROM c JOIN v ON c.b = v.r GROUP BY c.a)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.r)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m USING (r)"""
+
+
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (SELECT row_number() OVER () r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END y,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.r, a.vec_id anchor_id, b.r other, b.vec_id, a.y = b.y same, list_inner_product(a.q, b.q)::BIGINT score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w::INT AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.r = p.r AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 3"""
