@@ -182,7 +182,7 @@ class Tile:
         return out
 
     def links(self, v: np.ndarray, earlier: list[list[int]], first: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs. ``first``: rows of the first chunk, which comes first; all of them if there is one chunk."""
+        """Index pairs. ``first``: rows of the first chunk, which come first; all rows if the tile has one chunk."""
         unit, n = _unit(v), len(v)
         shared = self._shared(earlier)
         one = first == n
@@ -233,6 +233,8 @@ def _verified(cosine: float):
                 if e - s < 2:
                     continue
                 first = int(np.count_nonzero(chunks[s:e] == key[1, s]))
+                if key[1, s] != key[2, s] and first in (0, e - s):
+                    continue  # a chunk that got no row
                 a, b = tile.links(_matrix(vectors.slice(s, e - s)), earlier[s:e], first)
                 if not len(a):
                     continue
