@@ -6,21 +6,24 @@
    Documents with equal sets form one *node*; copies cost nothing from here on.
 2. *Buckets.* ``ROWS`` bins make a band, a band's value is a bucket. A pair at similarity
    0.75 misses all buckets with probability 4e-6.
-3. *Stars.* A node asks one centre of its buckets in the first round and up to ``ASKED`` in
-   later ones, so the pairs of a round are bounded by the nodes however large the buckets
-   are. Confirmed pairs join components. Rounds go on while they halve what is left.
-4. *The rest, exactly.* Pairs inside a component need no test. When stars leave little,
-   every pair of one bucket across two components is tested: members outside the bucket's
-   largest component against all members. Nothing is capped.
-
-A test compares complete sets, ``100 * intersection >= 75 * union``. Texts of a centre's
-members are dealt in chunks of ``CHUNK``, so that a centre with a third of all documents is
-spread over many tasks.
+3. *Stars.* The smallest node of a bucket is its centre, and the only candidate edges are those
+   from members to centres, of which a node has at most ``BANDS``. Nodes that meet in a bucket
+   meet in the group of its centre, so a pair is never a row of its own.
+4. *Tiles.* A group comes to a task with its sets, in chunks of bounded size that all hold the
+   centre. There nodes are joined: the bytes of the minima that agree tell which pairs may be
+   similar (a pair at the threshold lies ``SIGMAS`` standard deviations above the bound), those
+   are tested on complete sets, and pairs that are already in one component are not. Only the
+   smallest node of its component comes back for a node.
+5. *Large groups.* Where a group has several chunks, what its largest component has not yet
+   taken in meets all its members, again in tiles. Nothing is capped.
+
+A test compares complete sets, ``100 * intersection >= 75 * union``.
 
 NULL, empty or wordless text: empty set, linked with nothing. Rows that repeat a ``doc_id``
 are each judged by their own text; a row is kept if its id is its component's smallest.
-Rows without id never give a component its name unless no row has an id. An empty table
-gives an empty result. Column names other than ``doc_id`` and ``text`` are not read.
+Rows without id never give a component its name unless no row has an id. Texts of any length
+are taken whole; the bytes of their sets bound a chunk. An empty table gives an empty result.
+Column names other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -39,12 +42,11 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
-CHUNK = 512
 WORD_CACHE = 300_000
-#: Pairs per node, counted in every bucket they share, up to which the exact step replaces another round of stars.
-FEW_PAIRS = 16
-#: Centres a node asks in a round after the first, rounds that are always made if much is left, most rounds.
-ASKED, LEAST_ROUNDS, MOST_ROUNDS = 8, 3, 8
+#: Nodes and bytes of sets in a chunk.
+CHUNK, CHUNK_BYTES = 4096, 24 << 20
+#: Standard deviations between the threshold and the share of agreeing minima below which a pair is not tested.
+SIGMAS = 6.0
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -116,20 +118,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
-        n, k1, k2, bands = [], [], [], []
+        n, k1, k2, bands, minima = [], [], [], [], []
         for text in batch.column("text"):
             found = shingler(text.as_py())
             n.append(len(found))
             digest = xxhash.xxh3_128_digest(found.tobytes())
             k1.append(int.from_bytes(digest[:8], "little", signed=True))
             k2.append(int.from_bytes(digest[8:], "little", signed=True))
-            bands.append(band_keys(signature(found)) if len(found) else np.empty(0, np.int64))
+            mins = signature(found) if len(found) else None
+            bands.append(band_keys(mins) if mins is not None else np.empty(0, np.int64))
+            minima.append(mins.astype(np.uint8).tobytes() if mins is not None else b"")
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
         flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            names=["doc_id", "th", "n", "k1", "k2", "bands"],
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(minima, pa.binary())],
+            names=["doc_id", "th", "n", "k1", "k2", "bands", "minima"],
         )
 
 
@@ -144,34 +148,78 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (centre, chunk), the centre's own row first."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    centre, own = None, None
     for batch in batches:
-        found = []
-        for c, m, text in zip(batch.column("c").to_pylist(), batch.column("m").to_pylist(), batch.column("text"), strict=True):
-            mine = shingler(text.as_py())
-            if m is None:
-                centre, own = c, mine
-            elif centre == c and similar(own, mine):
-                found.append((c, m))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _ in found], pa.int64()), pa.array([m for _, m in found], pa.int64())], names=["a", "b"]
-        )
+        found = [shingler(text.as_py()).tobytes() for text in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "hashes"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of ``pairs`` (c, m) those whose complete sets are similar, as (a, b). ``texts``: node, text."""
-    pairs = store(pairs, "asked")
-    salts = pairs.groupBy("c").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("salts"))
-    dealt = store(pairs.join(salts, "c").select("c", F.pmod(F.xxhash64("m"), F.col("salts")).alias("chunk"), "m"), "pairs")
-    wanted = dealt.select("c", "chunk", "m", F.col("m").alias("node")).unionByName(
-        dealt.select("c", "chunk").distinct().select("c", "chunk", F.lit(None).cast("long").alias("m"), F.col("c").alias("node"))
-    )
-    rows = wanted.join(texts, "node").select("c", "chunk", "m", "text")
-    rows = rows.repartition("c", "chunk").sortWithinPartitions("c", "chunk", F.col("m").asc_nulls_first())
-    return store(rows.select("c", "m", "text").mapInArrow(_confirm, "a long, b long"), "links")
+def bound(sizes: np.ndarray) -> np.ndarray:
+    """Share of agreeing minima that a pair at the threshold practically reaches, by the size of its smaller set."""
+    filled = BINS * -np.expm1(-sizes / BINS)
+    share = PERCENT / 100
+    return share - SIGMAS * np.sqrt(share * (1 - share) / np.maximum(filled, 1.0))
+
+
+def join_similar(sets: list[np.ndarray], minima: np.ndarray, labels: np.ndarray, first: int | None = None) -> np.ndarray:
+    """``labels`` after every pair of similar sets with different labels is joined, under the smaller label.
+
+    With ``first``, only pairs of one of the first sets with one of the others count.
+    """
+    labels = labels.copy()
+    sizes = np.array([len(x) for x in sets], np.float64)
+    least = bound(sizes)
+    for c in range(len(sets) if first is None else first):
+        others = np.arange(c + 1 if first is None else first, len(sets))
+        others = others[labels[others] != labels[c]]
+        fits = 100 * np.minimum(sizes[others], sizes[c]) >= PERCENT * np.maximum(sizes[others], sizes[c])
+        others = others[fits]
+        if not len(others):
+            continue
+        share = (minima[others] == minima[c]).mean(axis=1)
+        likely = share >= np.minimum(least[others], least[c])
+        for k in others[likely][np.argsort(-share[likely], kind="stable")].tolist():
+            if labels[k] != labels[c] and similar(sets[c], sets[k]):
+                low, high = sorted((int(labels[c]), int(labels[k])))
+                labels[labels == high] = low
+    return labels
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile (centre, outer, chunk). Gives every node whose component changed with its new one.
+
+    Rows have the component known so far; ``side`` 0 marks rows that meet those with side 1, without it all meet.
+    """
+    key, rows = None, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        rows.sort(key=lambda r: (r[0] or 0, r[1]))
+        nodes, comps = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        minima = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), BINS)
+        first = None if rows[0][0] is None else sum(r[0] == 0 for r in rows)
+        after = join_similar(sets, minima, comps, first)
+        new = after != comps
+        if new.any():
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array(after[new])], names=["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("centre", "outer", "chunk", "side", "node", "comp")]
+        for i, (centre, outer, chunk, side, node, comp) in enumerate(zip(*columns, strict=True)):
+            if (centre, outer, chunk) != key:
+                yield from flush()
+                key, rows = (centre, outer, chunk), []
+            rows.append((side, node, comp, batch.column("hashes")[i].as_py(), batch.column("minima")[i].as_py()))
+    yield from flush()
+
+
+def in_tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows``: centre, outer, chunk, side, node, comp. Gives links (a, b) between components."""
+    rows = rows.join(sets, "node").repartition("centre", "outer", "chunk").sortWithinPartitions("centre", "outer", "chunk")
+    return store(rows.select("centre", "outer", "chunk", "side", "node", "comp", "hashes", "minima").mapInArrow(_tiles, "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,53 +249,38 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def _fits(n: str, m: str) -> str:
-    """Sizes too far apart cannot reach the similarity."""
-    return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
-
-
-def linked_nodes(live: DataFrame, texts: DataFrame, n_nodes: int) -> DataFrame:
-    """``node, comp`` of linked nodes. ``live``: bucket, node, n, of buckets with two nodes or more."""
-    links, known, before = None, None, None
-    rows = live.withColumn("comp", F.col("node"))
-    for turn in range(MOST_ROUNDS + 1):
-        if known is not None:  # closed buckets stay closed, so the open ones of the last round are enough
-            rows = rows.select("bucket", "node", "n").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        sides = rows.groupBy("bucket", "comp").agg(F.count("*").alias("held"))
-        buckets = sides.groupBy("bucket").agg(
-            F.max_by("comp", F.struct("held", "comp")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most"), F.count("*").alias("comps")
-        ).filter("comps > 1").select("bucket", "main", (F.col("all") * (F.col("all") - F.col("most"))).alias("pairs"))
-        buckets = store(buckets, "buckets")
-        todo = buckets.agg(F.sum("pairs")).first()[0] or 0
-        if not todo:
-            break
-        rows = store(rows.join(buckets.select("bucket", "main"), "bucket"), "open")
-        # a late round that leaves more than half would go on so: what is left is mostly dissimilar
-        slow = turn >= LEAST_ROUNDS and 2 * todo > before
-        last = turn > 0 and (turn == MOST_ROUNDS or todo <= FEW_PAIRS * n_nodes or slow)
-        before = todo
-        if last:
-            outer = rows.filter("comp <> main").select("bucket", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"))
-            pairs = outer.join(rows, "bucket").filter("cc <> comp").filter(_fits("cn", "n"))
-            pairs = pairs.select(F.least("c", "node").alias("c"), F.greatest("c", "node").alias("m")).distinct()
-        else:
-            # first the smallest node of a bucket, later one drawn per bucket
-            order = F.xxhash64(F.lit(turn), "bucket", "node") if turn else F.col("node")
-            centre = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "comp"), order).alias("centre"))
-            asked = rows.join(centre, "bucket").select("node", "n", "comp", F.col("centre.node").alias("c"), F.col("centre.n").alias("cn"), F.col("centre.comp").alias("cc"))
-            asked = asked.filter("cc <> comp").filter(_fits("cn", "n"))
-            rank = F.xxhash64(F.lit(turn), "node", "c") if turn else F.col("c")
-            # a node has at most BANDS centres
-            drawn = asked.groupBy("node").agg(F.sort_array(F.collect_set(F.struct(rank.alias("rank"), "c"))).alias("drawn"))
-            pairs = drawn.select(F.explode(F.slice("drawn", 1, ASKED if turn else 1)).alias("d"), "node").select("d.c", F.col("node").alias("m"))
-        found = confirm(pairs, texts)
-        links = found if links is None else links.unionByName(found)
-        known = store(components(links), "components")
-        if last:
-            break
-    if known is None:
-        return live.select("node", F.col("node").alias("comp")).limit(0)
-    return known
+def _dealt(rows: DataFrame, by: str, into: str, chunks: str) -> DataFrame:
+    return rows.withColumn(into, F.pmod(F.xxhash64(by), F.col(chunks)).cast("int"))
+
+
+def linked_nodes(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, comp`` of linked nodes. ``live``: bucket, node, of buckets with two nodes or more; ``sets``: node, hashes, minima."""
+    centres = live.groupBy("bucket").agg(F.min("node").alias("centre"))
+    members = live.join(centres, "bucket").select("centre", "node").distinct()
+    members = store(members.join(sets.select("node", F.octet_length("hashes").alias("bytes")), "node"), "members")
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(CHUNK), F.sum("bytes") / F.lit(CHUNK_BYTES))).cast("int")
+    sizes = store(members.groupBy("centre").agg(parts.alias("chunks")), "sizes")
+    none = F.lit(None).cast("int")
+    own = _dealt(members.filter("node <> centre").join(sizes, "centre"), "node", "chunk", "chunks").select("centre", "chunk", "node")
+    hubs = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("node"))
+    rows = own.unionByName(hubs).select("centre", F.lit(0).alias("outer"), "chunk", none.alias("side"), "node", F.col("node").alias("comp"))
+    links = in_tiles(rows, sets)
+    large = sizes.filter("chunks > 1")
+    if large.isEmpty():
+        return components(links)
+    known = store(components(links), "components")
+    spread = members.join(large, "centre").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    spread = store(spread, "large")
+    main = spread.groupBy("centre", "comp").agg(F.count("*").alias("held"))
+    main = main.groupBy("centre").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"))
+    outside = spread.join(main, "centre").filter("comp <> main")
+    outer = outside.groupBy("centre").agg(parts.alias("outers"))
+    outside = _dealt(outside.join(outer, "centre"), "node", "outer", "outers").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    inside = _dealt(spread.join(outer, "centre"), "node", "chunk", "chunks").withColumn("outer", F.explode(F.sequence(F.lit(0), F.col("outers") - 1)))
+    columns = lambda side: ("centre", "outer", "chunk", F.lit(side).alias("side"), "node", "comp")
+    more = in_tiles(outside.select(*columns(0)).unionByName(inside.select(*columns(1))), sets)
+    joined = known.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
+    return components(joined)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -257,21 +290,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    schema = "doc_id long, th long, n long, k1 long, k2 long, bands array<long>"
+    schema = "doc_id long, th long, n long, k1 long, k2 long, bands array<long>, minima binary"
     sets = store(slim.mapInArrow(_sets, schema), "sets")
     filled = sets.filter("n > 0")
     classes = filled.groupBy("k1", "k2", "n").agg(
-        F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands"), F.first("minima").alias("minima")
     )
     nodes = store(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    placed = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
+    placed = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1").select("bucket")
     live = store(placed.join(shared, "bucket"), "live")
-    asked = live.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.th")
+    asked = live.select("node").distinct().join(nodes.select("node", "rep", "minima"), "node").select("node", "minima", "rep.doc_id", "rep.th")
     same = F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.th") == F.col("r.th"))
-    texts = store(slim.alias("t").join(asked.alias("r"), same).select("r.node", "t.text"), "texts")
-    n_nodes = nodes.count()
-    comps = linked_nodes(live, texts, n_nodes)
+    texts = slim.alias("t").join(asked.alias("r"), same).select("r.node", "t.text").dropDuplicates(["node"])
+    sets_of = store(texts.mapInArrow(_hashed, "node long, hashes binary"), "shingles")
+    comps = linked_nodes(live, sets_of.join(asked.select("node", "minima"), "node"))
     named = nodes.select("node", "k1", "k2", "min_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     named = named.join(names, "comp").select("k1", "k2", "component_id")

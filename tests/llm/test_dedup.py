@@ -100,14 +100,34 @@ def chain_rows():
     return rows
 
 
-@pytest.mark.parametrize("few", [4, 0])
-def test_chains_and_hubs_lose_no_link(spark, monkeypatch, few):
-    monkeypatch.setattr(near_dedup, "FEW_PAIRS", few)
+@pytest.mark.parametrize("chunk", [4096, 20])
+def test_chains_and_hubs_lose_no_link(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     df = spark.createDataFrame(chain_rows(), "doc_id long, text string").repartition(4)
     out = near_dedup.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept")
     assert plain_rows(out) == brute_components(chain_rows())
 
 
+def test_rows_that_repeat_id_and_text_make_one_node(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base)] * 200 + [(2, base + " tail")] * 200 + [(3, "other words altogether here now")] * 3
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {tuple(r) for r in out.select("doc_id", "n_shingles", "component_id", "kept").collect()} == {(1, 56, 1, True), (2, 57, 1, False), (3, 1, 3, True)}
+    assert out.count() == 403
+
+
+def test_bound_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(4)
+    for size in (3, 12, 60, 400, 3000):
+        lost = 0
+        for _ in range(200):
+            a = np.unique(rng.integers(0, 1 << 62, 7 * size).astype(np.uint64))
+            x, y = a, a[: max(1, -(-3 * len(a) // 4))]
+            share = (near_dedup.signature(x).astype(np.uint8) == near_dedup.signature(y).astype(np.uint8)).mean()
+            lost += share < near_dedup.bound(np.array([float(len(y))]))[0]
+        assert lost == 0
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     for size in (3, 40, 3000):
