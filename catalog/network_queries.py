@@ -177,7 +177,7 @@ BRIDGE = """, bridge AS (SELECT g.staid, w.reach_id FROM gauge g JOIN walk w ON
     with_tables("reach", "gauge", recursive=True, body=WALK + BRIDGE + "SELECT staid, reach_id FROM bridge"),
 )
 def g_gauge_reaches(spark, sf_dir):
-    return net.gauge_reaches(flow(spark, sf_dir), table(spark, sf_dir, "gauge"))
+    return net.gauge_reaches(network(spark, sf_dir)["pieces"].order, table(spark, sf_dir, "gauge"))
 
 
 @query(
@@ -191,8 +191,9 @@ def g_gauge_reaches(spark, sf_dir):
     ),
 )
 def g_subset_edges(spark, sf_dir):
-    bridge = net.gauge_reaches(flow(spark, sf_dir), table(spark, sf_dir, "gauge"))
-    return net.subset_pairs(bridge, network(spark, sf_dir)["pairs"])
+    t = network(spark, sf_dir)
+    ranges = net.gauge_intervals(t["pieces"].order, table(spark, sf_dir, "gauge"))
+    return net.subset_pairs(ranges, net.labelled_pairs(t["pairs"], t["pieces"].order))
 
 
 def _batch(spark, sf_dir):
@@ -542,8 +543,8 @@ def x_hotstart(spark, sf_dir):
     from rillflow.plans.accumulation import hot_start
 
     hour = table(spark, sf_dir, "inflow_hourly").filter("ts = timestamp_ntz'2024-01-01 00:00:00'")
-    topo = network(spark, sf_dir)["topo"]
-    return hot_start(hour, topo).select("reach_id", F.round("q", 6).alias("q"))
+    pieces = network(spark, sf_dir)["pieces"]
+    return hot_start(hour, pieces).select("reach_id", F.round("q", 6).alias("q"))
 
 
 @query(
@@ -562,5 +563,5 @@ def x_daily_accum(spark, sf_dir):
     from rillflow.plans.accumulation import daily_discharge
 
     days = resample.daily_calendar(spark, date(2024, 1, 1), date(2024, 1, 30))
-    q = daily_discharge(table(spark, sf_dir, "inflow_daily"), network(spark, sf_dir)["topo"], days)
+    q = daily_discharge(table(spark, sf_dir, "inflow_daily"), network(spark, sf_dir)["pieces"], days)
     return q.select("reach_id", "d", F.round("q", 5).alias("q"))

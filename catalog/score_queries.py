@@ -328,7 +328,7 @@ def geo_stats(spark, sf_dir):
     from rillflow.plans.accumulation import daily_discharge
 
     days = daily_calendar(spark, date(2024, 1, 1), date(2024, 1, 30))
-    daily = daily_discharge(table(spark, sf_dir, "inflow_daily"), network(spark, sf_dir)["topo"], days)
+    daily = daily_discharge(table(spark, sf_dir, "inflow_daily"), network(spark, sf_dir)["pieces"], days)
     params = _physical(spark, sf_dir).select("reach_id", "n", F.col("p").alias("p_spatial"), F.col("q").alias("q_spatial"), "slope")
     return _round(summaries.geometry_statistics(daily, params), ["reach_id"], 5)
 

@@ -145,13 +145,14 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "reach").select("reach_id", "down_id")
 
 
-_BUILT: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_BUILT: dict[tuple[str, str], dict] = {}
 
 
-def _build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _build(spark: SparkSession, sf_dir: str) -> dict:
     from rillflow.operators.baseline import gauge_structure
-    from rillflow.operators.layout import layout
+    from rillflow.operators.layout import staged
     from rillflow.operators.network import adjacency, ordered
+    from rillflow.operators.pieces import cut_pieces, piece_order
     from rillflow.operators.topology import topology
     from rillflow.plans.problem import piece_limit
     from rillflow.scratch import store
@@ -160,6 +161,7 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     topo = topology(links)
     order = store(ordered(links, topo), "order")
     limit = piece_limit(topo.count(), spark.sparkContext.defaultParallelism)
+    placed, forest = cut_pieces(topo, limit)
     gauge_topo, segment = gauge_structure(links, table(spark, sf_dir, "gauge"))
     return {
         "topo": topo,
@@ -168,11 +170,12 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "gauge_topo": gauge_topo,
         "segment": segment,
         "limit": limit,
-        "plan": layout(topo, limit),
+        "plan": staged(placed, forest, limit),
+        "pieces": piece_order(placed, forest),
     }
 
 
-def network(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def network(spark: SparkSession, sf_dir: str) -> dict:
     """The network tables, built once per session and kept as written tables.
 
     Like any network, it is built before it is queried; the building itself is timed and

@@ -43,10 +43,10 @@ def k_gauge_subsets(spark, sf_dir):
     """Subsets written in two rounds; gauges of the first round are not written again."""
     t, g = network(spark, sf_dir), table(spark, sf_dir, "gauge")
     path = scratch_path(spark, "subsets")
-    subsets = net.subset_pairs(net.gauge_reaches(flow(spark, sf_dir), g), t["pairs"])
-    sinks.write_gauge_subsets(g.filter("da_valid"), subsets, t["order"], path)
-    sinks.write_gauge_subsets(g, subsets, t["order"], path)
-    stored = spark.read.parquet(f"{path}/gauge_pairs").groupBy("staid").agg(F.count("*").alias("n"), F.max("dn_idx").alias("last_idx"))
+    sinks.write_labelled_pairs(t["pairs"], t["pieces"].order, path)
+    sinks.write_gauge_subsets(g.filter("da_valid"), t["pieces"].order, t["order"], path)
+    sinks.write_gauge_subsets(g, t["pieces"].order, t["order"], path)
+    stored = readers.read_gauge_subsets(spark, path).groupBy("staid").agg(F.count("*").alias("n"), F.max("dn_idx").alias("last_idx"))
     return spark.read.parquet(f"{path}/gauges").join(stored, "staid", "left").select(
         "staid", F.coalesce("n", F.lit(0)).alias("n_links"), "last_idx"
     )

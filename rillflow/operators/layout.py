@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.operators.pieces import cut_pieces
 from rillflow.operators.ranking import row_numbers
-from rillflow.operators.topology import join_link, topology
+from rillflow.operators.topology import join_link
 from rillflow.scratch import store
 
 
@@ -25,29 +26,12 @@ def layout(topo: DataFrame, limit: int) -> DataFrame:
     drains into, which belongs to a piece of the later stage ``to_stage``. The pieces of a
     bundle are computed by one task.
     """
-    part = F.floor(F.col("size") / F.lit(limit))
-    below = topo.select(F.col("reach_id").alias("down_id"), part.alias("_below"))
-    linked = join_link(topo.select("reach_id", "down_id", "level", part.alias("_part")), "down_id", "reach_id", below)
-    same = F.col("_part") == F.col("_below")
-    split = store(
-        linked.select(
-            "reach_id",
-            "level",
-            F.when(same, F.col("down_id")).alias("inner_down"),
-            F.when(~same, F.col("down_id")).alias("out_down"),
-        ),
-        "split",
-    )
-    tips = topology(split.select("reach_id", F.col("inner_down").alias("down_id"))).select(
-        "reach_id", F.col("outlet").alias("piece_id")
-    )
-    placed = store(split.join(tips, "reach_id"), "pieces")
-    into = placed.select(F.col("reach_id").alias("out_down"), F.col("piece_id").alias("to_piece"))
-    ends = placed.filter(F.col("reach_id") == F.col("piece_id")).select("piece_id", "out_down")
-    pieces = join_link(ends, "out_down", "piece_id", into).select(
-        F.col("piece_id").alias("reach_id"), F.col("to_piece").alias("down_id")
-    )
-    order = topology(pieces).select(F.col("reach_id").alias("piece_id"), F.col("level").alias("stage"), F.col("down_id").alias("to_piece"))
+    return staged(*cut_pieces(topo, limit), limit)
+
+
+def staged(placed: DataFrame, forest: DataFrame, limit: int) -> DataFrame:
+    """The table of ``layout`` from pieces that are cut already."""
+    order = forest.select(F.col("reach_id").alias("piece_id"), F.col("level").alias("stage"), F.col("down_id").alias("to_piece"))
     sizes = placed.groupBy("piece_id").agg(F.count("*").alias("_n"))
     packed = store(_pack(order.join(sizes, "piece_id"), limit), "bundles")
     stages = packed.select(F.col("piece_id").alias("to_piece"), F.col("stage").alias("to_stage"))

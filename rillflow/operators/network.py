@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.operators.ranking import row_numbers
-from rillflow.operators.topology import downstream_pairs, join_link, nearest_marked, topology, upstream_of
+from rillflow.operators.pieces import inside, intervals
+from rillflow.operators.topology import join_link, nearest_marked, topology, upstream_of
 
 
 def flow_from_reaches(reaches: DataFrame, id_col: str = "COMID", down_col: str = "NextDownID") -> DataFrame:
@@ -118,19 +119,21 @@ def dense_adjacency(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("dn_id").pivot("up_id").count().na.fill(0)
 
 
-def gauge_reaches(flow: DataFrame, gauges: DataFrame) -> DataFrame:
+def gauge_intervals(order: DataFrame, gauges: DataFrame) -> DataFrame:
+    """``staid, reach_id, lo, hi``: a gauge's upstream set is a range of the numbers ``pre`` of a piece order."""
+    return intervals(order, gauges.select("staid", F.col("reach_id").cast("long").alias("reach_id")))
+
+
+def gauge_reaches(order: DataFrame, gauges: DataFrame) -> DataFrame:
     """Bridge ``staid, reach_id``: each gauge with every reach at or above it.
 
-    Each reach is first assigned its nearest gauge; only the far smaller forest of gauges
-    is then expanded to all gauges further down.
+    A gauge that is not in the network has its own reach. The rows are as many as asked for, so
+    plans that only test for membership use the ranges instead.
     """
-    tree, segment = gauge_forest(flow, gauges)
-    pairs = downstream_pairs(topology(tree)).select(F.col("reach_id").alias("marked_id"), "below_id")
-    by_gauge = segment.join(pairs, "marked_id").select("reach_id", F.col("below_id").alias("gauge_reach"))
-    ids = gauges.select("staid", F.col("reach_id").cast("long").alias("gauge_reach"))
-    known = ids.join(by_gauge, "gauge_reach").select("staid", "reach_id")
-    unknown = ids.join(flow.select(F.col("reach_id").alias("gauge_reach")), "gauge_reach", "left_anti")
-    return known.unionByName(unknown.select("staid", F.col("gauge_reach").alias("reach_id")))
+    ranges = gauge_intervals(order, gauges).select("staid", "lo", "hi")
+    known = inside(ranges, order.select("reach_id", "pre")).select("staid", "reach_id")
+    ids = gauges.select("staid", F.col("reach_id").cast("long").alias("reach_id"))
+    return known.unionByName(ids.join(order.select("reach_id"), "reach_id", "left_anti").select("staid", "reach_id"))
 
 
 def gauge_forest(flow: DataFrame, gauges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,15 +146,18 @@ def gauge_forest(flow: DataFrame, gauges: DataFrame) -> tuple[DataFrame, DataFra
     return tree, segment
 
 
-def subset_pairs(bridge: DataFrame, pairs: DataFrame) -> DataFrame:
+def labelled_pairs(pairs: DataFrame, order: DataFrame) -> DataFrame:
+    """Adjacency pairs with the number ``pre`` of their downstream end."""
+    return pairs.join(order.select(F.col("reach_id").alias("dn_id"), "pre"), "dn_id")
+
+
+def subset_pairs(ranges: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per gauge the adjacency pairs with both ends in its subset, in full-network indices.
 
     In a forest the subset is closed upstream, so a pair belongs to it when its
-    downstream end does.
+    downstream end does, that is when its number lies in the gauge's range.
     """
-    return bridge.select("staid", F.col("reach_id").alias("dn_id")).join(pairs, "dn_id").select(
-        "staid", "dn_id", "up_id", "dn_idx", "up_idx"
-    )
+    return inside(ranges.select("staid", "lo", "hi"), labelled).select("staid", "dn_id", "up_id", "dn_idx", "up_idx")
 
 
 def batch_pairs(gauge_pairs: DataFrame, batch: DataFrame) -> DataFrame:

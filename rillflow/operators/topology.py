@@ -189,21 +189,15 @@ def accumulate(
     return state.select("reach_id", *keys, *names)
 
 
-def downstream_pairs(topo: DataFrame) -> DataFrame:
-    """All (``reach_id``, ``below_id``) with ``below_id`` at or below the reach.
-
-    The result is as large as the closure itself; use it for the sparse forests of
-    gauges, or where the bridge table is what is wanted.
-    """
+def sum_to_outlet(values: DataFrame, topo: DataFrame, value: str) -> DataFrame:
+    """``reach_id, value``: sum over each reach and everything on its way to the outlet; one row per reach in ``values``."""
     rounds = topo.agg(F.max(F.size("jumps"))).head()[0] or 0
-    pairs = topo.select("reach_id", F.col("reach_id").alias("below_id"))
+    state = values.select("reach_id", value).join(topo.select("reach_id", "jumps"), "reach_id")
     for r in range(rounds):
-        step = topo.select("reach_id", F.get("jumps", F.lit(r)).alias("_to")).filter(F.col("_to").isNotNull())
-        further = step.join(pairs.select(F.col("reach_id").alias("_to"), "below_id"), "_to").select(
-            "reach_id", "below_id"
-        )
-        pairs = store(pairs.unionByName(further), "pairs")
-    return pairs
+        state = store(state.withColumn("_to", F.get("jumps", F.lit(r))), "way")
+        ahead = state.select(F.col("reach_id").alias("_to"), F.col(value).alias("_more"))
+        state = join_link(state, "_to", "reach_id", ahead).select("reach_id", (F.col(value) + F.coalesce("_more", F.lit(0))).alias(value), "jumps")
+    return state.select("reach_id", value)
 
 
 def upstream_of(flow: DataFrame, targets: DataFrame) -> DataFrame:

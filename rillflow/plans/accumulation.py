@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.hydraulics import MINIMUMS, at_least
-from rillflow.functions.values import inflow_or_default
-from rillflow.operators.topology import accumulate
+from rillflow.functions.values import MISSING_INFLOW, null_if_nan
+from rillflow.operators.pieces import Pieces, upstream_sums
+from rillflow.scratch import store
 
 
-def hot_start(inflow: DataFrame, topo: DataFrame, discharge_min: float = MINIMUMS["discharge"]) -> DataFrame:
+def hot_start(inflow: DataFrame, pieces: Pieces, discharge_min: float = MINIMUMS["discharge"]) -> DataFrame:
     """``reach_id, q``: initial discharge, the inflow of one instant summed over everything upstream."""
-    filled = topo.select("reach_id").join(inflow.select("reach_id", "qr"), "reach_id", "left")
-    total = accumulate(filled.select("reach_id", inflow_or_default(F.col("qr")).alias("q")), topo, [], "q")
+    q = inflow.select("reach_id", null_if_nan(F.col("qr")).alias("q"))
+    total = upstream_sums(q, pieces, ["q"], MISSING_INFLOW)
     return total.select("reach_id", at_least(F.col("q"), discharge_min).alias("q"))
 
 
@@ -21,29 +22,25 @@ DAYS_PER_ROW = 16
 
 
 def daily_discharge(
-    inflow: DataFrame, topo: DataFrame, days: DataFrame, discharge_min: float = MINIMUMS["discharge"]
+    inflow: DataFrame, pieces: Pieces, days: DataFrame, discharge_min: float = MINIMUMS["discharge"]
 ) -> DataFrame:
     """``reach_id, d, q`` for every reach and day of a gapless calendar; inflow is floored before it is summed.
 
-    Runs of days travel as columns of one row, so each round of the accumulation moves one
-    row per reach and run instead of one per reach and day.
+    Runs of days travel as columns of one row. The inflow is brought to runs once; the grid of
+    reaches and runs is shuffled once, by piece.
     """
-    first, last = days.agg(F.min("d")).scalar(), days.agg(F.max("d")).scalar()
+    first, last = days.agg(F.min("d"), F.max("d")).head()
     names = [f"_q{i}" for i in range(DAYS_PER_ROW)]
-    offset = F.date_diff("d", first)
-    inside = inflow.filter((F.col("d") >= first) & (F.col("d") <= last))
+    offset = F.date_diff("d", F.lit(first))
+    inside = inflow.filter((F.col("d") >= F.lit(first)) & (F.col("d") <= F.lit(last)))
     slots = inside.select(
-        "reach_id", F.floor(offset / DAYS_PER_ROW).alias("_run"), F.pmod(offset, F.lit(DAYS_PER_ROW)).alias("_i"), "qr"
+        "reach_id", F.floor(offset / DAYS_PER_ROW).alias("_run"), F.pmod(offset, F.lit(DAYS_PER_ROW)).alias("_i"), null_if_nan(F.col("qr")).alias("qr")
     )
-    wide = slots.groupBy("reach_id", "_run").agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("qr"))).alias(n) for i, n in enumerate(names)]
-    )
-    runs = F.sequence(F.lit(0).cast("long"), F.floor(F.date_diff(last, first) / DAYS_PER_ROW))
-    grid = topo.select("reach_id", F.explode(runs).alias("_run"))
-    filled = grid.join(wide, ["reach_id", "_run"], "left").select(
-        "reach_id", "_run", *[at_least(inflow_or_default(F.col(n)), discharge_min).alias(n) for n in names]
-    )
-    total = accumulate(filled, topo, ["_run"], names)
-    day = F.date_add(first, (F.col("_run") * DAYS_PER_ROW + F.col("_i")).cast("int"))
+    floored = F.max(at_least(F.col("qr"), discharge_min))
+    wide = slots.groupBy("reach_id", "_run").pivot("_i", list(range(DAYS_PER_ROW))).agg(floored)
+    wide = store(wide.toDF("reach_id", "_run", *names), "runs")
+    runs = F.sequence(F.lit(0).cast("long"), F.lit((last - first).days // DAYS_PER_ROW).cast("long"))
+    total = upstream_sums(wide, pieces, names, max(MISSING_INFLOW, discharge_min), ["_run"], lambda df: df.withColumn("_run", F.explode(runs)))
+    day = F.date_add(F.lit(first), (F.col("_run") * DAYS_PER_ROW + F.col("_i")).cast("int"))
     long = total.select("reach_id", "_run", F.posexplode(F.array(*names)).alias("_i", "_q"))
-    return long.select("reach_id", day.alias("d"), at_least(F.col("_q"), discharge_min).alias("q")).filter(F.col("d") <= last)
+    return long.select("reach_id", day.alias("d"), at_least(F.col("_q"), discharge_min).alias("q")).filter(F.col("d") <= F.lit(last))

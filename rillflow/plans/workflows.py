@@ -13,6 +13,7 @@ from rillflow.config import Config
 from rillflow.operators import baseline, cleaning, gauges, kan, network, resample, summaries
 from rillflow.operators.kernel import Scheme
 from rillflow.operators.metrics import all_scores, summarize
+from rillflow.operators.pieces import numbered_pieces
 from rillflow.operators.topology import check_dendritic, drop_cycles, topology
 from rillflow.plans import problem as prob
 from rillflow.plans.accumulation import daily_discharge
@@ -63,16 +64,18 @@ def build_network(reaches: DataFrame, path: str, dataset: str, gauge_table: Data
     if not check_dendritic(flow).isEmpty():
         raise ValueError("a reach has more than one downstream reach")
     flow = store(drop_cycles(flow), "flow")
-    order = store(network.ordered(flow), "order")
-    pairs = network.adjacency(order)
+    topo = topology(flow)
+    order = store(network.ordered(flow, topo), "order")
+    pairs = store(network.adjacency(order), "pairs")
     sinks.write_network(order, pairs, path, dataset)
     attributes = sinks.merit_attributes(order, reaches)
     if attributes is not None:
         attributes.write.mode("errorifexists").parquet(f"{path}/reaches")
     if gauge_table is None:
         return 0
-    bridge = network.gauge_reaches(flow, gauge_table)
-    return sinks.write_gauge_subsets(gauge_table, network.subset_pairs(bridge, pairs), order, path)
+    pieces = numbered_pieces(topo).order
+    sinks.write_labelled_pairs(pairs, pieces, path)
+    return sinks.write_gauge_subsets(gauge_table, pieces, order, path)
 
 
 def _shape(config: Config) -> kan.KanShape:
@@ -214,7 +217,7 @@ def geometry(spark: SparkSession, config: Config) -> DataFrame:
     first_hour = inflow.filter(F.hour("ts") == 0).select("reach_id", F.to_date("ts").alias("d"), "qr")
     covered = first_hour.select("reach_id").distinct()
     sub = store(network.target_network(flow, covered), "flow")
-    daily = daily_discharge(first_hour, topology(sub), days)
+    daily = daily_discharge(first_hour, numbered_pieces(topology(sub)), days)
     shape, weights = _model(spark, config)
     names = list(shape.inputs)
     joined = cleaning.join_attributes(flow.select("reach_id"), source.attributes(), names)

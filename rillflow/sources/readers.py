@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.ids import zero_filled
 from rillflow.functions.values import ft3_to_m3, null_if_nan
+from rillflow.operators.network import subset_pairs
 from rillflow.operators.ranking import row_numbers
 from rillflow.operators.resample import check_coverage, in_period
 from rillflow.sources.schemas import GAUGE_NAMES, GAUGE_OPTIONAL, GAUGE_REQUIRED, INFLOW, OBSERVED, ZONES
 
-#: Folders that gauge subsets are spread over by gauge; written and read with the same number.
-GAUGE_BUCKETS = 64
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -45,13 +43,17 @@ def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 
 def read_gauge_subset(spark: SparkSession, path: str, staid: str) -> DataFrame:
-    """Adjacency pairs of one gauge; the bucket prunes the files that are read."""
-    table = read_table(spark, f"{path}/gauge_pairs")
-    bucket = F.pmod(F.xxhash64(F.lit(staid)), F.lit(GAUGE_BUCKETS))
-    known = read_table(spark, f"{path}/gauges").filter(F.col("staid") == staid)
-    if known.isEmpty():
+    """Adjacency pairs of one gauge; its range of numbers is pushed to the scan and leaves most files unread."""
+    found = read_table(spark, f"{path}/gauges").filter(F.col("staid") == staid).select("lo", "hi").head()
+    if found is None:
         raise KeyError(staid)
-    return table.filter((F.col("bucket") == bucket.cast("int")) & (F.col("staid") == staid)).drop("bucket")
+    table = read_table(spark, f"{path}/labelled_pairs")
+    return table.filter(F.col("pre").between(found.lo, found.hi)).drop("pre").withColumn("staid", F.lit(staid))
+
+
+def read_gauge_subsets(spark: SparkSession, path: str) -> DataFrame:
+    """``staid, dn_id, up_id, dn_idx, up_idx`` of all stored gauges; as many rows as the subsets have together."""
+    return subset_pairs(read_table(spark, f"{path}/gauges"), read_table(spark, f"{path}/labelled_pairs"))
 
 
 def read_gauges(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from rillflow.functions.values import floored_flow, mm_day_to_m3s
 from rillflow.operators import cleaning
 from rillflow.operators.metrics import summarize
-from rillflow.sources.readers import GAUGE_BUCKETS, path_exists
+from rillflow.operators.network import gauge_intervals, labelled_pairs
+from rillflow.scratch import store
+from rillflow.sources.readers import path_exists
 
 # Scores of the detailed report, under the names used there
 DETAIL = {
@@ -34,25 +36,27 @@ def write_network(order: DataFrame, pairs: DataFrame, path: str, dataset: str) -
     pairs.write.mode("errorifexists").parquet(f"{path}/pairs")
 
 
-def write_gauge_subsets(gauges: DataFrame, gauge_pairs: DataFrame, order: DataFrame, path: str) -> int:
+def write_labelled_pairs(pairs: DataFrame, pieces: DataFrame, path: str) -> None:
+    """Adjacency pairs in the order of the numbers ``pre``, so that an upstream set is a run of rows in few files.
+
+    The pairs are stored once, whatever the number of gauges.
+    """
+    labelled = labelled_pairs(pairs, pieces)
+    labelled.repartitionByRange("pre").sortWithinPartitions("pre").write.mode("errorifexists").parquet(f"{path}/labelled_pairs")
+
+
+def write_gauge_subsets(gauges: DataFrame, pieces: DataFrame, order: DataFrame, path: str) -> int:
     """Append the subsets of gauges that are not stored yet; returns how many were new.
 
-    Gauges whose reach is not in the network are left out. Rows are spread over a fixed number
-    of buckets by gauge, so one gauge can be read without listing all.
+    A subset is one row with the range of numbers of everything upstream (see ``write_labelled_pairs``).
+    Gauges whose reach is not in the network are left out.
     """
     spark = gauges.sparkSession
-    known = order.select("reach_id", F.col("topo_idx").alias("gauge_idx"))
-    new = gauges.select("staid", "reach_id").join(known, "reach_id")
+    known = gauge_intervals(pieces, gauges).join(order.select("reach_id", F.col("topo_idx").alias("gauge_idx")), "reach_id")
     if path_exists(spark, f"{path}/gauges"):
-        new = new.join(spark.read.parquet(f"{path}/gauges"), "staid", "left_anti")
-    from rillflow.scratch import store
-
-    new = store(new, "new-gauges")
-    bucket = F.pmod(F.xxhash64("staid"), F.lit(GAUGE_BUCKETS)).cast("int")
-    rows = gauge_pairs.join(new.select("staid"), "staid", "left_semi").withColumn("bucket", bucket)
-    # pairs first: a gauge counts as stored only once its pairs are complete
-    rows.write.mode("append").partitionBy("bucket").parquet(f"{path}/gauge_pairs")
-    new.select("staid", F.col("reach_id").alias("gauge_catchment"), "gauge_idx").write.mode("append").parquet(f"{path}/gauges")
+        known = known.join(spark.read.parquet(f"{path}/gauges"), "staid", "left_anti")
+    new = store(known.select("staid", F.col("reach_id").alias("gauge_catchment"), "gauge_idx", "lo", "hi"), "new-gauges")
+    new.write.mode("append").parquet(f"{path}/gauges")
     return new.count()
 
 

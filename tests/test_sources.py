@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rillflow import config as cfg
+from rillflow.operators.pieces import numbered_pieces
+from rillflow.operators.topology import topology
 from rillflow.plans import workflows
 from rillflow.sources import geopackage, readers, sinks
 
@@ -148,7 +150,8 @@ def test_network_round_trip(spark, files):
         readers.read_gauge_subset(spark, str(root / "net"), "99999999")
     with pytest.raises(FileExistsError):
         sinks.write_network(order, pairs, str(root / "net"), "merit")
-    assert sinks.write_gauge_subsets(readers.read_gauges(spark, str(root / "g.csv")), pairs.withColumn("staid", F.lit("00000001")), order, str(root / "net")) == 0
+    pieces = numbered_pieces(topology(order.select("reach_id", "down_id"))).order
+    assert sinks.write_gauge_subsets(readers.read_gauges(spark, str(root / "g.csv")), pieces, order, str(root / "net")) == 0
 
 
 def test_summed_run(spark, files):

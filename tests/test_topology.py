@@ -5,10 +5,13 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from rillflow.operators import network as net
 from rillflow.operators import topology as top
 from rillflow.operators.baseline import gauge_structure, summed_inflow
+from rillflow.operators import pieces as pcs
 from rillflow.operators.layout import layout
+from rillflow.operators.pieces import numbered_pieces
 from rillflow.operators.ranking import average_rank, quantiles, row_numbers
 
 
@@ -103,7 +106,8 @@ def test_nearest_gauge_bridge_and_unknown_gauge(spark):
     near = {r.reach_id: r.marked_id for r in top.nearest_marked(flow, gauges).collect()}
     for r in down:
         assert near[r] == next((at for at in walk(down, r) if at in marked), None)
-    got = {(r.staid, r.reach_id) for r in net.gauge_reaches(flow, gauges).collect()}
+    order = numbered_pieces(top.topology(flow), 7).order
+    got = {(r.staid, r.reach_id) for r in net.gauge_reaches(order, gauges).collect()}
     want = {(g.staid, r) for g in gauges.collect() for r in down if g.reach_id in walk(down, r)} | {(f"{len(marked) + 1:08d}", 99999)}
     assert got == want
     up = {r.reach_id for r in top.upstream_of(flow, gauges.filter("reach_id = 99999").select("reach_id")).collect()}
@@ -175,3 +179,62 @@ def test_quantiles_equal_numpy(spark):
     assert set(got) == set(groups)
     for g, vs in groups.items():
         assert (got[g].a, got[g].b, got[g].c) == pytest.approx(tuple(np.quantile(vs, [0.1, 0.5, 0.95])))
+
+
+@pytest.mark.parametrize(("m", "limit", "seed"), [(1, 4, 0), (60, 5, 1), (90, 8, 2), (80, 4096, 3)])
+def test_numbers_and_upstream_sums_equal_walks(spark, m, limit, seed):
+    down = random_forest(m, seed)
+    size, _ = expected(down)
+    above = {r: {x for x in down if r in walk(down, x)} for r in down}
+    made = numbered_pieces(top.topology(make(spark, down)), limit)
+    rows = {r.reach_id: r for r in made.order.collect()}
+    assert sorted(r.pre for r in rows.values()) == list(range(m))
+    for r in down:
+        assert rows[r].size == size[r]
+        assert {x for x in down if rows[r].pre <= rows[x].pre < rows[r].pre + size[r]} == above[r]
+        inside = {x for x in above[r] if rows[x].piece_id == rows[r].piece_id}
+        assert {x for x in inside if rows[r].pos <= rows[x].pos < rows[r].pos + rows[r].span} == inside and len(inside) == rows[r].span
+    rng = random.Random(seed)
+    values = {(r, k): (None if rng.random() < 0.2 else rng.random()) for r in down for k in (0, 1, 2) if rng.random() < 0.7}
+    df = spark.createDataFrame([(r, k, v, 1.0) for (r, k), v in values.items()], "reach_id bigint, k int, v double, w double")
+    keys = F.array(*[F.lit(k) for k in (0, 1, 2)])
+    got = pcs.upstream_sums(df, made, ["v", "w"], 0.5, ["k"], lambda x: x.withColumn("k", F.explode(keys))).collect()
+    assert len(got) == 3 * m
+    for r in got:
+        v = sum(0.5 if values.get((x, r.k)) is None else values[x, r.k] for x in above[r.reach_id])
+        w = sum(1.0 if (x, r.k) in values else 0.5 for x in above[r.reach_id])
+        assert (r.v, r.w) == pytest.approx((v, w))
+
+
+def test_grid_of_the_sums_is_shuffled_once(spark):
+    from datetime import date
+
+    from rillflow.operators.resample import daily_calendar
+    from rillflow.plans.accumulation import daily_discharge
+
+    made = numbered_pieces(top.topology(make(spark, random_forest(60, 4))), 6)
+    inflow = spark.createDataFrame([(1, date(2024, 1, 1), 1.0)], "reach_id bigint, d date, qr double")
+    daily = daily_discharge(inflow, made, daily_calendar(spark, date(2024, 1, 1), date(2024, 2, 9)))
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(piece_id") <= 1 and "Window" in plan
+
+
+def test_one_subset_reads_few_files(spark, tmp_path):
+    from rillflow.sources import readers, sinks
+
+    down = {i: (i - 1 if i else None) for i in range(300)} | {1000 + i: i for i in range(300)}
+    order = net.ordered(make(spark, down))
+    pairs = net.adjacency(order)
+    numbers = numbered_pieces(top.topology(make(spark, down)), 50).order
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    sinks.write_labelled_pairs(pairs, numbers, str(tmp_path))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    gauges = spark.createDataFrame([("00000001", 290), ("00000002", 0)], "staid string, reach_id bigint")
+    assert sinks.write_gauge_subsets(gauges, numbers, order, str(tmp_path)) == 2
+    files = spark.read.parquet(f"{tmp_path}/labelled_pairs").select(F.input_file_name()).distinct().count()
+    far = readers.read_gauge_subset(spark, str(tmp_path), "00000001")
+    assert far.count() == 19 and readers.read_gauge_subset(spark, str(tmp_path), "00000002").count() == 599
+    assert far.select(F.input_file_name()).distinct().count() <= 2 < files
+    assert "GreaterThanOrEqual(pre" in far._jdf.queryExecution().executedPlan().toString()
+    both = readers.read_gauge_subsets(spark, str(tmp_path)).groupBy("staid").count().collect()
+    assert {tuple(r) for r in both} == {("00000001", 19), ("00000002", 599)}
