@@ -337,3 +337,43 @@ def geo_stats(spark, sf_dir):
 def f_finite(spark, sf_dir):
     s = _series(spark, sf_dir).filter(val.is_finite(F.col("target")))
     return s.groupBy("gauge").agg(F.count("target").alias("n"))
+
+
+@query(
+    "e_histogram_statistics",
+    with_tables(
+        "gauge",
+        body="""SELECT l_returnflag AS name, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std, count(v) AS n
+          FROM (SELECT l_returnflag, l_extendedprice / 97.3e0 AS v FROM lineitem) GROUP BY 1""",
+    ),
+)
+def e_histogram_statistics(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("name"), (F.col("l_extendedprice") / 97.3).alias("v"))
+    return _round(summaries.histogram_statistics(v, "v", ["name"]), ["name", "n"], 6)
+
+
+@query(
+    "e_located_scores",
+    with_tables(
+        "series",
+        "gauge",
+        body="""SELECT lpad(CAST(s.gauge AS VARCHAR), 8, '0') AS staid, count(target) AS n, round(avg(pred - target), 4) + 0.0 AS bias, any_value(g.name) AS name,
+          any_value(g.reach_id) AS reach_id FROM series s JOIN gauge g ON g.staid = lpad(CAST(s.gauge AS VARCHAR), 8, '0') WHERE target IS NOT NULL GROUP BY 1""",
+    ),
+)
+def e_located_scores(spark, sf_dir):
+    """Scores next to where their gauges are."""
+    from rillflow.plans.comparison import located
+
+    scores = met.moment_scores(_series(spark, sf_dir), "gauge").select(F.lpad(F.col("gauge").cast("string"), 8, "0").alias("staid"), "n", (F.round("bias", 4) + 0.0).alias("bias"))
+    return located(scores, table(spark, sf_dir, "gauge"), ("name", "reach_id"))
+
+
+@query(
+    "t_midnight",
+    with_tables("inflow_hourly", body="SELECT reach_id, date_trunc('day', ts)::TIMESTAMP AS ts, count(*) AS n FROM inflow_hourly GROUP BY 1, 2"),
+)
+def t_midnight(spark, sf_dir):
+    from rillflow.operators.resample import at_midnight
+
+    return at_midnight(table(spark, sf_dir, "inflow_hourly"), "ts").groupBy("reach_id", "ts").agg(F.count("*").alias("n"))

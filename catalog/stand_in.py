@@ -39,7 +39,7 @@ FROM reach"""
 NEXUS_NETWORK = """
 SELECT concat('wb-', reach_id) AS id,
   CASE WHEN down_id IS NULL THEN concat('nex-', 900000000 + reach_id % 5) ELSE concat('nex-', down_id) END AS toid,
-  CASE WHEN reach_id % 19 <= 1 THEN concat('gages-', lpad(CAST((reach_id - reach_id % 19) / 19 AS VARCHAR(12)), 8, '0'))
+  CASE WHEN reach_id % 19 <= 1 THEN concat('gages-', lpad(CAST(CAST((reach_id - reach_id % 19) / 19 AS BIGINT) AS VARCHAR(12)), 8, '0'))
        ELSE NULL END AS hl_uri,
   CAST(reach_id % 1013 AS DOUBLE) + 0.5E0 AS tot_drainage_areasqkm
 FROM reach

@@ -245,3 +245,116 @@ def e_score_json(spark, sf_dir):
     texts = sinks.scores_as_json(moment_scores(table(spark, sf_dir, "series")))
     row = F.from_json("body", "gauge bigint, nse double, kge double, corr double").alias("s")
     return texts.select(row).select("s.gauge", *[(F.round(f"s.{c}", 6) + 0.0).alias(c) for c in ("nse", "kge", "corr")])
+
+
+FLOWPATH_TABLE = """
+SELECT concat('wb-', reach_id) AS id, length_m AS Length_m, slope AS So, top_width AS TopWdth, side_slope AS ChSlp, x AS MusX
+FROM reach WHERE reach_id % 11 <> 0"""
+STRING_ORDER = """, num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM nexus_network WHERE id LIKE 'wb-%')
+, link AS (SELECT DISTINCT a.id AS up_id, b.toid AS dn_id FROM nexus_network a JOIN nexus_network b ON a.toid = b.id
+    WHERE a.id LIKE 'wb-%' AND a.toid LIKE 'nex-%' AND b.toid LIKE 'wb-%')
+, flow AS (SELECT u.id, u.n, l.dn_id FROM num u LEFT JOIN link l ON l.up_id = u.id)
+, way AS (SELECT id, id AS below, 0 AS hops FROM flow UNION ALL SELECT w.id, f.dn_id, w.hops + 1 FROM way w JOIN flow f ON f.id = w.below WHERE f.dn_id IS NOT NULL)
+, shape AS (SELECT below AS id, max(hops) AS level, count(*) AS size FROM way GROUP BY 1)
+, topo AS (SELECT f.id, f.dn_id, s.level, row_number() OVER (ORDER BY CASE WHEN s.size = 1 AND f.dn_id IS NULL THEN 1 ELSE 0 END, s.level, f.n) - 1 AS topo_idx
+    FROM flow f JOIN shape s USING (id))
+"""
+
+
+def _string_network(spark, sf_dir) -> str:
+    """Folder of a network that is built from string ids, links, attributes and marked gauges."""
+    from rillflow.plans.workflows import build_string_network
+
+    rows, reach = table(spark, sf_dir, "nexus_network"), table(spark, sf_dir, "reach")
+    path = scratch_path(spark, "string-network")
+    attributes = spark.sql(FLOWPATH_TABLE.replace("FROM reach", "FROM {reach}"), reach=reach)
+    build_string_network(rows.filter(F.col("id").startswith("wb-")), rows, path, "lynker", attributes, table(spark, sf_dir, "gauge"))
+    return path
+
+
+@query(
+    "k_lynker_build",
+    with_tables(
+        "nexus_network",
+        recursive=True,
+        body=STRING_ORDER + """SELECT t.id, t.dn_id, CAST(t.level AS BIGINT) AS level, t.topo_idx, CAST(d.topo_idx AS BIGINT) AS dn_idx FROM topo t
+          LEFT JOIN topo d ON d.id = t.dn_id""",
+    ),
+)
+def k_lynker_build(spark, sf_dir):
+    """String ids, junctions collapsed, order and adjacency written and read back."""
+    order, pairs, _ = readers.read_network(spark, _string_network(spark, sf_dir))
+    names = order.select(F.col("reach_id").alias("down_id"), F.col("id").alias("dn_id"))
+    linked = pairs.select(F.col("up_id").alias("reach_id"), F.col("dn_id").alias("down_id"), "dn_idx").join(names, "down_id")
+    return order.join(linked.select("reach_id", "dn_id", "dn_idx"), "reach_id", "left").select("id", "dn_id", "level", "topo_idx", "dn_idx")
+
+
+@query(
+    "k_lynker_attributes",
+    with_tables(
+        "nexus_network",
+        recursive=True,
+        body=STRING_ORDER + f""", attrs AS ({FLOWPATH_TABLE})
+        SELECT t.id, t.topo_idx, """ + ", ".join(f"CAST(a.{c} AS FLOAT) AS {n}" for c, n in sinks.FLOWPATH_ATTRIBUTES.items()) + """,
+          coalesce(w.toid, '') AS toid FROM topo t LEFT JOIN attrs a ON a.id = t.id LEFT JOIN nexus_network w ON w.id = t.id""",
+    ),
+)
+def k_lynker_attributes(spark, sf_dir):
+    """Five attributes and the target of every flowpath, in the stored order."""
+    return readers.read_table(spark, f"{_string_network(spark, sf_dir)}/reaches")
+
+
+@query(
+    "k_lynker_gauges",
+    with_tables(
+        "nexus_network",
+        "gauge",
+        recursive=True,
+        body=STRING_ORDER + """, place AS (SELECT staid, id FROM (SELECT g.staid, w.id,
+            row_number() OVER (PARTITION BY g.staid ORDER BY abs(w.tot_drainage_areasqkm - g.drain_sqkm), w.id) AS rn
+          FROM gauge g JOIN nexus_network w ON w.hl_uri = 'gages-' || g.staid WHERE w.id LIKE 'wb-%') WHERE rn = 1)
+        SELECT p.staid, t.topo_idx AS gauge_idx, count(u.id) - 1 AS n_links FROM place p JOIN topo t ON t.id = p.id JOIN way u ON u.below = p.id GROUP BY 1, 2""",
+    ),
+)
+def k_lynker_gauges(spark, sf_dir):
+    """Gauges placed by their marks, and the links above each of them."""
+    path = _string_network(spark, sf_dir)
+    links = readers.read_gauge_subsets(spark, path).groupBy("staid").agg(F.count("*").alias("n"))
+    stored = readers.read_table(spark, f"{path}/gauges").join(links, "staid", "left")
+    return stored.select("staid", "gauge_idx", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+@query(
+    "g_upstream_ids",
+    with_tables(
+        "nexus_network",
+        recursive=True,
+        body=STRING_ORDER + "SELECT dn_id AS id, string_agg(up_id, ',' ORDER BY up_id) AS up_ids FROM link GROUP BY 1",
+    ),
+)
+def g_upstream_ids(spark, sf_dir):
+    return net.upstream_ids(table(spark, sf_dir, "nexus_network")).select("id", F.array_join("up_ids", ",").alias("up_ids"))
+
+
+@query(
+    "f_in_store",
+    with_tables("gauge", "observed", body="SELECT staid FROM gauge WHERE staid IN (SELECT staid FROM observed WHERE streamflow > 300)"),
+)
+def f_in_store(spark, sf_dir):
+    return gauges.in_store(table(spark, sf_dir, "gauge"), table(spark, sf_dir, "observed").filter("streamflow > 300")).select("staid")
+
+
+@query(
+    "g_batch_pairs",
+    with_tables(
+        "reach",
+        "gauge",
+        recursive=True,
+        body=ORDER + BRIDGE + """SELECT DISTINCT p.dn_idx, p.up_idx FROM pairs p JOIN bridge b ON b.reach_id = p.dn_id JOIN gauge g ON g.staid = b.staid AND g.da_valid""",
+    ),
+)
+def g_batch_pairs(spark, sf_dir):
+    """Links of all gauges of a batch, each once."""
+    t, g = network(spark, sf_dir), table(spark, sf_dir, "gauge")
+    subsets = net.subset_pairs(net.gauge_intervals(t["pieces"].order, g), net.labelled_pairs(t["pairs"], t["pieces"].order))
+    return net.batch_pairs(subsets, g.filter("da_valid"))

@@ -454,3 +454,18 @@ def m_muskingum(spark, sf_dir):
 @query("m_log_base", "SELECT o_orderkey, round(ln(o_totalprice) / ln(1.5), 8) AS y FROM orders")
 def m_log_base(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(hyd.log_base(F.col("o_totalprice"), 1.5), 8).alias("y"))
+
+
+@query(
+    "r_runoff_training",
+    with_tables(
+        "reach",
+        "inflow_hourly",
+        body=DENSE + """SELECT reach_id, CAST(floor((hour_idx - 13) / 24) AS BIGINT) AS day, round(avg(qr), 7) AS qr
+          FROM dense WHERE hour_idx >= 13 AND hour_idx < 709 GROUP BY 1, 2""",
+    ),
+)
+def r_runoff_training(spark, sf_dir):
+    """The cut that training uses: it starts at hour 13 and ends 11 hours early, whatever the lag at the front."""
+    out = resample.daily_runoff(_dense(spark, sf_dir), "reach_id", "hour_idx", "qr", 720, 0, start_offset=13)
+    return out.withColumn("qr", F.round("qr", 7))

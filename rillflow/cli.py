@@ -18,17 +18,27 @@ COMMANDS = {
 }
 
 
+#: Data sets whose reaches have string ids
+STRING_IDS = ("lynker", "hydrofabric_v2.2")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="rillflow", description="River-network analytics on Spark")
     parser.add_argument("command", choices=sorted([*COMMANDS, "build-network"]))
     parser.add_argument("config", help="YAML or JSON configuration; for build-network the reach table")
-    parser.add_argument("overrides", nargs="*", help="section.key=value; for build-network target folder, data set, gauge table")
+    parser.add_argument("overrides", nargs="*", help="section.key=value; for build-network target folder, data set, then gauge table, or link, attribute and gauge tables of string-id data sets")
     args = parser.parse_args(argv)
     spark = build_session(f"rillflow-{args.command}")
     if args.command == "build-network":
         from rillflow.sources.readers import read_gauges, read_table
 
         target, dataset, *rest = args.overrides
+        if dataset in STRING_IDS:
+            # flowpaths, target, data set, link table, then attributes and gauges if there are any
+            links, *more = [read_table(spark, p) for p in rest[:2]]
+            gauges = read_gauges(spark, rest[2]) if len(rest) > 2 else None
+            print(f"{workflows.build_string_network(read_table(spark, args.config), links, target, dataset, *(more or [None]), gauges)} gauges stored")
+            return
         gauges = read_gauges(spark, rest[0]) if rest else None
         print(f"{workflows.build_network(read_table(spark, args.config), target, dataset, gauges)} gauges stored")
         return

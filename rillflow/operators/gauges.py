@@ -89,3 +89,8 @@ def sample_batches(gauges: DataFrame, size: int, seed: int) -> DataFrame:
     ranked = row_numbers(mixed, [F.col("_r"), F.col("staid")])
     batch = F.floor((F.col("rn") - 1) / F.lit(size))
     return ranked.filter(batch < F.floor(F.col("rn_total") / F.lit(size))).select("staid", batch.alias("batch"))
+
+
+def in_store(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """Gauges that a store of subsets or series knows, by station id."""
+    return wanted.join(stored.select("staid").distinct(), "staid", "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.values import null_if_nan
-from rillflow.operators.ranking import row_numbers
+from rillflow.operators.ranking import quantiles, row_numbers
 
 MOMENT_SCORES = ("bias", "mae", "rmse", "ub_rmse", "corr", "nse", "r2", "pbias", "kge", "kge_12")
 SPLIT_SCORES = ("flv", "fhv", "pbias_mid", "rmse_low", "rmse_high", "rmse_mid")
@@ -194,20 +194,10 @@ SUMMARY_SCORES = ("bias", "flv", "fhv", "kge", "nse")
 
 def summarize(scores: DataFrame, names: tuple[str, ...] = SUMMARY_SCORES) -> DataFrame:
     """Median, mean, quartiles and number of valid gauges per score."""
-    rows = []
-    for n in names:
-        v = null_if_nan(F.col(n))
-        rows.append(
-            F.struct(
-                F.lit(n).alias("metric"),
-                F.median(v).alias("median"),
-                F.avg(v).alias("mean"),
-                F.percentile(v, F.lit(0.25)).alias("q25"),
-                F.percentile(v, F.lit(0.75)).alias("q75"),
-                F.count(v).alias("valid"),
-            )
-        )
-    return scores.agg(F.array(*rows).alias("_s")).select(F.inline("_s"))
+    long = scores.select(*[null_if_nan(F.col(n)).alias(n) for n in names]).unpivot([], list(names), "metric", "v")
+    counts = long.groupBy("metric").agg(F.avg("v").alias("mean"), F.count("v").alias("valid"))
+    ends = quantiles(long, "v", {"median": 0.5, "q25": 0.25, "q75": 0.75}, ["metric"])
+    return counts.join(ends, "metric", "left").select("metric", "median", "mean", "q25", "q75", "valid")
 
 
 def mass_balance(df: DataFrame, gauge: str, pred: str, base: str) -> DataFrame:

@@ -257,3 +257,27 @@ def resolve_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:
         .join(plain.select(F.col("id").alias("_other"), F.col("id").alias("_found")), "_other", "left")
         .select("raw", F.coalesce("_direct", "_found").alias("id"))
     )
+
+
+def numbered_ids(flowpaths: DataFrame) -> DataFrame:
+    """``id, reach_id``: dense numbers of string ids from 0, in the order of the ids.
+
+    Numbers come from a range partitioning and the counts of its parts; later joins use the numbers.
+    """
+    return row_numbers(flowpaths.select("id").distinct(), [F.col("id")]).select("id", (F.col("rn") - 1).alias("reach_id"))
+
+
+def string_flow(ids: DataFrame, network: DataFrame) -> DataFrame:
+    """``reach_id, down_id`` of string-id flowpaths, linked directly or through a junction.
+
+    Links to ids that are no flowpaths end there; several downstream reaches show as several rows.
+    """
+    up = ids.select(F.col("id").alias("up_id"), "reach_id")
+    down = ids.select(F.col("id").alias("dn_id"), F.col("reach_id").alias("down_id"))
+    links = collapse_nexus(network).join(up, "up_id").join(down, "dn_id").select("reach_id", "down_id")
+    return ids.select("reach_id").join(links, "reach_id", "left")
+
+
+def upstream_ids(network: DataFrame) -> DataFrame:
+    """``id, up_ids``: sorted direct upstream flowpaths of each flowpath that has some."""
+    return collapse_nexus(network).groupBy(F.col("dn_id").alias("id")).agg(F.sort_array(F.collect_list("up_id")).alias("up_ids"))

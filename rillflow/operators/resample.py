@@ -74,10 +74,11 @@ def in_period(df: DataFrame, ts: str, start: datetime | date, end: datetime | da
     return df.filter((F.col(ts) >= low) & (F.col(ts) < high))
 
 
-def check_coverage(df: DataFrame, ts: str, start: datetime, end: datetime) -> None:
-    """Raise unless the stored series covers the wanted period.
+def check_coverage(df: DataFrame, ts: str, start: datetime, end: datetime, step: timedelta = timedelta(hours=1)) -> None:
+    """Raise unless the stored series covers the period [start, end).
 
-    Of a store by month only the first and the last month are read.
+    A value stands for the ``step`` from its time on, so a store covers up to its last time plus one
+    step. Of a store by month only the first and the last month are read.
     """
     if "month" in df.columns:
         first, last = df.agg(F.min("month"), F.max("month")).head()
@@ -86,8 +87,8 @@ def check_coverage(df: DataFrame, ts: str, start: datetime, end: datetime) -> No
         low, high = df.agg(F.min(ts), F.max(ts)).head()
     if low is None or start < low:
         raise ValueError(f"period starts {start}, stored series starts {low}")
-    if end > high:
-        raise ValueError(f"period ends {end}, stored series ends {high}")
+    if end > high + step:
+        raise ValueError(f"period ends {end}, stored series ends {high + step}")
 
 
 def hourly_to_daily(df: DataFrame, key: str, ts: str, value: str, whole_days: bool = True) -> DataFrame:
@@ -203,3 +204,8 @@ def after_warmup(df: DataFrame, day: str, first: date, warmup: int) -> DataFrame
 def unmatched_days(calendar: DataFrame, series: DataFrame) -> DataFrame:
     """Days of the calendar for which a series has no row at all."""
     return calendar.select("d").join(series.select(F.to_date("d").alias("d")), "d", "left_anti")
+
+
+def at_midnight(df: DataFrame, ts: str) -> DataFrame:
+    """Timestamps moved to the start of their day, as daily stores with a time of day need it."""
+    return df.withColumn(ts, F.date_trunc("DAY", F.col(ts)).cast("timestamp_ntz"))

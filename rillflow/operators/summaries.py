@@ -90,15 +90,22 @@ def routing_summary(discharge: DataFrame) -> DataFrame:
 
 def score_log(scores: DataFrame) -> DataFrame:
     """Mean and median of NSE, RMSE and KGE; the NSE ignores infinite values in the median."""
-    nse, rmse, kge = (null_if_nan(F.col(c)) for c in ("nse", "rmse", "kge"))
-    return scores.agg(
-        F.avg(nse).alias("mean_nse"),
-        F.median(finite_or_null(nse)).alias("median_nse"),
-        F.avg(rmse).alias("mean_rmse"),
-        F.median(rmse).alias("median_rmse"),
-        F.avg(kge).alias("mean_kge"),
-        F.median(kge).alias("median_kge"),
-    )
+    names = ("nse", "rmse", "kge")
+    nse, rmse, kge = (null_if_nan(F.col(c)) for c in names)
+    means = scores.agg(*[F.avg(v).alias(f"mean_{n}") for n, v in zip(names, (nse, rmse, kge), strict=True)])
+    long = scores.select(finite_or_null(nse).alias("nse"), rmse.alias("rmse"), kge.alias("kge")).unpivot([], list(names), "name", "v")
+    medians = quantiles(long, "v", {"m": 0.5}, ["name"])
+    wide = medians.agg(*[F.max(F.when(F.col("name") == n, F.col("m"))).alias(f"median_{n}") for n in names])
+    order = [f"{what}_{n}" for n in names for what in ("mean", "median")]
+    # two single rows
+    return means.withColumn("_k", F.lit(1)).join(wide.withColumn("_k", F.lit(1)), "_k").select(*order)
+
+
+def histogram_statistics(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """Mean, median and population standard deviation of each data set, missing values ignored."""
+    v = df.select(*group, null_if_nan(F.col(value)).alias("_x"))
+    moments = v.groupBy(*group).agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.count("_x").alias("n"))
+    return moments.join(quantiles(v, "_x", {"median": 0.5}, group), group, "left").select(*group, "mean", "median", "std", "n")
 
 
 def wettest(discharge: DataFrame, key: str, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.values import null_if_nan
 from rillflow.operators.metrics import check_predictions, mass_balance, moment_scores
+from rillflow.operators.ranking import quantiles
 
 
 def without_headwaters(series: DataFrame, gauge_pairs: DataFrame) -> DataFrame:
@@ -45,4 +46,11 @@ def balance(routed: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def balance_summary(errors: DataFrame) -> DataFrame:
-    return errors.agg(F.avg("mass_error").alias("mean_error"), F.median("mass_error").alias("median_error"))
+    rows = errors.select(F.lit(0).alias("_k"), null_if_nan(F.col("mass_error")).alias("v"))
+    means = rows.groupBy("_k").agg(F.avg("v").alias("mean_error"))
+    return means.join(quantiles(rows, "v", {"median_error": 0.5}, ["_k"]), "_k", "left").select("mean_error", "median_error")
+
+
+def located(scores: DataFrame, gauges: DataFrame, columns: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
+    """Scores of the gauges whose location is known, next to it."""
+    return scores.join(gauges.select("staid", *columns), "staid")

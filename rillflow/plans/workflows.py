@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from rillflow import __version__
 from rillflow.config import Config
+from rillflow.functions.ids import number_of
 from rillflow.operators import baseline, cleaning, gauges, kan, network, resample, summaries
 from rillflow.operators.kernel import Scheme
 from rillflow.operators.metrics import all_scores, summarize
 from rillflow.operators.pieces import numbered_pieces
-from rillflow.operators.topology import check_dendritic, drop_cycles, topology
+from rillflow.operators.topology import check_dendritic, drop_cycles, join_link, topology
 from rillflow.plans import problem as prob
 from rillflow.plans.accumulation import daily_discharge
 from rillflow.scratch import store
@@ -45,8 +46,14 @@ class TableSource:
         return sinks.cached_statistics(self.attributes(), list(self.config.kan.input_var_names), self.where.statistics)
 
     def inflow(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-        """Inflow of [start, end); the period prunes the months and is pushed to the scan."""
-        return readers.read_period(self.spark, self.where.streamflow, start, end)
+        """Inflow of [start, end); the period prunes the months and is pushed to the scan.
+
+        A period that the store does not cover is an error, and so are two values for one reach and time.
+        """
+        if start is not None and end is not None:
+            step = timedelta(hours=1) if self.where.is_hourly else timedelta(days=1)
+            resample.check_coverage(readers.read_table(self.spark, self.where.streamflow), "ts", start, end, step)
+        return readers.single_values(readers.read_period(self.spark, self.where.streamflow, start, end))
 
     def gauges(self) -> DataFrame:
         return readers.checked_gauges(readers.read_gauges(self.spark, self.where.gages), with_reach=True)
@@ -78,6 +85,41 @@ def build_network(reaches: DataFrame, path: str, dataset: str, gauge_table: Data
     return sinks.write_gauge_subsets(gauge_table, pieces, order, path)
 
 
+def build_string_network(
+    flowpaths: DataFrame, table: DataFrame, path: str, dataset: str, attributes: DataFrame | None = None, gauge_table: DataFrame | None = None
+) -> int:
+    """Write order, adjacency, attributes and gauge subsets of flowpaths with string ids (``id, toid``).
+
+    ``table`` links flowpaths and junctions. The order keeps the id; ``reach_id`` is the number behind its
+    dash. Gauges are placed on the flowpath that carries their mark.
+    """
+    ids = store(network.numbered_ids(flowpaths), "ids")
+    flow = store(network.string_flow(ids, table), "flow")
+    if not check_dendritic(flow).isEmpty():
+        raise ValueError("a flowpath has more than one downstream flowpath")
+    flow = store(drop_cycles(flow), "flow")
+    topo = topology(flow)
+    number = ids.select("reach_id", "id", number_of(F.col("id")).cast("long").alias("number"))
+    if not number.groupBy("number").agg(F.count("*").alias("n")).filter("n > 1 or number is null").isEmpty():
+        raise ValueError("the numbers of the flowpath ids are not distinct")
+    dense = store(network.ordered(flow, topo), "order")
+    named = number.select(F.col("reach_id").alias("down_id"), F.col("number").alias("down_number"))
+    order = join_link(dense.join(number, "reach_id"), "down_id", "reach_id", named)
+    order = store(order.select("id", F.col("number").alias("reach_id"), F.col("down_number").alias("down_id"), "level", "topo_idx"), "named-order")
+    pairs = store(network.adjacency(order), "pairs")
+    sinks.write_network(order, pairs, path, dataset)
+    if attributes is not None:
+        sinks.flowpath_attributes(order, flowpaths, attributes).write.mode("errorifexists").parquet(f"{path}/reaches")
+    if gauge_table is None:
+        return 0
+    lost = network.gauges_without_origin(gauge_table, table).select("staid")
+    placed = network.gauge_origin(gauge_table.join(lost, "staid", "left_anti"), table, flowpaths)
+    found = placed.join(order.select("id", "reach_id"), "id").select("staid", "reach_id")
+    pieces = numbered_pieces(topology(order.select("reach_id", "down_id"))).order
+    sinks.write_labelled_pairs(pairs, pieces, path)
+    return sinks.write_gauge_subsets(found, pieces, order, path)
+
+
 def _shape(config: Config) -> kan.KanShape:
     k = config.kan
     return kan.KanShape(tuple(k.input_var_names), tuple(k.learnable_parameters), k.hidden_size, k.num_hidden_layers, k.grid, k.k)
@@ -101,6 +143,9 @@ def summed(spark: SparkSession, config: Config) -> DataFrame:
     """Unrouted baseline against observations; writes series and score report."""
     source = TableSource(spark, config)
     flow, wanted = source.flow(), source.gauges()
+    stored = f"{source.where.network}/gauges"
+    if readers.path_exists(spark, stored):
+        wanted = gauges.in_store(wanted, readers.read_table(spark, stored))
     days = resample.daily_calendar(spark, config.experiment.first, config.experiment.last)
     inflow = source.inflow(*_period(config))
     if config.data_sources.is_hourly:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,23 +100,23 @@ def checked_gauges(gauges: DataFrame, with_reach: bool = False) -> DataFrame:
 
 
 def read_inflow(
-    spark: SparkSession, path: str, wanted: DataFrame, start: datetime, end: datetime, value: str = "qr"
+    spark: SparkSession, path: str, wanted: DataFrame, start: datetime, end: datetime, value: str = "qr", step: timedelta = timedelta(hours=1)
 ) -> DataFrame:
     """Inflow of the wanted reaches in [start, end).
 
     The period prunes the monthly partitions and is pushed to the scan; a period that the
     store does not cover is an error.
     """
-    check_coverage(read_table(spark, path), "ts", start, end)
+    check_coverage(read_table(spark, path), "ts", start, end, step)
     rows = read_period(spark, path, start, end, value)
-    return rows.join(wanted.select("reach_id"), "reach_id", "left_semi")
+    return single_values(rows.join(wanted.select("reach_id").distinct(), "reach_id", "left_semi"))
 
 
 def read_period(spark: SparkSession, path: str, start: datetime | None, end: datetime | None, value: str = "qr") -> DataFrame:
     """``reach_id, ts, qr`` of [start, end), or of the whole store without a period.
 
     Months and timestamps are compared as they are stored, so partitions are pruned and the rest
-    of the filter reaches the scan. Two values for one reach and time are an error.
+    of the filter reaches the scan. Values are as stored; see ``single_values``.
     """
     table = read_table(spark, path)
     if start is not None and end is not None:
@@ -126,6 +126,16 @@ def read_period(spark: SparkSession, path: str, start: datetime | None, end: dat
     return table.select("reach_id", "ts", F.col(value).alias("qr"))
 
 
+def single_values(inflow: DataFrame) -> DataFrame:
+    """``reach_id, ts, qr``; a job that meets two rows for one reach and time fails.
+
+    Rows are dealt by reach alone, which later steps per reach can use as it is.
+    """
+    counted = inflow.repartition("reach_id").groupBy("reach_id", "ts").agg(F.max("qr").alias("qr"), F.count("*").alias("_n"))
+    text = F.concat(F.lit("two inflow values for reach "), F.col("reach_id").cast("string"), F.lit(" at "), F.col("ts").cast("string"))
+    return counted.select("reach_id", "ts", F.when(F.col("_n") > 1, F.raise_error(text)).otherwise(F.col("qr")).alias("qr"))
+
+
 def read_observations(
     spark: SparkSession, path: str, gauges: DataFrame, start, end, cubic_feet: bool = False
 ) -> DataFrame:

@@ -76,6 +76,21 @@ def merit_attributes(order: DataFrame, reaches: DataFrame) -> DataFrame | None:
     return reach_attributes(order, rows, ["length_m" if c == "lengthkm" else c for c in have])
 
 
+# Columns of the attribute table of string-id flowpaths, and their stored names
+FLOWPATH_ATTRIBUTES = {"Length_m": "length_m", "So": "slope", "TopWdth": "top_width", "ChSlp": "side_slope", "MusX": "muskingum_x"}
+
+
+def flowpath_attributes(order: DataFrame, flowpaths: DataFrame, attributes: DataFrame) -> DataFrame:
+    """``id, topo_idx``, five attributes as 32-bit floats (NULL where unknown) and ``toid`` (empty where unknown).
+
+    Of several rows for one id the largest values count, so a reach keeps one row.
+    """
+    values = attributes.groupBy("id").agg(*[F.max(F.col(c).cast("float")).alias(n) for c, n in FLOWPATH_ATTRIBUTES.items()])
+    targets = flowpaths.groupBy("id").agg(F.max("toid").alias("toid"))
+    out = order.select("id", "topo_idx").join(values, "id", "left").join(targets, "id", "left")
+    return out.withColumn("toid", F.coalesce("toid", F.lit("")))
+
+
 def write_by_month(df: DataFrame, path: str, ts: str = "ts", mode: str = "errorifexists") -> None:
     """Long series partitioned by month.
 

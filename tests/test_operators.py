@@ -157,6 +157,11 @@ def test_interpolation_keeps_the_phase_of_the_samples(spark):
 def test_coverage_errors(spark):
     df = spark.createDataFrame([(datetime(2020, 1, 1),), (datetime(2020, 2, 1),)], "ts timestamp_ntz")
     resample.check_coverage(df, "ts", datetime(2020, 1, 1), datetime(2020, 1, 31))
+    # the last value stands for its whole hour, or day
+    resample.check_coverage(df, "ts", datetime(2020, 1, 1), datetime(2020, 2, 1, 1))
+    resample.check_coverage(df, "ts", datetime(2020, 1, 1), datetime(2020, 2, 2), timedelta(days=1))
+    with pytest.raises(ValueError):
+        resample.check_coverage(df, "ts", datetime(2020, 1, 1), datetime(2020, 2, 1, 2))
     with pytest.raises(ValueError):
         resample.check_coverage(df, "ts", datetime(2019, 12, 31), datetime(2020, 1, 31))
     with pytest.raises(ValueError):
@@ -338,3 +343,25 @@ def test_stored_baseline_and_gauge_tables(spark, tmp_path):
     sinks.write_gauge_tables({"all": gauge, "one": gauge.filter("STAID = '02'")}, str(tmp_path / "csv"))
     texts = {k: ["".join(f.read_text() for f in (tmp_path / "csv" / k).glob("part-*"))] for k in ("all", "one")}
     assert texts == {"all": ["STAID,q\n01,2.5\n02,1.5\n"], "one": ["STAID,q\n02,1.5\n"]}
+
+
+def test_two_values_for_one_time_are_an_error(spark):
+    from rillflow.sources.readers import single_values
+
+    t = datetime(2024, 1, 1)
+    good = spark.createDataFrame([(1, t, 2.0), (1, t + timedelta(hours=1), 3.0), (2, t, None)], "reach_id bigint, ts timestamp_ntz, qr double")
+    assert sorted(map(tuple, single_values(good).collect()), key=repr) == sorted(map(tuple, good.collect()), key=repr)
+    with pytest.raises(Exception, match="two inflow values for reach 1 at"):
+        single_values(good.unionByName(good.limit(1))).collect()
+
+
+def test_balance_summary_and_statistics(spark):
+    from rillflow.plans.comparison import balance_summary, located
+
+    df = spark.createDataFrame([("a", 0.1), ("b", 0.5), ("c", 0.3), ("d", None)], "staid string, mass_error double")
+    row = balance_summary(df).head()
+    assert (row.mean_error, row.median_error) == (pytest.approx(0.3), pytest.approx(0.3))
+    where = spark.createDataFrame([("a", 1.0, 2.0), ("z", 3.0, 4.0)], "staid string, lat double, lon double")
+    assert [tuple(r) for r in located(df, where).collect()] == [("a", 0.1, 1.0, 2.0)]
+    stats = {r.g: r for r in summaries.histogram_statistics(df.withColumn("g", F.lit("x")), "mass_error", ["g"]).collect()}
+    assert stats["x"].n == 3 and stats["x"].median == pytest.approx(0.3) and stats["x"].std == pytest.approx(np.std([0.1, 0.5, 0.3]))
