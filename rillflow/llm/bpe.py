@@ -2,16 +2,20 @@
 
 The pre-tokens of all documents are counted; the ``LEXICON`` most frequent ones are encoded
 once and compiled into a minimal acyclic automaton (equal suffixes share states) whose arcs
-carry numbers that add up to the word's place, which points to its ids. The file reaches the
-executors through ``addFile`` and is memory-mapped there. A pre-token outside the lexicon is
-merged exactly, lowest rank first, leftmost first.
+carry numbers that add up to the word's place, which points to its ids. The file lies in the shared folder, reaches
+the executors through ``addFile`` and is memory-mapped there. A pre-token outside the lexicon is
+merged exactly, lowest rank first, leftmost first. Look-ups and merges are made for all new
+pre-tokens of a batch at once: words walk the automaton side by side, and a round of merging
+takes every word's lowest-ranked pair.
 
 Texts are cut before single spaces between other characters, where no pre-token can cross,
-and the ids of such chunks are kept in a bounded memo per worker.
+and the ids of such chunks are kept in a bounded memo per worker, so the lexicon answers for
+chunks that a worker has not met lately.
 
 Added tokens inside a text get their own id, as in the tokenizers library. NULL counts as
-empty: no ids, empty text back. An empty table gives an empty result. Columns other than
-``doc_id`` and ``text`` are not read.
+empty: no ids, empty text back. Texts of any length are coded whole. Rows that repeat id or
+text are rows of their own. An empty table gives an empty result. Columns other than
+``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.caching import TwoGenerations
+from rillflow.scratch import scratch_path, store
 
 LEXICON = 20_000
+#: Rows that are coded together; steps of the histogram of counts for each doubling.
+ROWS, STEPS = 256, 8
+_NEVER = np.int64(1 << 40)
 #: Unicode white space, as the library's pattern engine understands it.
 WS = "\t-\r \x85\xa0  -     　"
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
@@ -72,6 +80,11 @@ class ByteBpe:
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
+        keys = np.array(list(self.pairs), np.int64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.ranks, self.merged = (np.array([v[k] for v in self.pairs.values()], np.int64)[order] for k in (0, 1))
+        self.byte_table = np.array(self.byte_ids, np.int64)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
@@ -82,22 +95,48 @@ class ByteBpe:
         for token, i in added.items():
             self.contents[i] = token.encode()
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word as little-endian 32-bit integers.
+
+        A pair that holds a merged token has a higher rank than the merge that made it, so all
+        places of a word's lowest-ranked pair can be merged in one round, from the left.
+        """
+        ids = self.byte_table[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        done_ids, done_words = [], []
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            pair = np.append(ids[:-1] << 20 | ids[1:], -1)
+            pair[starts[1:] - 1] = -1  # the last token of a word has no partner
+            at = np.searchsorted(self.keys, pair)
+            at[at == len(self.keys)] = 0
+            rank = np.where(self.keys[at] == pair, self.ranks[at], _NEVER)
+            lengths = np.diff(np.append(starts, len(ids)))
+            best = np.repeat(np.minimum.reduceat(rank, starts), lengths)
+            live = best < _NEVER
+            if not live.all():
+                done_ids.append(ids[~live])
+                done_words.append(word[~live])
+                ids, word, rank, best, at = ids[live], word[live], rank[live], best[live], at[live]
+                if not len(ids):
+                    break
+            hit = rank == best
+            if (hit[1:] & hit[:-1]).any():  # of overlapping places every other one, from the left
+                place = np.arange(len(hit))
+                begins = hit & ~np.append(False, hit[:-1])
+                hit &= (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+            ids[hit] = self.merged[at[hit]]
+            stay = ~np.append(False, hit[:-1])
+            ids, word = ids[stay], word[stay]
+        if not done_ids:
+            return [b""] * len(words)
+        ids, word = np.concatenate(done_ids), np.concatenate(done_words)
+        flat = ids[np.argsort(word, kind="stable")].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def merge(self, word: bytes) -> list[int]:
-        ids = [self.byte_ids[b] for b in word]
-        get, none = self.pairs.get, (1 << 60, -1)
-        found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while found:
-            best = min(found)
-            if best is none:
-                break
-            at = found.index(best)
-            ids[at : at + 2] = [best[1]]
-            del found[at]
-            if at:
-                found[at - 1] = get(ids[at - 1] << 20 | best[1], none)
-            if at < len(found):
-                found[at] = get(best[1] << 20 | ids[at + 1], none)
-        return ids
+        return np.frombuffer(self.merge_all([word])[0], "<u4").tolist()
 
     def decode(self, ids) -> str:
         return b"".join(map(self.contents.__getitem__, ids)).decode("utf-8", "replace")
@@ -173,53 +212,83 @@ class Lexicon:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        root, *sizes = struct.unpack_from("<8I", self.map)
-        view, at, arrays = memoryview(self.map), 32, []
+        self.root, *sizes = struct.unpack_from("<8I", self.map)
+        at, arrays = 32, []
         for n in sizes[:5]:
-            arrays.append(view[at : at + 4 * n].cast("I"))
+            arrays.append(np.frombuffer(self.map, "<u4", n, at))
             at += 4 * n
-        self.root, self.labels_at = root, at
-        self.first, self.target, self.output, self.start, self.ids = arrays
-        self.final = view[at + sizes[5] : at + sizes[5] + sizes[6]]
+        self.first, self.target, self.output, self.start, ids = arrays
+        labels = np.frombuffer(self.map, np.uint8, sizes[5], at)
+        self.final = np.frombuffer(self.map, np.uint8, sizes[6], at + sizes[5])
+        # arcs in order of (state, label); the labels of a state are sorted
+        self.arcs = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first.astype(np.int64))) * 256 + labels
+        self.ids = ids.tobytes()
+
+    def find_all(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of every word that the automaton accepts, as little-endian 32-bit integers."""
+        n = len(words)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.array([len(w) for w in words], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        state, place = np.full(n, self.root, np.int64), np.zeros(n, np.int64)
+        live, step = np.flatnonzero(lengths > 0), 0
+        accepted = np.zeros(n, bool)
+        while len(live):
+            wanted = state[live] * 256 + data[begin[live] + step]
+            arc = np.searchsorted(self.arcs, wanted)
+            arc[arc == len(self.arcs)] = 0
+            known = self.arcs[arc] == wanted if len(self.arcs) else np.zeros(len(live), bool)
+            live, arc = live[known], arc[known]
+            place[live] += self.output[arc]
+            state[live] = self.target[arc]
+            step += 1
+            ended = lengths[live] == step
+            accepted[live[ended]] = self.final[state[live[ended]]] > 0
+            live = live[~ended]
+        found = np.where(accepted, place, 0)
+        first, last = self.start[found].tolist(), self.start[found + 1].tolist() if len(self.start) > 1 else [0] * n
+        return [self.ids[4 * a : 4 * b] if ok else None for a, b, ok in zip(first, last, accepted.tolist(), strict=True)]
 
     def find(self, word: bytes) -> bytes | None:
-        """The word's ids as little-endian 32-bit integers."""
-        state, place, base, seek = self.root, 0, self.labels_at, self.map.find
-        first, target, output = self.first, self.target, self.output
-        for b in word:
-            arc = seek(b.to_bytes(), base + first[state], base + first[state + 1])
-            if arc < 0:
-                return None
-            arc -= base
-            place += output[arc]
-            state = target[arc]
-        return bytes(self.ids[self.start[place] : self.start[place + 1]]) if self.final[state] else None
+        return self.find_all([word])[0]
 
 
 class Encoder:
     def __init__(self, bpe: ByteBpe, lexicon: Lexicon | None) -> None:
         self.bpe, self.lexicon = bpe, lexicon
-        self.memo = TwoGenerations(lambda chunks: map(self.encode_chunk, chunks))
-
-    def encode_chunk(self, chunk: str) -> bytes:
-        out = []
-        for word in PRE_TOKEN.findall(chunk):
-            raw = word.encode()
-            known = self.lexicon.find(raw) if self.lexicon else None
-            out.append(np.array(self.bpe.merge(raw), "<u4").tobytes() if known is None else known)
-        return b"".join(out)
+        self.memo = TwoGenerations(self.encode_chunks)
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        # letters alone, with or without a space before them, are one pre-token
+        split = [[c] if (c[1:] if c[:1] == " " else c).isalpha() or c in self.bpe.added else PRE_TOKEN.findall(c) for c in chunks]
+        words = list({w for part in split for w in part}.difference(self.bpe.added))
+        raw = [w.encode() for w in words]
+        found = self.lexicon.find_all(raw) if self.lexicon else [None] * len(raw)
+        coded = dict(zip(words, found, strict=True)) | {t: struct.pack("<I", i) for t, i in self.bpe.added.items()}
+        unseen = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(unseen, self.bpe.merge_all([raw[k] for k in unseen]), strict=True):
+            coded[words[k]] = ids
+        return [coded[part[0]] if len(part) == 1 else b"".join([coded[w] for w in part]) for part in split]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        split, chunks, ends = self.bpe.split_added, [], [0]
+        for text in texts:
+            if split is None or not split.search(text):
+                chunks += chunks_of(text)
+            else:
+                # an added token is a chunk of its own, and no other chunk has its spelling
+                for part in split.split(text):
+                    if part in self.bpe.added:
+                        chunks.append(part)
+                    elif part:
+                        chunks += chunks_of(part)
+            ends.append(len(chunks))
+        ids = self.memo(chunks)
+        return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, text: str) -> bytes:
-        split = self.bpe.split_added
-        if split is None or not split.search(text):
-            return b"".join(self.memo(chunks_of(text)))
-        out = []
-        for part in split.split(text):
-            if part in self.bpe.added:
-                out.append(struct.pack("<I", self.bpe.added[part]))
-            elif part:
-                out.extend(self.memo(chunks_of(part)))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -258,19 +327,34 @@ def _counted(path: str):
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
-    """``word, n`` of the most frequent pre-tokens of all documents."""
+    """``word, n`` of the most frequent pre-tokens of all documents: all above a count that at most ``most`` reach."""
     counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counted(path), "word string, n long")
-    return counts.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counts = store(counts.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # one row for each step of the counts reaches the driver, some hundred at most
+    step = F.floor(F.log2("n") * STEPS)
+    held, least = 0, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        held += row["words"]
+        if held > most:
+            break
+        least = row["least"]
+    return counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
 def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON) -> str:
     """Compiles the lexicon, hands it to the executors and returns its name. At most ``most`` words reach the driver."""
-    bpe = _bpe(path)
-    words = {r["word"].encode(): bpe.merge(r["word"].encode()) for r in frequent_words(docs, path, most).collect()}
+    words = [r["word"] for r in frequent_words(docs, path, most).collect()]
+    raw = [w.encode() for w in words]
     name = f"lexicon-{uuid.uuid4().hex}.dawg"
-    local = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    compile_lexicon(words, local)
-    docs.sparkSession.sparkContext.addFile(local)
+    spark = docs.sparkSession
+    shared = f"{scratch_path(spark, 'lexicon')}/{name}"
+    with tempfile.TemporaryDirectory(prefix="lexicon-") as folder:
+        local = os.path.join(folder, name)
+        compile_lexicon({w: np.frombuffer(i, "<u4").tolist() for w, i in zip(raw, _bpe(path).merge_all(raw), strict=True)}, local)
+        target = spark._jvm.org.apache.hadoop.fs.Path(shared)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file:{local}"), target)
+    spark.sparkContext.addFile(files.makeQualified(target).toString())
     return name
 
 
@@ -279,9 +363,9 @@ def _coded(path: str, lexicon: str):
         encoder = _encoder(path, lexicon)
         contents = encoder.bpe.contents
         for big in batches:
-            for lo in range(0, big.num_rows, 256):
-                batch = big.slice(lo, 256)
-                coded = [np.frombuffer(encoder.encode(t.as_py()), "<i4") for t in batch.column("text")]
+            for lo in range(0, big.num_rows, ROWS):
+                batch = big.slice(lo, ROWS)
+                coded = [np.frombuffer(x, "<i4") for x in encoder.encode_all(batch.column("text").to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
                 flat = pa.array(np.concatenate(coded) if coded else np.empty(0, "<i4"), pa.int32())
                 decoded = [b"".join(map(contents.__getitem__, c.tolist())).decode("utf-8", "replace") for c in coded]

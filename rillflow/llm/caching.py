@@ -17,13 +17,9 @@ class TwoGenerations:
         young = self.young
         missing = set(keys).difference(young)
         if missing:
-            fresh = []
-            for k in missing:
-                value = self.old.get(k)
-                if value is None:
-                    fresh.append(k)
-                else:
-                    young[k] = value
+            known = missing.intersection(self.old) if self.old else ()
+            young.update((k, self.old[k]) for k in known)
+            fresh = list(missing.difference(known))
             if fresh:
                 young.update(zip(fresh, self.make(fresh), strict=True))
         out = list(map(young.__getitem__, keys))
