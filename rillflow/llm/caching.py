@@ -17,9 +17,11 @@ class TwoGenerations:
         young = self.young
         missing = set(keys).difference(young)
         if missing:
-            known = missing.intersection(self.old) if self.old else ()
-            young.update((k, self.old[k]) for k in known)
-            fresh = list(missing.difference(known))
+            old = self.old
+            known = [k for k in missing if k in old] if old else []
+            for k in known:
+                young[k] = old[k]
+            fresh = list(missing.difference(known) if known else missing)
             if fresh:
                 young.update(zip(fresh, self.make(fresh), strict=True))
         out = list(map(young.__getitem__, keys))

@@ -10,11 +10,12 @@ A task writes under a name of its own and reports it in its result; the written
 names the files that count, so a repeated task leaves at most a file nobody reads. Files lie
 under ``spark.checkpoint.dir`` and are opened through Arrow's file systems.
 
-Texts are cut at spaces and line ends, which the tokenizer drops, and every different chunk
-is encoded by the tokenizers library once per worker (bounded memo).
+Texts are cut at spaces and line ends, which the tokenizer drops, and different chunks are
+encoded by the tokenizers library, those new to a worker together (bounded memo).
 
-NULL counts as empty: the end id alone. NULL ids come first. An empty table gives an empty
-result. Columns other than ``doc_id`` and ``text`` are not read.
+NULL counts as empty: the end id alone. NULL ids come first. Texts of any length are encoded
+whole. Rows that repeat an id follow each other, each with its own ids. An empty table gives an
+empty result. Columns other than ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,7 +42,9 @@ MAGIC = b"PFOR0001"
 BLOCK = 1024
 PERCENTILE = 95
 END_ID = 1
-_PLAIN = re.compile("[a-z]+")
+#: Rows whose chunks are looked up together, runs that go to the library in one line.
+ROWS, LINE = 128, 20_000
+_RUN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -153,7 +158,12 @@ def read_documents(source, size: int) -> Iterator[tuple[int | None, int, np.ndar
 
 
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, chunk by chunk."""
+    """Ids of whole texts by the tokenizers library, chunk by chunk.
+
+    A normalised chunk without apostrophe or ``<`` falls into runs of letters, single digits and runs of
+    signs, which the tokenizer's pattern separates too. All runs that are new go to the library in one
+    line, and a token that ends a word ends its run. Other chunks are encoded one by one.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -162,20 +172,50 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo = TwoGenerations(self._make)
-
-    def _make(self, chunks: list[str]) -> Iterator[bytes]:
-        # a chunk of small Latin letters is one word to normalizer and splitter
-        plain = [_PLAIN.fullmatch(c) is not None for c in chunks]
-        odd = iter(self.tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
-        for chunk, p in zip(chunks, plain, strict=True):
-            ids = [t.id for t in self.model.tokenize(chunk)] if p else next(odd).ids
-            yield np.array(ids, "<u4").tobytes()
+        self.runs = TwoGenerations(self._run_ids)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _run_ids(self, runs: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(runs), LINE):
+            part = runs[lo : lo + LINE]
+            ids = np.array(self._ids([" ".join(part)])[0], "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):  # not a tokenizer with word ends
+                out += [np.array(i, "<u4").tobytes() for i in self._ids(part)]
+                continue
+            flat = ids.tobytes()
+            out += [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    @staticmethod
+    def _separable(chunk: str) -> bool:
+        if "'" in chunk or "<" in chunk:
+            return False
+        return chunk.isascii() or (unicodedata.is_normalized("NFC", chunk) and len(chunk.lower()) == len(chunk))
+
+    def _make(self, chunks: list[str]) -> list[bytes]:
+        split = [[c] if c.isascii() and c.isalpha() else _RUN.findall(c) if self._separable(c) else None for c in chunks]
+        odd = iter(self._ids([c for c, runs in zip(chunks, split, strict=True) if runs is None]))
+        coded = iter(self.runs([r for runs in split if runs is not None for r in runs]))
+        return [np.array(next(odd), "<u4").tobytes() if runs is None else b"".join([next(coded) for _ in runs]) for runs in split]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        chunks, ends = [], [0]
+        for text in texts:
+            chunks += text.replace("\n", " ").split(" ")
+            ends.append(len(chunks))
+        ids = self.memo(chunks)
+        return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def __call__(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join(self.memo(chunks)), "<u4")
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -190,15 +230,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _library(tokenizer)
         part, name, writer, out = TaskContext.get().partitionId(), "", None, None
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                if writer is None:
-                    name = f"part-{part:06d}-{uuid.uuid4().hex}.pfor"
-                    files, folder = file_system(path)
-                    files.create_dir(folder, recursive=True)
-                    out = files.open_output_stream(f"{folder}/{name}")
-                    writer = Writer(out)
-                writer.add(doc_id, np.append(encode(text.as_py()), np.uint32(end_id)))
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            if writer is None:
+                name = f"part-{part:06d}-{uuid.uuid4().hex}.pfor"
+                files, folder = file_system(path)
+                files.create_dir(folder, recursive=True)
+                out = files.open_output_stream(f"{folder}/{name}")
+                writer = Writer(out)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.encode_all(batch.column("text").to_pylist()), strict=True):
+                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()
