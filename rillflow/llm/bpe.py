@@ -43,8 +43,8 @@ from rillflow.llm.caching import TwoGenerations
 from rillflow.scratch import scratch_path, store
 
 LEXICON = 20_000
-#: Rows that are coded together; steps of the histogram of counts for each doubling.
-ROWS, STEPS = 256, 8
+#: Rows that are coded together; chunks kept; steps of the histogram of counts for each doubling.
+ROWS, KEPT, STEPS = 512, 600_000, 8
 _NEVER = np.int64(1 << 40)
 #: Unicode white space, as the library's pattern engine understands it.
 WS = "\t-\r \x85\xa0  -     　"
@@ -61,6 +61,11 @@ def chunks_of(text: str) -> list[str]:
     return [first, *[f" {x}" for x in rest]]
 
 
+def one_word(chunk: str) -> bool:
+    """Letters alone, with or without a space before them, are one pre-token."""
+    return (chunk[1:] if chunk[:1] == " " else chunk).isalpha()
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of every byte in byte-level vocabularies."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -256,11 +261,10 @@ class Lexicon:
 class Encoder:
     def __init__(self, bpe: ByteBpe, lexicon: Lexicon | None) -> None:
         self.bpe, self.lexicon = bpe, lexicon
-        self.memo = TwoGenerations(self.encode_chunks)
+        self.memo = TwoGenerations(self.encode_chunks, KEPT)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        # letters alone, with or without a space before them, are one pre-token
-        split = [[c] if (c[1:] if c[:1] == " " else c).isalpha() or c in self.bpe.added else PRE_TOKEN.findall(c) for c in chunks]
+        split = [[c] if one_word(c) or c in self.bpe.added else PRE_TOKEN.findall(c) for c in chunks]
         words = list({w for part in split for w in part}.difference(self.bpe.added))
         raw = [w.encode() for w in words]
         found = self.lexicon.find_all(raw) if self.lexicon else [None] * len(raw)
@@ -309,6 +313,9 @@ def _counted(path: str):
         def flush() -> pa.RecordBatch:
             words: Counter[str] = Counter()
             for chunk, n in chunks.items():
+                if one_word(chunk):
+                    words[chunk] += n
+                    continue
                 for word in PRE_TOKEN.findall(chunk):
                     words[word] += n
             chunks.clear()
