@@ -2,22 +2,28 @@
 
 A document's histograms of character classes and of common words are compared with language
 references by Jensen-Shannon distance (base 2, so between 0 and 1). The bins of a reference
-are the function words of a language (``FUNCTION_WORDS``) and one bin for all other words; its
-shares, and the shares of the character classes, are learned from all documents whose
-``lang`` is that language. A document passes a test if it lies near its own language's
-reference or near any other one, so that a wrong language mark does not condemn clean text.
+are the function words of a language (``FUNCTION_WORDS``) and one bin for all other words. Its
+shares, and those of the character classes, are counted over all documents whose ``lang`` is
+that language and shrunk towards shipped shares that weigh as much as ``PRIOR_WORDS`` words;
+so every listed language has a reference in a table of any size, an empty one included, and no
+test is switched on or off by the amount of text.
 
-Guards: the character test needs ``MIN_BYTES`` bytes, the word test ``MIN_WORDS`` words, a
-reference ``MIN_REFERENCE`` words to learn from. A document below a guard, or of a language
-without a reference, passes.
+A document passes a test if it lies near any reference. Its own ``lang`` plays no part in its
+verdict, so neither a wrong mark nor NULL nor an unlisted one condemns or saves a text. Long
+text in a language that no reference covers is far from all of them and is rejected: give
+``function_words`` for such a language.
+
+Guards: the character test needs ``MIN_BYTES`` bytes, the word test ``MIN_WORDS`` words; a
+document below a guard passes that test.
 
 One pass over the texts writes a slim profile per document; references and verdicts read
 that. All counting inside a document happens on its own row, windows of words are hashed by
 doubling (1, 2, 4, 8 words), and only documents that repeat a window have them sorted. What
 reaches the driver is one reference per listed language.
 
-NULL or empty text: no words, so the base rules fail. ``filter_documents`` keeps all columns;
-names that begin with ``_rule`` are reserved.
+NULL or empty text: no words, so the base rules fail. Very long texts are read whole, on their
+row. Repeated rows are judged one by one and alike. An empty table gives an empty result.
+``filter_documents`` keeps all columns; names that begin with ``_rule`` are reserved.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ REPEAT_PERCENT = 30
 WINDOW = 8
 MIN_BYTES = 100
 MIN_WORDS = 100
-MIN_REFERENCE = 2000
+#: Weight of the shipped shares in a reference.
+PRIOR_WORDS = 2000
 #: Both lie between clean and junk rows of two labelled tables; README has recall and false rejections.
 MOST_CLASS_DISTANCE = 0.30
 #: Of the distance that a document without any function word has.
@@ -51,6 +58,12 @@ FUNCTION_WORDS = {
     "nl": "de van het een in en is dat op te voor met zijn die aan er niet ook als door".split(),
 }
 
+#: Shipped shares: all function words of a language together, the k-th listed in proportion to 1/k;
+#: bytes of white space, digits, symbols, continuation bytes and all others, and bytes a word.
+PRIOR_HELD = 0.35
+PRIOR_CLASSES = (0.16, 0.01, 0.001, 0.02, 0.809)
+PRIOR_WORD_BYTES = 6.0
+
 
 def _occurrences(text: Column, characters: str) -> Column:
     """How often any of some ASCII characters occurs; texts without them are not rewritten."""
@@ -62,7 +75,13 @@ def _doubled(hashes: Column, n: Column, step: int) -> Column:
     return F.zip_with(F.slice(hashes, 1, n - step), F.slice(hashes, step + 1, n - step), lambda a, b: F.xxhash64(a, b))
 
 
-def profiled(docs: DataFrame, keep: list[str]) -> DataFrame:
+def prior_shares(words: list[str]) -> dict[str, float]:
+    """Shipped share of every function word of one language."""
+    whole = sum(1 / k for k in range(1, len(words) + 1))
+    return {w: PRIOR_HELD / (k * whole) for k, w in enumerate(words, 1)}
+
+
+def profiled(docs: DataFrame, keep: list[str], function_words: dict[str, list[str]] = FUNCTION_WORDS) -> DataFrame:
     """``keep``, ``_rule_lang`` and per document: ``_rule`` (base counts), ``_rule_classes`` (bytes
     per class: white space, digits, symbols, continuation bytes, all others) and ``_rule_common``,
     the (w, n) of its function words. The base counts are long, ``base_failed`` boolean."""
@@ -90,13 +109,13 @@ def profiled(docs: DataFrame, keep: list[str]) -> DataFrame:
     gaps = F.transform(at, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW))))
     out = out.withColumn("_rule_repeated", F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)))
     failed = (n < MIN_BASE_WORDS) | (100 * F.col("_rule_repeated") > REPEAT_PERCENT * n)
-    function_words = sorted({w for ws in FUNCTION_WORDS.values() for w in ws})
+    listed = sorted({w for ws in function_words.values() for w in ws})
     out = out.withColumns(
         {
             "_rule_chars": F.length(text),
             "_rule_word_chars": F.length(F.array_join(words, "")),
             "_rule_symbols": _occurrences(text, SYMBOLS),
-            "_rule_found": F.sort_array(F.filter(words, lambda w: w.isin(function_words))),
+            "_rule_found": F.sort_array(F.filter(words, lambda w: w.isin(listed))),
         }
     )
     c = F.col("_rule_found")
@@ -125,9 +144,9 @@ def profiled(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def references(profiles: DataFrame) -> list[dict]:
-    """One reference per listed language with enough words."""
-    listed = profiles.filter(F.col("_rule_lang").isin(list(FUNCTION_WORDS)))
+def references(profiles: DataFrame, function_words: dict[str, list[str]] = FUNCTION_WORDS) -> list[dict]:
+    """One reference per listed language: counts over its documents, shrunk towards the shipped shares."""
+    listed = profiles.filter(F.col("_rule_lang").isin(list(function_words)))
     sums = listed.groupBy("_rule_lang").agg(
         F.sum("_rule.n_words").alias("total"), *[F.sum(F.col("_rule_classes")[i]).alias(f"c{i}") for i in range(5)]
     )
@@ -135,14 +154,15 @@ def references(profiles: DataFrame) -> list[dict]:
     per_word: dict[str, dict[str, float]] = {}
     for r in words.collect():
         per_word.setdefault(r["_rule_lang"], {})[r["w"]] = r["n"]
+    seen = {r["_rule_lang"]: r for r in sums.collect()}
     found = []
-    for r in sums.filter(F.col("total") >= MIN_REFERENCE).orderBy("_rule_lang").collect():
-        lang, counts = r["_rule_lang"], [r[f"c{i}"] for i in range(5)]
-        own = per_word.get(lang, {})
-        shares = {w: own.get(w, 0.0) / r["total"] for w in FUNCTION_WORDS[lang]}
-        if not any(shares.values()):
-            continue  # text marked so has none of the language's words
-        found.append({"lang": lang, "words": shares, "classes": [x / sum(counts) for x in counts]})
+    for lang, ws in sorted(function_words.items()):
+        r, own = seen.get(lang), per_word.get(lang, {})
+        total, counts = (r["total"], [r[f"c{i}"] for i in range(5)]) if r else (0, [0.0] * 5)
+        shares = {w: (PRIOR_WORDS * q + own.get(w, 0.0)) / (PRIOR_WORDS + total) for w, q in prior_shares(ws).items()}
+        prior_bytes = PRIOR_WORDS * PRIOR_WORD_BYTES
+        classes = [(prior_bytes * q + x) / (prior_bytes + sum(counts)) for q, x in zip(PRIOR_CLASSES, counts)]
+        found.append({"lang": lang, "words": shares, "classes": classes})
     return found
 
 
@@ -173,18 +193,14 @@ def _word_distance(counts: Column, n: Column, ref: Column) -> Column:
     return here / F.sqrt(0.5 * ref["held"] + _half(F.lit(1.0), 1 - ref["held"]))
 
 
-def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str] | None = None, function_words: dict[str, list[str]] = FUNCTION_WORDS) -> DataFrame:
     """The ``keep`` columns (all, if not given), the struct ``_rule`` of the base counts and the verdict ``_rule_kept``."""
     keep = docs.columns if keep is None else keep
-    profiles = store(profiled(docs, keep), "profiles")
-    refs = references(profiles)
-    base_ok = ~F.col("_rule.base_failed")
-    if not refs:
-        return profiles.select(*[F.col(f"`{c}`") for c in keep], "_rule", base_ok.alias("_rule_kept"))
+    profiles = store(profiled(docs, keep, function_words), "profiles")
+    refs = references(profiles, function_words)
     literal = F.array(
         *[
             F.struct(
-                F.lit(r["lang"]).alias("lang"),
                 F.create_map(*[F.lit(x) for pair in r["words"].items() for x in pair]).alias("words"),
                 F.lit(float(sum(r["words"].values()))).alias("held"),
                 F.array(*[F.lit(float(x)) for x in r["classes"]]).alias("classes"),
@@ -195,15 +211,13 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     n = F.col("_rule.n_words").cast("double")
     out = profiles.withColumn("_rule_bytes", F.aggregate("_rule_classes", F.lit(0.0), lambda a, x: a + x))
     n_bytes = F.col("_rule_bytes")
-    own = lambda r: r["lang"] == F.coalesce("_rule_lang", F.lit(""))
 
     def near(distance, most: float) -> Column:
-        ok = lambda r: distance(r) <= most
-        return F.when(F.exists(literal, lambda r: own(r) & ok(r)), True).otherwise(F.exists(literal, ok))
+        return F.exists(literal, lambda r: distance(r) <= most)
 
     classes_ok = (n_bytes < MIN_BYTES) | near(lambda r: _class_distance(F.col("_rule_classes"), n_bytes, r), MOST_CLASS_DISTANCE)
     words_ok = (n < MIN_WORDS) | near(lambda r: _word_distance(F.col("_rule_common"), n, r), MOST_WORD_SHARE)
-    kept = F.when(~base_ok, False).when(~F.exists(literal, own), True).otherwise(classes_ok & words_ok)
+    kept = F.when(F.col("_rule.base_failed"), False).otherwise(classes_ok & words_ok)
     return out.select(*[F.col(f"`{c}`") for c in keep], "_rule", kept.alias("_rule_kept"))
 
 

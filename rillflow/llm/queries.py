@@ -144,8 +144,10 @@ def _half(p: str, q: str) -> str:
     return f"0.5 * ({part(p)} + {part(q)})"
 
 
-_LISTED = ", ".join(f"('{lang}', '{w}')" for lang, ws in quality.FUNCTION_WORDS.items() for w in ws)
-_CLASSES = ("space", "digit", "symbol", "wide", "rest")
+_LISTED = ", ".join(f"('{lang}', '{w}', {q!r}::DOUBLE)" for lang, ws in quality.FUNCTION_WORDS.items() for w, q in quality.prior_shares(ws).items())
+_CLASSES = dict(zip(("space", "digit", "symbol", "wide", "rest"), quality.PRIOR_CLASSES))
+_K = quality.PRIOR_WORDS
+_KB = _K * quality.PRIOR_WORD_BYTES
 ORACLES["op4_quality_rules"] = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () rid, doc_id, lang, coalesce(text, '') t,
   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws FROM documents),
@@ -160,24 +162,24 @@ b AS MATERIALIZED (SELECT rid, doc_id, lang, len(ws)::BIGINT n_words, length(arr
   FROM d LEFT JOIN rep USING (rid) LEFT JOIN lines USING (rid)),
 p AS MATERIALIZED (SELECT *, n_symbols symbol, n_bytes - "space" - digit - n_symbols - wide rest,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words base_failed FROM b),
-fw(lang, w) AS (VALUES {_LISTED}),
+fw(lang, w, prior) AS (VALUES {_LISTED}),
 c AS MATERIALIZED (SELECT rid, w, count(*) k FROM (SELECT rid, unnest(ws) w FROM d) WHERE w IN (SELECT w FROM fw) GROUP BY ALL),
-tot AS (SELECT lang, sum(n_words) total, {", ".join(f'sum("{x}")::DOUBLE / sum(n_bytes) q_{x}' for x in _CLASSES)} FROM p
-  WHERE lang IN (SELECT lang FROM fw) GROUP BY lang HAVING sum(n_words) >= {quality.MIN_REFERENCE}),
-rw AS MATERIALIZED (SELECT fw.lang, fw.w, coalesce(k, 0) / total q FROM fw JOIN tot USING (lang)
+tot AS (SELECT l.lang, coalesce(sum(n_words), 0) total,
+  {", ".join(f'({_KB} * {q} + coalesce(sum("{x}"), 0)::DOUBLE) / ({_KB} + coalesce(sum(n_bytes), 0)) q_{x}' for x, q in _CLASSES.items())}
+  FROM (SELECT DISTINCT lang FROM fw) l LEFT JOIN p USING (lang) GROUP BY l.lang),
+rw AS MATERIALIZED (SELECT fw.lang, fw.w, ({_K} * prior + coalesce(k, 0)) / ({_K} + total) q FROM fw JOIN tot USING (lang)
   LEFT JOIN (SELECT lang, w, sum(k) k FROM c JOIN p USING (rid) GROUP BY ALL) u ON u.lang = fw.lang AND u.w = fw.w),
-held AS (SELECT lang, sum(q) held FROM rw GROUP BY lang HAVING sum(q) > 0),
-ref AS MATERIALIZED (SELECT * FROM tot JOIN held USING (lang)),
+ref AS MATERIALIZED (SELECT * FROM tot JOIN (SELECT lang, sum(q) held FROM rw GROUP BY lang) USING (lang)),
 m AS (SELECT c.rid, rw.lang, sum({_half("(k / n_words::DOUBLE)", "q")} - 0.5 * q) dd, sum(k) kk FROM c JOIN p USING (rid) JOIN rw USING (w) GROUP BY ALL),
-x AS (SELECT p.rid, p.lang, n_words, n_bytes, ref.lang ref_lang,
+x AS (SELECT p.rid, n_words, n_bytes,
   sqrt(greatest(0, {" + ".join(_half(f'("{x}"::DOUBLE / n_bytes)', f"q_{x}") for x in _CLASSES)})) cd,
   sqrt(greatest(0, 0.5 * held + coalesce(dd, 0) + {_half("((n_words - coalesce(kk, 0)) / n_words::DOUBLE)", "(1 - held)")}))
     / sqrt(0.5 * held + {_half("1.0", "(1 - held)")}) wd
   FROM p JOIN ref ON NOT base_failed LEFT JOIN m ON m.rid = p.rid AND m.lang = ref.lang),
 v AS (SELECT rid, (any_value(n_bytes) < {quality.MIN_BYTES} OR min(cd) <= {quality.MOST_CLASS_DISTANCE})
-  AND (any_value(n_words) < {quality.MIN_WORDS} OR min(wd) <= {quality.MOST_WORD_SHARE}) ok, bool_or(lang IS NOT DISTINCT FROM ref_lang) known FROM x GROUP BY rid)
+  AND (any_value(n_words) < {quality.MIN_WORDS} OR min(wd) <= {quality.MOST_WORD_SHARE}) ok FROM x GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(NOT known OR ok, true) AS kept FROM p LEFT JOIN v USING (rid)"""
+  NOT base_failed AND coalesce(ok, true) AS kept FROM p LEFT JOIN v USING (rid)"""
 
 
 @_query

@@ -134,6 +134,51 @@ def test_divergence_rejects_odd_text_and_keeps_prose(spark):
     assert kept == {r[0] for r in rows} - {100}
 
 
+ENGLISH = """The house at the end of the road was built by a farmer in the last years of the war, and it is still the largest that
+stands on the hill. From the windows you can look over the fields to the river, which is deep and slow in summer but rises to the
+bridge after heavy rain. In those days there were no shops or schools for miles, so the children walked with their father to the
+next village and came home in the evening with bread, salt and oil. It is said that he planted every tree on this land with his own
+hands, and that the oldest of them are as old as the house. Now the place is to be sold, and nobody knows if the new owners will keep
+the orchard or cut it down for a garden. We hope that it will be left as it was."""
+
+
+def english(seed: int) -> str:
+    """A real passage with its words in another order."""
+    return " ".join(w for _, w in sorted((zlib.crc32(f"{seed}:{i}".encode()), w) for i, w in enumerate(ENGLISH.split())))
+
+
+def test_no_mark_and_no_table_size_decides(spark):
+    """Junk is rejected and prose kept under any mark, in a table of three rows as in one of thousands."""
+    junk = " ".join(f"{i * 37 % 91}$%&{i}" for i in range(150))
+    odd = " ".join(f"qx{i * 7919 % 9973}z" for i in range(200))
+    marks = ["en", "de", "it", "zz", None]
+    few = [(i, t, m, "a", 0) for m in marks for i, t in enumerate((junk, odd, english(0)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    many = few + [(10 + i, english(i), "en", "a", 0) for i in range(2000)]
+    for rows in (few[:3], few[-3:], few, many):
+        out = quality.judged(spark.createDataFrame(rows, schema)).filter("doc_id < 10").collect()
+        assert {(r["doc_id"], r["_rule_kept"]) for r in out} == {(0, False), (1, False), (2, True)}
+
+
+def test_references_count_and_shrink(spark):
+    rows = [(1, "the the of x " * 500, "en", "a", 0), (2, "the the of x " * 500, None, "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    refs = {r["lang"]: r for r in quality.references(quality.profiled(df, ["doc_id"]))}
+    prior = quality.prior_shares(quality.FUNCTION_WORDS["en"])
+    assert refs["en"]["words"]["the"] == pytest.approx((2000 * prior["the"] + 1000) / 4000)
+    assert refs["en"]["words"]["or"] == pytest.approx(prior["or"] / 2)
+    assert refs["de"]["words"] == pytest.approx(quality.prior_shares(quality.FUNCTION_WORDS["de"]))
+    assert all(sum(r["classes"]) == pytest.approx(1.0) for r in refs.values()) and len(refs) == len(quality.FUNCTION_WORDS)
+
+
+def test_another_language_needs_its_words(spark):
+    own = "joka oli ja se hän että mutta kun niin".split()
+    text = " ".join(f"sana{i}" if i % 3 else own[i // 3 % 9] for i in range(150))
+    df = spark.createDataFrame([(1, text, "fi", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert not quality.judged(df).first()["_rule_kept"]
+    assert quality.judged(df, function_words=quality.FUNCTION_WORDS | {"fi": own}).first()["_rule_kept"]
+
+
 def test_most_labelled_junk_is_rejected_and_clean_text_is_kept(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = quality.judged(docs, ["doc_id"]).filter("not _rule.base_failed").join(labels, "doc_id").select("quality", "_rule_kept").collect()
