@@ -189,7 +189,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    out = sharding.read_shards(spark, sharding.write_shards(docs), docs)
     return out.select(
         "record.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

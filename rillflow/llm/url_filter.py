@@ -12,8 +12,11 @@ Fixed rules ``(host, path)`` come first; the longest one that fits decides.
 Labels are counted per host before anything moves; pages meet the reputation table in a join
 of thin rows on the host, which Spark broadcasts if small and splits if a host is hot.
 
-NULL url or no ``://``: host and path empty; such pages share the root prior. An empty table
-gives an empty result; without labels the root prior is uniform and nothing is blocked.
+NULL url or no ``://``: host and path empty; such pages share the root prior. Urls of any length
+are read whole. A NULL ``page_id`` has no label. Repeated pages are judged one by one and alike; each
+repeated page and each repeated label counts as evidence. Only ``page_id`` and ``url`` are read and
+returned, so other columns may have any name. An empty table gives an empty result; without
+labels the root prior is uniform and nothing is blocked.
 """
 
 from __future__ import annotations
@@ -79,12 +82,14 @@ def _strength(counts: DataFrame, parent_mean: str) -> Column:
     return (1 / r - 1).alias("strength")
 
 
-def _posterior(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
-    """Adds ``mean`` and ``weight`` (all pseudo-counts) of every child; ``parents``: parent, mean."""
-    joined = children.join(parents.select(parent, F.col("mean").alias("prior_mean")), parent)
-    one = joined.agg(_strength(joined, "prior_mean"))
-    # one row, one column: a scalar subquery, not a join
-    strength = one.scalar()
+def _posterior(children: DataFrame, parents: DataFrame, parent: str, label: str) -> DataFrame:
+    """Adds ``mean`` and ``weight`` (all pseudo-counts) of every child; ``parents``: parent, mean.
+
+    The level is stored, so that the next one does not plan it again; its strength, one number
+    for all children of the level, is read on the driver.
+    """
+    joined = store(children.join(parents.select(parent, F.col("mean").alias("prior_mean")), parent), label)
+    strength = F.lit(joined.agg(_strength(joined, "prior_mean")).first()["strength"])
     a = F.col("good") + F.col("prior_mean") * strength
     weight = F.col("n") + strength
     return joined.withColumns({"mean": a / F.greatest(weight, F.lit(1e-9)), "weight": weight})
@@ -96,17 +101,19 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     ``pages``: ``page_id, url``. ``outcomes``: ``page_id, good`` (0/1), any number of rows a page.
     """
     host, _ = host_and_path(F.col("url"))
-    labelled = pages.select("page_id", host.alias("host")).join(outcomes.select("page_id", "good"), "page_id", "left")
-    hosts = labelled.groupBy("host").agg(F.count("good").cast("double").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"))
+    ids = pages.select("page_id", host.alias("host"))
+    # pages meet labels in an inner join, which NULL ids never enter; every host comes from the pages alone
+    labelled = ids.join(outcomes.select("page_id", "good"), "page_id").select("host", F.col("good").cast("int").alias("good"))
+    hosts = ids.select("host", F.lit(None).cast("int").alias("good")).unionAll(labelled).groupBy("host").agg(F.count("good").cast("double").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"))
     suffix, domain = suffix_and_domain(F.col("host"))
     hosts = store(hosts.withColumns({"suffix": suffix, "domain": domain}), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     domains = hosts.groupBy("suffix", "domain").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("root", F.lit(0))
     root = suffixes.groupBy("root").agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("mean"))
-    at_suffix = _posterior(suffixes, root, "root")
-    at_domain = _posterior(domains, at_suffix, "suffix")
-    at_host = _posterior(hosts.drop("suffix"), at_domain.select("domain", "mean"), "domain")
+    at_suffix = _posterior(suffixes, root, "root", "reputation-suffix")
+    at_domain = _posterior(domains, at_suffix, "suffix", "reputation-domain")
+    at_host = _posterior(hosts.drop("suffix"), at_domain.select("domain", "mean"), "domain", "reputation-host")
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
     return at_host.select("host", "n", "good", "mean", (F.col("mean") + Z * spread).alias("upper"))
 

@@ -103,3 +103,10 @@ def test_pipeline_of_awkward_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = store(stage(spark, docs, SF_DIR), "test-stage")
         assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_repeated_ids_and_labels_bring_one_row_to_the_driver(spark):
+    bad, good = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame([(bad, f"text {i % 50}") for i in range(20_000)] + [(good, "other text"), (None, "t")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i in range(100) for t in (0, 0, int(i == bad))] + [(None, 1)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels) == (["text 0"], ["other text"])
