@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,22 +43,34 @@ MAGIC = b"PFOR0001"
 BLOCK = 1024
 PERCENTILE = 95
 END_ID = 1
-#: Rows whose chunks are looked up together, runs that go to the library in one line.
-ROWS, LINE = 128, 20_000
+#: Bytes of text whose chunks are looked up together (one row at least), runs that go to the library in one line, chunks kept.
+TOGETHER, LINE, KEPT = 4_000_000, 20_000, 500_000
 _RUN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_ASCII_RUN = re.compile(r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
-def pack_block(ids: np.ndarray) -> bytes:
-    """``u4 minimum, u2 count, u1 width, u1 high width, u2 exceptions | packed | u2 places | u4 high parts``."""
-    low = int(ids.min())
-    rest = (ids - low).astype(np.uint32)
+def pack_blocks(ids: np.ndarray) -> list[bytes]:
+    """Each row as ``u4 minimum, u2 count, u1 width, u1 high width, u2 exceptions | packed | u2 places | u4 high parts``."""
+    n = ids.shape[1]
+    low = ids.min(axis=1)
+    rest = (ids - low[:, None]).astype(np.uint32)
     lengths = np.frexp(rest.astype(np.float64))[1]  # bits of each value, 0 for 0
-    width = int(np.partition(lengths, k := (len(ids) * PERCENTILE - 1) // 100)[k])
-    odd = np.flatnonzero(lengths > width)
-    shifts = np.arange(width, dtype=np.uint32)
-    packed = np.packbits(((rest[:, None] >> shifts) & 1).astype(np.uint8), bitorder="little").tobytes() if width else b""
-    high = (rest[odd] >> np.uint32(width)).astype("<u4").tobytes()
-    return struct.pack("<IHBBH", low, len(ids), width, 0, len(odd)) + packed + odd.astype("<u2").tobytes() + high
+    widths = np.partition(lengths, k := (n * PERCENTILE - 1) // 100, axis=1)[:, k]
+    out = [b""] * len(ids)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        shifts = np.arange(width, dtype=np.uint32)
+        bits = ((rest[rows][:, :, None] >> shifts) & 1).astype(np.uint8).reshape(len(rows), n * width)
+        for row, packed in zip(rows.tolist(), np.packbits(bits, axis=1, bitorder="little"), strict=True):
+            odd = np.flatnonzero(lengths[row] > width)
+            high = (rest[row, odd] >> np.uint32(width)).astype("<u4").tobytes()
+            head = struct.pack("<IHBBH", low[row], n, width, 0, len(odd))
+            out[row] = head + packed.tobytes() + odd.astype("<u2").tobytes() + high
+    return out
+
+
+def pack_block(ids: np.ndarray) -> bytes:
+    return pack_blocks(ids[None, :])[0]
 
 
 def unpack_block(data: bytes) -> np.ndarray:
@@ -109,9 +122,13 @@ class Writer:
     def _blocks(self, last: bool) -> None:
         stream = np.concatenate(self.waiting) if self.waiting else np.empty(0, np.uint32)
         whole = len(stream) if last else len(stream) // BLOCK * BLOCK
-        for lo in range(0, whole, BLOCK):
+        full = whole // BLOCK * BLOCK
+        blocks = [b for lo in range(0, full, 64 * BLOCK) for b in pack_blocks(stream[lo : min(lo + 64 * BLOCK, full)].reshape(-1, BLOCK))]
+        if full < whole:
+            blocks.append(pack_block(stream[full:whole]))
+        for block in blocks:
             self.starts.append(self.at)
-            self._write(pack_block(stream[lo : min(lo + BLOCK, whole)]))
+            self._write(block)
         self.waiting, self.n_waiting = [stream[whole:]], len(stream) - whole
 
     def close(self) -> None:
@@ -175,8 +192,7 @@ class LibraryEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.memo = TwoGenerations(self._make)
-        self.runs = TwoGenerations(self._run_ids)
+        self.memo = TwoGenerations(self._make, KEPT)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,27 +211,57 @@ class LibraryEncoder:
         return out
 
     @staticmethod
-    def _separable(chunk: str) -> bool:
-        if "'" in chunk or "<" in chunk:
-            return False
-        return chunk.isascii() or (unicodedata.is_normalized("NFC", chunk) and len(chunk.lower()) == len(chunk))
+    def _split(chunk: str) -> list[str] | None:
+        """The runs of a chunk, None if it has to be encoded as it stands."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            return None if "'" in chunk or "<" in chunk else _ASCII_RUN.findall(chunk)
+        if "'" in chunk or "<" in chunk or len(chunk.lower()) != len(chunk) or not unicodedata.is_normalized("NFC", chunk):
+            return None
+        return _RUN.findall(chunk)
 
     def _make(self, chunks: list[str]) -> list[bytes]:
-        split = [[c] if c.isascii() and c.isalpha() else _RUN.findall(c) if self._separable(c) else None for c in chunks]
+        split = list(map(self._split, chunks))
         odd = iter(self._ids([c for c, runs in zip(chunks, split, strict=True) if runs is None]))
-        coded = iter(self.runs([r for runs in split if runs is not None for r in runs]))
-        return [np.array(next(odd), "<u4").tobytes() if runs is None else b"".join([next(coded) for _ in runs]) for runs in split]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        chunks, ends = [], [0]
-        for text in texts:
-            chunks += text.replace("\n", " ").split(" ")
-            ends.append(len(chunks))
-        ids = self.memo(chunks)
-        return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        young, old = self.memo.young, self.memo.old  # a run alone is a chunk, so the memo serves both
+        needed = {r for runs in split if runs is not None for r in runs}
+        coded = {r: ids for r in needed if (ids := young.get(r) or old.get(r))}
+        fresh = list(needed.difference(coded))
+        coded.update(zip(fresh, self._run_ids(fresh), strict=True))
+        young.update(coded)
+        return [
+            np.array(next(odd), "<u4").tobytes() if runs is None else coded[runs[0]] if len(runs) == 1 else b"".join([coded[r] for r in runs])
+            for runs in split
+        ]
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text. Only the different chunks, ASCII ones in small letters, are Python strings."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        different = coded.dictionary
+        ids = self.memo(pc.if_else(pc.string_is_ascii(different), pc.ascii_lower(different), different).to_pylist())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        chunk = coded.indices.to_numpy()
+        n = sizes[chunk]
+        ends = np.cumsum(n)
+        stream = flat[np.arange(n.sum()) - np.repeat(ends - n - starts[chunk], n)]
+        borders = split.offsets.to_numpy()
+        cuts = np.append(0, ends)[borders - borders[0]].tolist()
+        return [stream[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of about ``TOGETHER`` bytes of text."""
+    before = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+    borders = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+        yield batch.slice(lo, hi - lo)
 
 
 @lru_cache(maxsize=2)
@@ -230,14 +276,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _library(tokenizer)
         part, name, writer, out = TaskContext.get().partitionId(), "", None, None
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+        for batch in (part for b in batches if b.num_rows for part in _parts(b)):
             if writer is None:
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.pfor"
                 files, folder = file_system(path)
                 files.create_dir(folder, recursive=True)
                 out = files.open_output_stream(f"{folder}/{name}")
                 writer = Writer(out)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.encode_all(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.encode_all(batch.column("text")), strict=True):
                 writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
