@@ -28,28 +28,32 @@ import struct
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.caching import TwoGenerations
+from rillflow.llm.caching import TwoGenerations, joined, stretches
 from rillflow.scratch import scratch_path, store
 
 LEXICON = 20_000
-#: Rows that are coded together; chunks kept; steps of the histogram of counts for each doubling.
-ROWS, KEPT, STEPS = 512, 600_000, 8
+#: Bytes of text that are coded together and counted together; chunks kept; steps of the histogram of counts for each doubling.
+TOGETHER, COUNTED, KEPT, STEPS = 8_000_000, 16_000_000, 600_000, 8
 _NEVER = np.int64(1 << 40)
 #: Unicode white space, as the library's pattern engine understands it.
 WS = "\t-\r \x85\xa0  -     　"
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+#: The same cuts where all characters are ASCII.
+ASCII_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _CLOSE_SPACES = re.compile(f"[{WS}] ")
+_MARK = "\x01"
 _CUT = re.compile(f"(?<=[^{WS}])(?= )")
 
 
@@ -61,9 +65,24 @@ def chunks_of(text: str) -> list[str]:
     return [first, *[f" {x}" for x in rest]]
 
 
-def one_word(chunk: str) -> bool:
+def pre_tokens(chunk: str) -> list[str]:
     """Letters alone, with or without a space before them, are one pre-token."""
-    return (chunk[1:] if chunk[:1] == " " else chunk).isalpha()
+    if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+        return [chunk]
+    return (ASCII_TOKEN if chunk.isascii() else PRE_TOKEN).findall(chunk)
+
+
+def even(texts: pa.Array, added: Iterable[str]) -> pa.Array:
+    """Whether a text can be cut before every space: no added token, no space after white space."""
+    odd = pc.or_(pc.match_substring_regex(texts, _CLOSE_SPACES.pattern), pc.match_substring(texts, _MARK))
+    for token in added:
+        odd = pc.or_(odd, pc.match_substring(texts, token))
+    return pc.invert(odd)
+
+
+def cut_at_spaces(texts: pa.Array) -> pa.ListArray:
+    """Chunks of texts that are even."""
+    return pc.split_pattern(pc.replace_substring(texts, " ", f"{_MARK} "), _MARK)
 
 
 def byte_letters() -> list[str]:
@@ -264,35 +283,38 @@ class Encoder:
         self.memo = TwoGenerations(self.encode_chunks, KEPT)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [[c] if one_word(c) or c in self.bpe.added else PRE_TOKEN.findall(c) for c in chunks]
-        words = list({w for part in split for w in part}.difference(self.bpe.added))
+        added = self.bpe.added
+        split = [[c] if c in added else pre_tokens(c) for c in chunks]
+        young, old = self.memo.young, self.memo.old  # a pre-token alone is a chunk, so the memo serves both
+        needed = {w for part in split for w in part}
+        coded = {w: ids for w in needed if (ids := young.get(w) or old.get(w))}
+        coded |= {t: struct.pack("<I", added[t]) for t in needed.intersection(added)}
+        words = list(needed.difference(coded))
         raw = [w.encode() for w in words]
         found = self.lexicon.find_all(raw) if self.lexicon else [None] * len(raw)
-        coded = dict(zip(words, found, strict=True)) | {t: struct.pack("<I", i) for t, i in self.bpe.added.items()}
+        coded.update(zip(words, found, strict=True))
         unseen = [k for k, ids in enumerate(found) if ids is None]
         for k, ids in zip(unseen, self.bpe.merge_all([raw[k] for k in unseen]), strict=True):
             coded[words[k]] = ids
+        young.update(coded)
         return [coded[part[0]] if len(part) == 1 else b"".join([coded[w] for w in part]) for part in split]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts."""
-        split, chunks, ends = self.bpe.split_added, [], [0]
-        for text in texts:
-            if split is None or not split.search(text):
-                chunks += chunks_of(text)
-            else:
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts. Of texts cut at every space only the different chunks are Python strings."""
+        plain = even(texts, self.bpe.added)
+        lists = cut_at_spaces(pc.if_else(plain, texts, ""))
+        chunks = lists.flatten().dictionary_encode()
+        out = joined(self.memo(chunks.dictionary.to_pylist()), chunks.indices.to_numpy(), lists.offsets.to_numpy())
+        for k in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+            parts: list[str] = []
+            for part in self.bpe.split_added.split(texts[k].as_py()) if self.bpe.split_added else [texts[k].as_py()]:
                 # an added token is a chunk of its own, and no other chunk has its spelling
-                for part in split.split(text):
-                    if part in self.bpe.added:
-                        chunks.append(part)
-                    elif part:
-                        chunks += chunks_of(part)
-            ends.append(len(chunks))
-        ids = self.memo(chunks)
-        return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                parts += [part] if part in self.bpe.added else chunks_of(part) if part else []
+            out[k] = np.frombuffer(b"".join(self.memo(parts)), "<u4")
+        return out
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -307,28 +329,23 @@ def _encoder(path: str, lexicon: str) -> Encoder:
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _bpe(path).split_added
-        chunks: Counter[str] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words: Counter[str] = Counter()
-            for chunk, n in chunks.items():
-                if one_word(chunk):
-                    words[chunk] += n
-                    continue
-                for word in PRE_TOKEN.findall(chunk):
-                    words[word] += n
-            chunks.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column("text"):
-                text = text.as_py()
-                for part in split.split(text)[::2] if split and split.search(text) else [text]:
-                    chunks.update(chunks_of(part))
-                if len(chunks) > 400_000:
-                    yield flush()
-        yield flush()
+        bpe = _bpe(path)
+        for batch in stretches(batches, COUNTED):
+            texts = batch.column("text")
+            plain = even(texts, bpe.added)
+            counts = cut_at_spaces(texts.filter(plain)).flatten().value_counts()
+            chunks, n = counts.field("values"), counts.field("counts")
+            whole = pc.match_substring_regex(chunks, r"^ ?\pL+$")  # one pre-token each
+            yield pa.RecordBatch.from_arrays([chunks.filter(whole), n.filter(whole)], names=["word", "n"])
+            mixed, words = pc.invert(whole), Counter()
+            for chunk, times in zip(chunks.filter(mixed).to_pylist(), n.filter(mixed).to_pylist(), strict=True):
+                for word in pre_tokens(chunk):
+                    words[word] += times
+            for text in texts.filter(pc.invert(plain)).to_pylist():
+                for part in bpe.split_added.split(text)[::2] if bpe.split_added else [text]:
+                    for chunk in chunks_of(part):
+                        words.update(pre_tokens(chunk))
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     return run
 
@@ -368,18 +385,19 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON) -> str:
 def _coded(path: str, lexicon: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, lexicon)
-        contents = encoder.bpe.contents
-        for big in batches:
-            for lo in range(0, big.num_rows, ROWS):
-                batch = big.slice(lo, ROWS)
-                coded = [np.frombuffer(x, "<i4") for x in encoder.encode_all(batch.column("text").to_pylist())]
-                offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
-                flat = pa.array(np.concatenate(coded) if coded else np.empty(0, "<i4"), pa.int32())
-                decoded = [b"".join(map(contents.__getitem__, c.tolist())).decode("utf-8", "replace") for c in coded]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.string())],
-                    names=["doc_id", "ids", "decoded"],
-                )
+        contents = pa.array(encoder.bpe.contents, pa.large_binary())
+        for batch in stretches(batches, TOGETHER):
+            coded = encoder.encode_all(batch.column("text"))
+            ends = np.cumsum([0, *map(len, coded)])
+            flat = pa.array(np.concatenate(coded).astype(np.int32))
+            spelled = contents.take(flat)
+            places = np.frombuffer(spelled.buffers()[1], np.int64, len(flat) + 1)[ends].tolist()
+            data = spelled.buffers()[2].to_pybytes() if places[-1] else b""
+            decoded = [data[a:b].decode("utf-8", "replace") for a, b in zip(places[:-1], places[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat), pa.array(decoded, pa.string())],
+                names=["doc_id", "ids", "decoded"],
+            )
 
     return run
 

@@ -1,8 +1,12 @@
-"""A bounded memo for per-task work on words."""
+"""A bounded memo for per-task work on words, and batches of texts in stretches of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class TwoGenerations:
@@ -28,3 +32,26 @@ class TwoGenerations:
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
+
+
+def stretches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of about ``size`` bytes of ``text``, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        before = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        borders = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+            yield batch.slice(lo, hi - lo)
+
+
+def joined(parts: list[bytes], codes: np.ndarray, borders: np.ndarray) -> list[np.ndarray]:
+    """32-bit values of ``parts[codes]`` one after the other, cut where ``borders`` places of ``codes`` have passed."""
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    stream = flat[np.arange(n.sum()) - np.repeat(ends - n - starts[codes], n)]
+    cuts = np.append(0, ends)[borders - borders[0]].tolist()
+    return [stream[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

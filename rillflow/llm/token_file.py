@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.caching import TwoGenerations
+from rillflow.llm.caching import TwoGenerations, joined, stretches
 from rillflow.scratch import scratch_path, store
 
 MAGIC = b"PFOR0001"
@@ -44,7 +44,7 @@ BLOCK = 1024
 PERCENTILE = 95
 END_ID = 1
 #: Bytes of text whose chunks are looked up together (one row at least), runs that go to the library in one line, chunks kept.
-TOGETHER, LINE, KEPT = 4_000_000, 20_000, 500_000
+TOGETHER, LINE, KEPT = 8_000_000, 20_000, 500_000
 _RUN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ASCII_RUN = re.compile(r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
@@ -241,29 +241,12 @@ class LibraryEncoder:
         coded = split.flatten().dictionary_encode()
         different = coded.dictionary
         ids = self.memo(pc.if_else(pc.string_is_ascii(different), pc.ascii_lower(different), different).to_pylist())
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        chunk = coded.indices.to_numpy()
-        n = sizes[chunk]
-        ends = np.cumsum(n)
-        stream = flat[np.arange(n.sum()) - np.repeat(ends - n - starts[chunk], n)]
-        borders = split.offsets.to_numpy()
-        cuts = np.append(0, ends)[borders - borders[0]].tolist()
-        return [stream[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return joined(ids, coded.indices.to_numpy(), split.offsets.to_numpy())
 
     def __call__(self, text: str) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in stretches of about ``TOGETHER`` bytes of text."""
-    before = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
-    borders = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), batch.num_rows]
-    for lo, hi in zip(borders[:-1], borders[1:], strict=True):
-        yield batch.slice(lo, hi - lo)
-
-
 @lru_cache(maxsize=2)
 def _library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
@@ -276,7 +259,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _library(tokenizer)
         part, name, writer, out = TaskContext.get().partitionId(), "", None, None
-        for batch in (part for b in batches if b.num_rows for part in _parts(b)):
+        for batch in stretches(batches, TOGETHER):
             if writer is None:
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.pfor"
                 files, folder = file_system(path)
