@@ -44,7 +44,7 @@ BLOCK = 1024
 PERCENTILE = 95
 END_ID = 1
 #: Bytes of text whose chunks are looked up together (one row at least), runs that go to the library in one line, chunks kept.
-TOGETHER, LINE, KEPT = 8_000_000, 20_000, 500_000
+TOGETHER, LINE, KEPT = 4_000_000, 20_000, 400_000
 _RUN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ASCII_RUN = re.compile(r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
