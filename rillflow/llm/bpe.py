@@ -45,7 +45,7 @@ from rillflow.scratch import scratch_path, store
 
 LEXICON = 20_000
 #: Bytes of text that are coded together and counted together; chunks kept; steps of the histogram of counts for each doubling.
-TOGETHER, COUNTED, KEPT, STEPS = 3_000_000, 6_000_000, 250_000, 8
+TOGETHER, COUNTED, KEPT, STEPS = 3_000_000, 6_000_000, 400_000, 8
 _NEVER = np.int64(1 << 40)
 #: Unicode white space, as the library's pattern engine understands it.
 WS = "\t-\r \x85\xa0  -     　"
