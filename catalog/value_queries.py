@@ -260,13 +260,11 @@ DENSE = """, dense AS (SELECT r.reach_id, h AS hour_idx, TIMESTAMP '2024-01-01 0
 """
 
 
-def _dense(spark, sf_dir):
-    """Hourly inflow of every reach, missing hours at the default."""
-    begin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    hours = flow(spark, sf_dir).select("reach_id", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("hour_idx"))
-    grid = hours.withColumn("ts", begin + F.make_dt_interval(hours=F.col("hour_idx")))
-    joined = grid.join(table(spark, sf_dir, "inflow_hourly"), ["reach_id", "ts"], "left")
-    return joined.select("reach_id", "hour_idx", "ts", val.inflow_or_default(F.col("qr")).alias("qr"))
+def _hourly(spark, sf_dir):
+    """The hours that have inflow, numbered, and the gaps around them: every reach has 720 hours, missing ones at the default."""
+    gaps = resample.Gaps(flow(spark, sf_dir).select("reach_id"), datetime(2024, 1, 1), 720, val.MISSING_INFLOW)
+    given = table(spark, sf_dir, "inflow_hourly")
+    return given.withColumn("hour_idx", resample.hour_index(F.col("ts"), gaps.start)), gaps
 
 
 @query(
@@ -276,7 +274,8 @@ def _dense(spark, sf_dir):
     ),
 )
 def r_hourly_to_daily(spark, sf_dir):
-    daily = resample.hourly_to_daily(_dense(spark, sf_dir), "reach_id", "ts", "qr")
+    given, gaps = _hourly(spark, sf_dir)
+    daily = resample.hourly_to_daily(given, "reach_id", "ts", "qr", gaps=gaps)
     return daily.withColumn("qr", F.round("qr", 7))
 
 
@@ -302,7 +301,8 @@ def r_daily_to_hourly(spark, sf_dir):
     ),
 )
 def r_downsample(spark, sf_dir):
-    out = resample.area_downsample(_dense(spark, sf_dir), "reach_id", "hour_idx", "qr", 720, 7)
+    given, gaps = _hourly(spark, sf_dir)
+    out = resample.area_downsample(given, "reach_id", "hour_idx", "qr", 720, 7, gaps)
     return out.withColumn("qr", F.round("qr", 7))
 
 
@@ -316,7 +316,8 @@ def r_downsample(spark, sf_dir):
     ),
 )
 def r_runoff_tau(spark, sf_dir):
-    out = resample.daily_runoff(_dense(spark, sf_dir), "reach_id", "hour_idx", "qr", 720, 3)
+    given, gaps = _hourly(spark, sf_dir)
+    out = resample.daily_runoff(given, "reach_id", "hour_idx", "qr", 720, 3, gaps=gaps)
     return out.withColumn("qr", F.round("qr", 7))
 
 
@@ -331,8 +332,8 @@ def r_runoff_tau(spark, sf_dir):
 )
 def r_interp_linear(spark, sf_dir):
     """Three-hourly samples back to hourly values."""
-    three = _dense(spark, sf_dir).filter(F.col("hour_idx") % 3 == 0).select("reach_id", F.col("ts"), "qr")
-    out = resample.interpolate(three, "reach_id", "ts", "qr", 3)
+    given, gaps = _hourly(spark, sf_dir)
+    out = resample.interpolate(given, "reach_id", "ts", "qr", 3, gaps)
     return out.withColumn("qr", F.round("qr", 7))
 
 
@@ -467,5 +468,6 @@ def m_log_base(spark, sf_dir):
 )
 def r_runoff_training(spark, sf_dir):
     """The cut that training uses: it starts at hour 13 and ends 11 hours early, whatever the lag at the front."""
-    out = resample.daily_runoff(_dense(spark, sf_dir), "reach_id", "hour_idx", "qr", 720, 0, start_offset=13)
+    given, gaps = _hourly(spark, sf_dir)
+    out = resample.daily_runoff(given, "reach_id", "hour_idx", "qr", 720, 0, start_offset=13, gaps=gaps)
     return out.withColumn("qr", F.round("qr", 7))

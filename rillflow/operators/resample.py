@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,8 +92,52 @@ def check_coverage(df: DataFrame, ts: str, start: datetime, end: datetime, step:
         raise ValueError(f"period ends {end}, stored series ends {high + step}")
 
 
-def hourly_to_daily(df: DataFrame, key: str, ts: str, value: str, whole_days: bool = True) -> DataFrame:
-    """Daily means; with ``whole_days`` only of days that have all 24 hours."""
+@dataclass(frozen=True)
+class Gaps:
+    """Hourly series of which only some rows exist: ``n_hours`` from ``start`` on for every row of ``keys``.
+
+    A sample without a row, or without a value, counts ``default``; there is at most one row for a key
+    and an hour. Only existing rows and keys move: what they give is held in one row per key, so
+    the full grid is never shuffled.
+    """
+
+    keys: DataFrame
+    start: datetime
+    n_hours: int
+    default: float
+
+
+def _held(df: DataFrame, key: str, slot: str, held: Column, gaps: Gaps) -> DataFrame:
+    """``key``, ``_rows``, the number of rows it has in the keys, and ``_held``, a map of its slots (NULL if it has none)."""
+    maps = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(slot), held))).alias("_held"))
+    return gaps.keys.groupBy(key).agg(F.count("*").alias("_rows")).join(maps, key, "left")
+
+
+def _gap_means(df: DataFrame, key: str, slot: str, value: str, n_slots: int, width: Column, gaps: Gaps) -> DataFrame:
+    """``key``, ``_rows``, slot and the mean of each of ``n_slots`` slots, which have ``width`` samples."""
+    given = df.groupBy(key, slot).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    full = _held(given, key, slot, F.struct("s", "n"), gaps)
+    slots = full.select(key, "_rows", "_held", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slots - 1).cast("long"))).alias(slot))
+    at = F.element_at("_held", F.col(slot))
+    total = F.coalesce(at["s"], F.lit(0.0)) + (width - F.coalesce(at["n"], F.lit(0))) * F.lit(gaps.default)
+    return slots.select(key, "_rows", slot, (total / width).alias(value))
+
+
+def hourly_to_daily(
+    df: DataFrame, key: str, ts: str, value: str, whole_days: bool = True, gaps: Gaps | None = None
+) -> DataFrame:
+    """Daily means; with ``whole_days`` only of days that have all 24 hours.
+
+    With ``gaps``, which start at midnight and cover whole days, a day has all hours of each row of its key:
+    24 unless the key is repeated.
+    """
+    if gaps is not None:
+        hours = df.withColumn("_at", hour_index(F.col(ts), gaps.start)).filter(F.col("_at").between(0, gaps.n_hours - 1))
+        days = hours.select(key, F.floor(F.col("_at") / 24).alias("_day"), value)
+        daily = _gap_means(days, key, "_day", value, gaps.n_hours // 24, F.lit(24), gaps)
+        if whole_days:
+            daily = daily.filter(F.col("_rows") == 1)
+        return daily.select(key, F.date_add(F.lit(gaps.start.date()), F.col("_day").cast("int")).alias("d"), value)
     daily = df.groupBy(key, F.to_date(ts).alias("d")).agg(F.avg(value).alias(value), F.count("*").alias("_n"))
     if whole_days:
         daily = daily.filter(F.col("_n") == 24)
@@ -107,8 +152,10 @@ def daily_to_hourly(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
     )
 
 
-def area_downsample(df: DataFrame, key: str, index: str, value: str, length: int, bins: int) -> DataFrame:
-    """Adaptive mean of ``length`` samples in ``bins`` bins.
+def area_downsample(
+    df: DataFrame, key: str, index: str, value: str, length: int, bins: int, gaps: Gaps | None = None
+) -> DataFrame:
+    """Adaptive mean of ``length`` samples in ``bins`` bins; with ``gaps`` missing samples are filled in.
 
     Bin b averages samples floor(b*length/bins) .. ceil((b+1)*length/bins)-1; when the
     bins do not divide the length neighbouring bins share a sample, which is then emitted twice.
@@ -120,6 +167,11 @@ def area_downsample(df: DataFrame, key: str, index: str, value: str, length: int
     # the next bin starts at or before this sample when its own floor reaches back to it
     shared = F.floor((first + 1) * F.lit(length) / F.lit(bins)) <= i
     both = F.when(shared & (first + 1 < bins), F.array(first, first + 1)).otherwise(F.array(first))
+    if gaps is not None:
+        b = F.col("bin")
+        width = F.ceil((b + 1) * F.lit(length) / F.lit(bins)) - F.floor(b * F.lit(length) / F.lit(bins))
+        dealt = df.filter(i.between(0, length - 1)).select(key, F.explode(both).alias("bin"), value)
+        return _gap_means(dealt, key, "bin", value, bins, width, gaps).drop("_rows")
     return (
         df.select(key, F.explode(both).alias("bin"), value).groupBy(key, "bin").agg(F.avg(value).alias(value))
     )
@@ -134,23 +186,43 @@ def trimmed_slice(n_hours: int, tau: int, start_offset: int | None = None) -> tu
 
 
 def daily_runoff(
-    df: DataFrame, key: str, index: str, value: str, n_hours: int, tau: int, start_offset: int | None = None
+    df: DataFrame,
+    key: str,
+    index: str,
+    value: str,
+    n_hours: int,
+    tau: int,
+    start_offset: int | None = None,
+    gaps: Gaps | None = None,
 ) -> DataFrame:
-    """Daily means of the trimmed hourly series: ``key, day, value``."""
+    """Daily means of the trimmed hourly series: ``key, day, value``; with ``gaps`` missing hours are filled in."""
     low, high = trimmed_slice(n_hours, tau, start_offset)
     days = (high - low) // 24
     if days == 0:
         return df.select(key, F.lit(0).cast("long").alias("day"), F.col(value).cast("double")).limit(0)
     kept = df.filter((F.col(index) >= low) & (F.col(index) < high)).withColumn(index, F.col(index) - F.lit(low))
-    return area_downsample(kept, key, index, value, high - low, days).withColumnRenamed("bin", "day")
+    return area_downsample(kept, key, index, value, high - low, days, gaps).withColumnRenamed("bin", "day")
 
 
-def interpolate(df: DataFrame, key: str, ts: str, value: str, step_hours: int) -> DataFrame:
+def interpolate(df: DataFrame, key: str, ts: str, value: str, step_hours: int, gaps: Gaps | None = None) -> DataFrame:
     """Linear values at every hour between samples ``step_hours`` apart, whatever hour they start at.
 
     Each sample also travels to the slot before it, so that both ends meet by an
-    aggregation and no series is ordered in a single task.
+    aggregation and no series is ordered in a single task. With ``gaps`` the samples are those of
+    every ``step_hours``-th hour from its start on, missing ones filled in, and both ends are looked up.
     """
+    h = F.col("h").cast("double") / F.lit(float(step_hours))
+    hours = F.explode(F.sequence(F.lit(0), F.lit(step_hours - 1))).alias("h")
+    out = (F.col("t") + F.make_dt_interval(hours=F.col("h"))).alias("ts"), ((F.lit(1.0) - h) * F.col("a") + h * F.col("b")).alias(value)
+    if gaps is not None:
+        at = hour_index(F.col(ts), gaps.start)
+        samples = df.filter(at.between(0, gaps.n_hours - 1) & (at % step_hours == 0)).select(key, (at / step_hours).cast("int").alias("slot"), value)
+        slots = F.explode(F.sequence(F.lit(0), F.lit((gaps.n_hours - 1) // step_hours - 1))).alias("slot")
+        full = _held(samples, key, "slot", F.col(value), gaps).select(key, "_held", slots)
+        a, b = (F.coalesce(F.element_at("_held", F.col("slot") + i), F.lit(gaps.default)) for i in (0, 1))
+        begin = F.lit(gaps.start.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+        t = begin + F.make_dt_interval(hours=F.col("slot") * step_hours)
+        return full.select(key, t.alias("t"), a.alias("a"), b.alias("b"), hours).select(key, *out)
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     slot = F.floor(F.timestamp_diff("SECOND", start, F.col(ts).cast("timestamp_ntz")) / F.lit(step_hours * 3600))
     ends = df.select(
@@ -166,16 +238,7 @@ def interpolate(df: DataFrame, key: str, ts: str, value: str, step_hours: int) -
         F.max(F.when(F.col("_e.side") == 0, F.col("_t"))).alias("t"),
         F.max(F.when(F.col("_e.side") == 1, F.col("_v"))).alias("b"),
     )
-    h = F.col("h").cast("double") / F.lit(float(step_hours))
-    return (
-        pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .select(key, "t", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(step_hours - 1))).alias("h"))
-        .select(
-            key,
-            (F.col("t") + F.make_dt_interval(hours=F.col("h"))).alias("ts"),
-            ((F.lit(1.0) - h) * F.col("a") + h * F.col("b")).alias(value),
-        )
-    )
+    return pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select(key, "t", "a", "b", hours).select(key, *out)
 
 
 def substeps(df: DataFrame, current: str, previous: str, n: int, linear: bool) -> DataFrame:

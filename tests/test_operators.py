@@ -154,6 +154,45 @@ def test_interpolation_keeps_the_phase_of_the_samples(spark):
     assert got == {datetime(2024, 1, 1, 1 + i): pytest.approx(v) for i, v in enumerate(want)}
 
 
+def _with_gaps(spark):
+    """Three reaches (one without rows, one listed twice) over four days, as given rows with gaps and as the full grid."""
+    start, n = datetime(2024, 1, 1), 96
+    given = [(1, h, float(h * h % 17)) for h in (0, 1, 30, 31, 57, 95)] + [(1, 5, None), (1, -1, 9.0), (1, 96, 9.0)] + [(3, h, h / 7) for h in range(3, 90)]
+    rows = [(k, start + timedelta(hours=h), h, v) for k, h, v in [*given, (7, 4, 1.0), (None, 4, 1.0)]]
+    schema = "k long, ts timestamp_ntz, i long, v double"
+    keys = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "k long")
+    known = {(k, h): v for k, h, v in given if v is not None}
+    grid = [(k, start + timedelta(hours=h), h, known.get((k, h), 0.5)) for k in (1, 2, 3, 3, None) for h in range(n)]
+    return spark.createDataFrame(rows, schema), spark.createDataFrame(grid, schema), resample.Gaps(keys, start, n, 0.5)
+
+
+def test_gaps_equal_the_full_grid(spark):
+    given, grid, gaps = _with_gaps(spark)
+    pairs = [
+        (resample.hourly_to_daily(df, "k", "ts", "v", **g), resample.hourly_to_daily(df, "k", "ts", "v", False, **g),
+         resample.area_downsample(df, "k", "i", "v", 96, 7, **g), resample.daily_runoff(df, "k", "i", "v", 96, 3, **g),
+         resample.daily_runoff(df, "k", "i", "v", 96, 0, 13, **g), resample.daily_runoff(df, "k", "i", "v", 30, 3, **g),
+         resample.interpolate(df if g else df.filter("i % 3 = 0"), "k", "ts", "v", 3, **g))
+        for df, g in ((given, {"gaps": gaps}), (grid, {}))
+    ]
+    for a, b in zip(*pairs, strict=True):
+        assert a.dtypes == b.dtypes
+        a, b = ({(r[0], r[1]): r[2] for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in b)
+
+
+def test_gaps_shuffle_no_grid(spark):
+    """No exchange, sort or aggregate stands above the rows that are made for the missing hours."""
+    given, _, gaps = _with_gaps(spark)
+    for out in (
+        resample.hourly_to_daily(given, "k", "ts", "v", gaps=gaps), resample.area_downsample(given, "k", "i", "v", 96, 7, gaps),
+        resample.daily_runoff(given, "k", "i", "v", 96, 3, gaps=gaps), resample.interpolate(given, "k", "ts", "v", 3, gaps),
+    ):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("Generate")]
+        assert not any(step in above for step in ("Exchange", "Sort", "Aggregate", "Join"))
+
+
 def test_coverage_errors(spark):
     df = spark.createDataFrame([(datetime(2020, 1, 1),), (datetime(2020, 2, 1),)], "ts timestamp_ntz")
     resample.check_coverage(df, "ts", datetime(2020, 1, 1), datetime(2020, 1, 31))
