@@ -18,7 +18,7 @@ def join_attributes(reaches: DataFrame, attributes: DataFrame, names: list[str])
 
 
 def require_match(reaches: DataFrame, attributes: DataFrame) -> None:
-    if reaches.join(attributes.select("reach_id"), "reach_id", "left_semi").isEmpty():
+    if reaches.join(by_key(attributes.select("reach_id")), "reach_id", "left_semi").isEmpty():
         raise ValueError("no reach has catchment attributes")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.values import flow_scale, null_if_nan
+from rillflow.scratch import by_key
 
 
 def _require(df: DataFrame, column: str) -> None:
@@ -71,7 +72,7 @@ def segment_flow_scale(batch: DataFrame, gauges: DataFrame) -> DataFrame:
         factor = F.lit(1.0)
     scaled = gauges.select("staid", factor.alias("_f"))
     return (
-        batch.join(scaled, "staid", "left")
+        batch.join(by_key(scaled), "staid", "left")
         .groupBy("reach_id")
         .agg(F.max_by(F.coalesce("_f", F.lit(1.0)), "pos").alias("flow_scale"))
     )

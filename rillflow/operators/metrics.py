@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.values import null_if_nan
 from rillflow.operators.ranking import quantiles, row_numbers
+from rillflow.scratch import by_key
 
 MOMENT_SCORES = ("bias", "mae", "rmse", "ub_rmse", "corr", "nse", "r2", "pbias", "kge", "kge_12")
 SPLIT_SCORES = ("flv", "fhv", "pbias_mid", "rmse_low", "rmse_high", "rmse_mid")
@@ -126,7 +127,7 @@ def split_scores(df: DataFrame, gauge: str = "gauge", order: str = "step", ranks
     sides = [
         ranks[c].select("_g", "_pos", F.col("_pos_total").alias("_n"), F.col("_v").alias(c)) for c in ("p", "t")
     ]
-    ranked = sides[0].join(sides[1].drop("_n"), ["_g", "_pos"])
+    ranked = sides[0].join(by_key(sides[1].drop("_n")), ["_g", "_pos"])
     low_end = F.bround(F.col("_n") * F.lit(0.3))
     high_start = F.bround(F.col("_n") * F.lit(0.98))
     idx = F.col("_pos") - 1
@@ -150,7 +151,7 @@ def duration_points(df: DataFrame, gauge: str, value: str, order: str, points: i
     wanted = sizes.select("_g", "_n", i).withColumn(
         "_pos", F.floor(F.col("i") / F.lit(float(points)) * F.col("_n")) + 1
     )
-    picked = wanted.join(ranked.select("_g", "_pos", "_v"), ["_g", "_pos"], "left")
+    picked = wanted.join(by_key(ranked.select("_g", "_pos", "_v")), ["_g", "_pos"], "left")
     # a series without any value counts as zero flow
     return picked.select(
         F.col("_g").alias(gauge), "i", F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("_v")).alias(value)
@@ -161,7 +162,7 @@ def duration_score(df: DataFrame, gauge: str = "gauge", order: str = "step") ->
     p = duration_points(df, gauge, "pred", order)
     t = duration_points(df, gauge, "target", order)
     d = F.col("pred") - F.col("target")
-    return p.join(t, [gauge, "i"]).groupBy(gauge).agg(F.sqrt(F.avg(d * d)).alias("fdc_rmse"))
+    return p.join(by_key(t), [gauge, "i"]).groupBy(gauge).agg(F.sqrt(F.avg(d * d)).alias("fdc_rmse"))
 
 
 def rank_correlation(df: DataFrame, gauge: str = "gauge", order: str = "step", ranks: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -170,8 +171,8 @@ def rank_correlation(df: DataFrame, gauge: str = "gauge", order: str = "step", r
     sides = []
     for c in ("p", "t"):
         ties = ranks[c].groupBy("_g", "_v").agg(F.avg("_pos").alias(f"_r{c}"))
-        sides.append(ranks[c].join(ties, ["_g", "_v"]).select("_g", "_o", f"_r{c}"))
-    return sides[0].join(sides[1], ["_g", "_o"]).groupBy(F.col("_g").alias(gauge)).agg(
+        sides.append(ranks[c].join(by_key(ties), ["_g", "_v"]).select("_g", "_o", f"_r{c}"))
+    return sides[0].join(by_key(sides[1]), ["_g", "_o"]).groupBy(F.col("_g").alias(gauge)).agg(
         F.when(F.count("*") > 1, correlation(F.col("_rp"), F.col("_rt"))).alias("corr_spearman")
     )
 
@@ -185,7 +186,7 @@ def all_scores(df: DataFrame, gauge: str = "gauge", order: str = "step") -> Data
         duration_score(checked, gauge, order),
         rank_correlation(checked, gauge, order, ranks),
     ]
-    joined = reduce(lambda left, right: left.join(right, gauge, "left"), parts, moment_scores(checked, gauge))
+    joined = reduce(lambda left, right: left.join(by_key(right), gauge, "left"), parts, moment_scores(checked, gauge))
     return joined.select(gauge, "n", *ALL_SCORES)
 
 

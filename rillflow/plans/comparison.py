@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from rillflow.functions.values import null_if_nan
 from rillflow.operators.metrics import check_predictions, mass_balance, moment_scores
 from rillflow.operators.ranking import quantiles
+from rillflow.scratch import by_key, store
 
 
 def without_headwaters(series: DataFrame, gauge_pairs: DataFrame) -> DataFrame:
     """Blank the predictions of gauges that have no upstream reach; their rows stay."""
     headed = gauge_pairs.select("staid", F.lit(True).alias("_ok")).distinct()
-    return series.join(headed, "staid", "left").select("staid", "d", F.when(F.col("_ok"), F.col("pred")).alias("pred"))
+    return series.join(by_key(headed), "staid", "left").select("staid", "d", F.when(F.col("_ok"), F.col("pred")).alias("pred"))
 
 
 def stacked(models: dict[str, DataFrame]) -> DataFrame:
@@ -26,15 +27,16 @@ def stacked(models: dict[str, DataFrame]) -> DataFrame:
 
 def common(models: dict[str, DataFrame]) -> DataFrame:
     """Rows of gauges and days for which every model has a value; the shortest series decides."""
-    rows = stacked(models).filter("pred IS NOT NULL")
+    # read twice below, and a routed series is long to derive
+    rows = store(stacked(models).filter("pred IS NOT NULL"), "models")
     shared = rows.groupBy("staid", "d").agg(F.count_distinct("model").alias("_n")).filter(F.col("_n") == len(models))
-    return rows.join(shared.select("staid", "d"), ["staid", "d"], "left_semi")
+    return rows.join(by_key(shared.select("staid", "d")), ["staid", "d"], "left_semi")
 
 
 def compare(models: dict[str, DataFrame], obs: DataFrame) -> DataFrame:
     """Moment scores per model and gauge over the common rows."""
     target = obs.select("staid", "d", null_if_nan(F.col("streamflow")).alias("target"))
-    both = check_predictions(common(models)).join(target, ["staid", "d"], "left")
+    both = check_predictions(common(models)).join(by_key(target), ["staid", "d"], "left")
     keyed = both.withColumn("_key", F.struct("model", "staid"))
     return moment_scores(keyed, "_key").select("_key.model", "_key.staid", *[F.col(c) for c in ("n", "bias", "mae", "rmse", "nse", "kge", "corr", "pbias")])
 

@@ -26,12 +26,12 @@ from rillflow.operators.resample import trimmed_slice
 from rillflow.operators.routing import (
     BOUNDARY,
     INFLOW,
-    STATIC,
     pack_inflow,
     read_boundary,
     read_bundle,
     read_inflow,
     runs,
+    static_rows,
 )
 from rillflow.plans.problem import RoutingProblem, channel_parameters, gauge_daily, predict_parameters
 from rillflow.scratch import by_key, scratch_path, store
@@ -137,8 +137,8 @@ class Trainer:
         first = (problem.start + timedelta(days=1 + self.warmup)).date()
         good = complete_gauges(self._window(problem, obs))
         pairs = (
-            daily.join(good, "staid", "left_semi")
-            .join(obs.select("staid", "d", F.col("streamflow").alias("obs")), ["staid", "d"])
+            daily.join(by_key(good), "staid", "left_semi")
+            .join(by_key(obs.select("staid", "d", F.col("streamflow").alias("obs"))), ["staid", "d"])
             .filter(F.col("d") >= F.lit(first))
         )
         row = pairs.agg(F.avg(F.abs(F.col("pred") - F.col("obs"))).alias("loss"), F.count("*").alias("n")).head()
@@ -153,7 +153,7 @@ class Trainer:
         sign = F.signum(F.col("pred") - F.col("obs")) / F.lit(float(row.n))
         by_reach = (
             pairs.select("staid", (opens + low).cast("long").alias("_o"), width.cast("double").alias("_w"), sign.alias("_g"))
-            .join(problem.outflow, "staid")
+            .join(by_key(problem.outflow), "staid")
             .groupBy("reach_id", "_o", "_w")
             .agg(F.sum("_g").alias("_g"))
             .groupBy("reach_id")
@@ -171,20 +171,13 @@ class Trainer:
         first = F.lit(problem.start.date())
         each = problem.gauges.select("staid", F.explode(F.sequence(F.lit(1), F.lit(max(1, days - 1)))).alias("_i"))
         grid = each.select("staid", F.date_add(first, F.col("_i")).alias("d"))
-        return grid.join(obs.select("staid", "d", "streamflow"), ["staid", "d"], "left")
+        return grid.join(by_key(obs.select("staid", "d", "streamflow")), ["staid", "d"], "left")
 
     def _forward(self, problem, params, inflow, tasks):
         placed = problem.plan
-        from rillflow.operators.routing import NUMBERS
-
-        none = F.lit(-1).cast("long")
         empty = F.lit(None).cast("array<double>")
         rows = placed.join(by_key(params), "reach_id", "left").withColumn("start", F.lit(None).cast("double"))
-        ints = [F.coalesce(F.col(c).cast("long"), none) for c in ("inner_down", "out_down", "to_stage", "level", "piece_id")]
-        static = rows.select(
-            "stage", "bundle", F.lit(-1).alias("chunk"), F.lit(STATIC).alias("kind"), "reach_id",
-            F.array(*ints).alias("ints"), F.array(*[F.col(c).cast("double") for c in NUMBERS]).alias("a"), empty.alias("b"),
-        )
+        static = static_rows(rows, problem.outflow)
         packed = pack_inflow(inflow, problem.start, problem.scheme).join(by_key(placed.select("reach_id", "stage", "bundle")), "reach_id")
         lateral = packed.select(
             "stage", "bundle", "chunk", F.lit(INFLOW).alias("kind"), "reach_id", "ints", "a", empty.alias("b")
