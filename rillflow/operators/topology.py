@@ -106,6 +106,23 @@ def topology(flow: DataFrame) -> DataFrame:
     return state.select("reach_id", "down_id", F.col("tip").alias("outlet"), "hops", "size", "level", "jumps")
 
 
+def topology_without_cycles(flow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The flow table without its cycles (see ``drop_cycles``) and its topology.
+
+    The rounds that look for cycles have found the topology as well if there are none.
+    """
+    state, _, ended = _double(flow)
+    if ended:
+        topo = state.select("reach_id", "down_id", F.col("tip").alias("outlet"), "hops", "size", "level", "jumps")
+        return topo.select("reach_id", "down_id"), topo
+    kept = store(_without(flow, _members(state)), "flow")
+    return kept, topology(kept)
+
+
+def _members(state: DataFrame) -> DataFrame:
+    return state.filter(F.col("jump").isNotNull()).select(F.col("jump").alias("reach_id")).distinct()
+
+
 def cycle_members(flow: DataFrame) -> DataFrame:
     """Reaches that lie on a cycle.
 
@@ -115,7 +132,7 @@ def cycle_members(flow: DataFrame) -> DataFrame:
     state, _, ended = _double(flow)
     if ended:
         return state.select("reach_id").limit(0)
-    return state.filter(F.col("jump").isNotNull()).select(F.col("jump").alias("reach_id")).distinct()
+    return _members(state)
 
 
 def join_link(df: DataFrame, link: str, own: str, other: DataFrame) -> DataFrame:
@@ -130,7 +147,10 @@ def join_link(df: DataFrame, link: str, own: str, other: DataFrame) -> DataFrame
 
 def drop_cycles(flow: DataFrame) -> DataFrame:
     """Remove reaches on cycles together with every link that touches them."""
-    gone = cycle_members(flow)
+    return _without(flow, cycle_members(flow))
+
+
+def _without(flow: DataFrame, gone: DataFrame) -> DataFrame:
     kept = flow.join(by_key(gone), "reach_id", "left_anti")
     marked = join_link(kept, "down_id", "reach_id", gone.select(F.col("reach_id").alias("down_id"), F.lit(True).alias("_gone")))
     return marked.select("reach_id", F.when(F.col("_gone").isNull(), F.col("down_id")).alias("down_id"))

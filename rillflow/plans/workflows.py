@@ -15,10 +15,10 @@ from rillflow.operators import baseline, cleaning, gauges, kan, network, resampl
 from rillflow.operators.kernel import Scheme
 from rillflow.operators.metrics import all_scores, summarize
 from rillflow.operators.pieces import numbered_pieces
-from rillflow.operators.topology import check_dendritic, drop_cycles, join_link, topology
+from rillflow.operators.topology import check_dendritic, join_link, topology, topology_without_cycles
 from rillflow.plans import problem as prob
 from rillflow.plans.accumulation import daily_discharge
-from rillflow.scratch import store
+from rillflow.scratch import by_key, store
 from rillflow.sources import readers, sinks
 
 
@@ -70,8 +70,7 @@ def build_network(reaches: DataFrame, path: str, dataset: str, gauge_table: Data
     flow = store(network.flow_from_reaches(reaches), "flow")
     if not check_dendritic(flow).isEmpty():
         raise ValueError("a reach has more than one downstream reach")
-    flow = store(drop_cycles(flow), "flow")
-    topo = topology(flow)
+    flow, topo = topology_without_cycles(flow)
     order = store(network.ordered(flow, topo), "order")
     pairs = store(network.adjacency(order), "pairs")
     sinks.write_network(order, pairs, path, dataset)
@@ -97,15 +96,17 @@ def build_string_network(
     flow = store(network.string_flow(ids, table), "flow")
     if not check_dendritic(flow).isEmpty():
         raise ValueError("a flowpath has more than one downstream flowpath")
-    flow = store(drop_cycles(flow), "flow")
-    topo = topology(flow)
+    flow, topo = topology_without_cycles(flow)
     number = ids.select("reach_id", "id", number_of(F.col("id")).cast("long").alias("number"))
     if not number.groupBy("number").agg(F.count("*").alias("n")).filter("n > 1 or number is null").isEmpty():
         raise ValueError("the numbers of the flowpath ids are not distinct")
     dense = store(network.ordered(flow, topo), "order")
     named = number.select(F.col("reach_id").alias("down_id"), F.col("number").alias("down_number"))
-    order = join_link(dense.join(number, "reach_id"), "down_id", "reach_id", named)
-    order = store(order.select("id", F.col("number").alias("reach_id"), F.col("down_number").alias("down_id"), "level", "topo_idx"), "named-order")
+    known = number.join(by_key(topo.select("reach_id", "size")), "reach_id")
+    order = join_link(dense.join(by_key(known), "reach_id"), "down_id", "reach_id", named)
+    columns = "id", F.col("number").alias("reach_id"), F.col("down_number").alias("down_id"), "level", "topo_idx", "size"
+    sized = store(order.select(*columns), "named-order")
+    order = sized.drop("size")
     pairs = store(network.adjacency(order), "pairs")
     sinks.write_network(order, pairs, path, dataset)
     if attributes is not None:
@@ -115,7 +116,8 @@ def build_string_network(
     lost = network.gauges_without_origin(gauge_table, table).select("staid")
     placed = network.gauge_origin(gauge_table.join(lost, "staid", "left_anti"), table, flowpaths)
     found = placed.join(order.select("id", "reach_id"), "id").select("staid", "reach_id")
-    pieces = numbered_pieces(topology(order.select("reach_id", "down_id"))).order
+    # the same forest under other names, so levels and sizes hold
+    pieces = numbered_pieces(sized.select("reach_id", "down_id", "level", "size")).order
     sinks.write_labelled_pairs(pairs, pieces, path)
     return sinks.write_gauge_subsets(found, pieces, order, path)
 
@@ -165,7 +167,7 @@ def summed(spark: SparkSession, config: Config) -> DataFrame:
     return summarize(scores)
 
 
-def _routed(spark: SparkSession, config: Config, source: TableSource, batch: DataFrame | None):
+def _routed(spark: SparkSession, config: Config, source: TableSource, batch: DataFrame | None, at_gauges: bool = False):
     targets = None
     if config.data_sources.target_catchments:
         # ids may come as "cat-12" or bare numbers
@@ -179,7 +181,7 @@ def _routed(spark: SparkSession, config: Config, source: TableSource, batch: Dat
     shape, weights = _model(spark, config)
     unit = prob.predict_parameters(problem, source.attributes(), source.statistics(), shape, weights)
     params = prob.channel_parameters(problem, unit)
-    return problem, prob.run(problem, params, source.inflow(*_period(config)))
+    return problem, prob.run(problem, params, source.inflow(*_period(config)), keep=problem.outflow if at_gauges else None)
 
 
 def route(spark: SparkSession, config: Config) -> DataFrame:
@@ -195,7 +197,7 @@ def route(spark: SparkSession, config: Config) -> DataFrame:
 def test(spark: SparkSession, config: Config) -> DataFrame:
     """Route the gauges' basins and score daily means; writes series and report."""
     source = TableSource(spark, config)
-    problem, routed = _routed(spark, config, source, source.gauges())
+    problem, routed = _routed(spark, config, source, source.gauges(), at_gauges=True)
     both, scores = prob.evaluate(problem, routed, source.observations(), config.experiment.warmup, config.params.tau)
     sinks.write_results(both, f"{config.params.save_path}/model_test", version=__version__)
     scores = store(scores, "scores")

@@ -87,7 +87,7 @@ def flowpath_attributes(order: DataFrame, flowpaths: DataFrame, attributes: Data
     """
     values = attributes.groupBy("id").agg(*[F.max(F.col(c).cast("float")).alias(n) for c, n in FLOWPATH_ATTRIBUTES.items()])
     targets = flowpaths.groupBy("id").agg(F.max("toid").alias("toid"))
-    out = order.select("id", "topo_idx").join(values, "id", "left").join(targets, "id", "left")
+    out = order.select("id", "topo_idx").join(by_key(values), "id", "left").join(by_key(targets), "id", "left")
     return out.withColumn("toid", F.coalesce("toid", F.lit("")))
 
 
