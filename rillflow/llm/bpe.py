@@ -9,8 +9,8 @@ pre-tokens of a batch at once: words walk the automaton side by side, and a roun
 takes every word's lowest-ranked pair.
 
 Texts are cut before single spaces between other characters, where no pre-token can cross,
-and the ids of such chunks are kept in a bounded memo per worker, so the lexicon answers for
-chunks that a worker has not met lately.
+and the ids of such chunks are kept in a memo per worker, bounded in bytes and held in Arrow arrays,
+so the lexicon answers for chunks that a worker has not met lately.
 
 Added tokens inside a text get their own id, as in the tokenizers library. NULL counts as
 empty: no ids, empty text back. Texts of any length are coded whole. Rows that repeat id or
@@ -40,12 +40,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.caching import TwoGenerations, joined, stretches
+from rillflow.llm.caching import Spellings, giving_back, stretches, strung
 from rillflow.scratch import scratch_path, store
 
 LEXICON = 20_000
-#: Bytes of text that are coded together and counted together; chunks kept; steps of the histogram of counts for each doubling.
-TOGETHER, COUNTED, KEPT, STEPS = 3_000_000, 6_000_000, 400_000, 8
+#: Bytes of text that are coded together and counted together; bytes of chunks kept; steps of the histogram of counts for each doubling.
+TOGETHER, COUNTED, KEPT, STEPS = 2_000_000, 3_000_000, 24_000_000, 8
 _NEVER = np.int64(1 << 40)
 #: Unicode white space, as the library's pattern engine understands it.
 WS = "\t-\r \x85\xa0  -     　"
@@ -280,38 +280,48 @@ class Lexicon:
 class Encoder:
     def __init__(self, bpe: ByteBpe, lexicon: Lexicon | None) -> None:
         self.bpe, self.lexicon = bpe, lexicon
-        self.memo = TwoGenerations(self.encode_chunks, KEPT)
+        self.memo = Spellings(self.encode_chunks, KEPT)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         added = self.bpe.added
         split = [[c] if c in added else pre_tokens(c) for c in chunks]
-        young, old = self.memo.young, self.memo.old  # a pre-token alone is a chunk, so the memo serves both
-        needed = {w for part in split for w in part}
-        coded = {w: ids for w in needed if (ids := young.get(w) or old.get(w))}
-        coded |= {t: struct.pack("<I", added[t]) for t in needed.intersection(added)}
-        words = list(needed.difference(coded))
+        # a pre-token alone is a chunk, so the memo serves both; of these chunks it holds none
+        coded = dict.fromkeys(w for part in split for w in part)
+        inner = list(coded.keys() - set(chunks))
+        at = self.memo.find(pa.array(inner, pa.string()))
+        for k in np.flatnonzero(at >= 0).tolist():
+            start = self.memo.starts[at[k]]
+            coded[inner[k]] = self.memo.flat[start : start + self.memo.sizes[at[k]]].tobytes()
+        coded |= {t: struct.pack("<I", added[t]) for t in added if t in coded}
+        words = [w for w, ids in coded.items() if ids is None]
         raw = [w.encode() for w in words]
         found = self.lexicon.find_all(raw) if self.lexicon else [None] * len(raw)
         coded.update(zip(words, found, strict=True))
         unseen = [k for k, ids in enumerate(found) if ids is None]
         for k, ids in zip(unseen, self.bpe.merge_all([raw[k] for k in unseen]), strict=True):
             coded[words[k]] = ids
-        young.update(coded)
+        met = [inner[k] for k in np.flatnonzero(at < 0).tolist()]
+        self.memo.add(pa.array(met, pa.string()), [coded[w] for w in met])
         return [coded[part[0]] if len(part) == 1 else b"".join([coded[w] for w in part]) for part in split]
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of whole texts. Of texts cut at every space only the different chunks are Python strings."""
         plain = even(texts, self.bpe.added)
         lists = cut_at_spaces(pc.if_else(plain, texts, ""))
-        chunks = lists.flatten().dictionary_encode()
-        out = joined(self.memo(chunks.dictionary.to_pylist()), chunks.indices.to_numpy(), lists.offsets.to_numpy())
-        for k in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
-            parts: list[str] = []
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist()
+        parts: list[str] = []
+        first, borders = len(lists.flatten()), []
+        for k in odd:
             for part in self.bpe.split_added.split(texts[k].as_py()) if self.bpe.split_added else [texts[k].as_py()]:
                 # an added token is a chunk of its own, and no other chunk has its spelling
                 parts += [part] if part in self.bpe.added else chunks_of(part) if part else []
-            out[k] = np.frombuffer(b"".join(self.memo(parts)), "<u4")
-        return out
+            borders.append(first + len(parts))
+        chunks = pa.concat_arrays([lists.flatten().cast(pa.string()), pa.array(parts, pa.string())]).dictionary_encode()
+        offsets = lists.offsets.to_numpy()
+        out = strung(*self.memo(chunks.dictionary), chunks.indices.to_numpy(), np.append(offsets - offsets[0], borders).astype(np.int64))
+        for k, ids in zip(odd, out[len(texts) :], strict=True):
+            out[k] = ids
+        return out[: len(texts)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
@@ -347,7 +357,7 @@ def _counted(path: str):
                         words.update(pre_tokens(chunk))
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
-    return run
+    return giving_back(run)
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
@@ -399,7 +409,7 @@ def _coded(path: str, lexicon: str):
                 names=["doc_id", "ids", "decoded"],
             )
 
-    return run
+    return giving_back(run)
 
 
 def encode_and_decode(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rillflow.llm.caching import giving_back
 from rillflow.scratch import store
 
 TABLE_BYTES = 48 << 20
@@ -139,7 +140,7 @@ def _precombine(schema: pa.Schema, limit: int):
             seen += n
         yield from flush()
 
-    return run
+    return giving_back(run)
 
 
 _DECIDED = pa.schema(
@@ -147,6 +148,7 @@ _DECIDED = pa.schema(
 )
 
 
+@giving_back
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches arrive sorted by bucket; one table lives at a time."""
     bucket, entries = None, ContentTable()

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.caching import giving_back
 from rillflow.scratch import store
 
 SHINGLE = 5
@@ -115,6 +116,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+@giving_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
@@ -148,6 +150,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+@giving_back
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
@@ -186,6 +189,7 @@ def join_similar(sets: list[np.ndarray], minima: np.ndarray, labels: np.ndarray,
     return labels
 
 
+@giving_back
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile (centre, outer, chunk). Gives every node whose component changed with its new one.
 

@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +56,30 @@ def test_encoding_equals_the_library(byte_library, lexicon, text):
     assert own.decode(ids) == byte_library.decode(ids, skip_special_tokens=False)
 
 
+def test_kept_chunks_take_few_bytes_each(lexicon):
+    encoder = bpe.Encoder(*lexicon[1:])
+    encoder.encode(" warm")
+    texts = pa.array([" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(17_000))])
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        encoder.encode_all(texts)
+        grown = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert grown < 80 * 17_000  # 180 as Python strings in a dict
+
+
+def test_kept_chunks_are_bounded_in_bytes(byte_library, lexicon, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 3_000)
+    encoder = bpe.Encoder(*lexicon[1:])
+    for k in range(6):
+        texts = [f" the a{k}b, x{j}  there <|endoftext|> {'long' * (50 * j)} nation" for j in range(6)] + ["", "the the"]
+        found = [x.tolist() for x in encoder.encode_all(pa.array(texts))]
+        assert found == [byte_library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.memo.texts) and encoder.memo.held <= 3_000
+
+
 def test_round_trip_of_a_table(spark, byte_library):
     import hashlib
 
