@@ -2,7 +2,8 @@
 
 1. *Blocks.* Rows are packed in blocks of ``CANDIDATES`` rows, anchors (sorted by label and by the side of
    a few random planes they lie on, so that neighbours meet) in blocks of ``ANCHORS``. Every pair of blocks is
-   one tile: the stated anchors are set against all rows, block by block, and no block grows with the data.
+   one tile: the stated anchors are set against all rows, block by block, and no block grows with the data. Tiles
+   come from a product of the stored partitions, without a shuffle or a broadcast of blocks.
 2. *Tree.* In a tile the anchors of a block are walked along their minimum spanning tree. The score of a
    candidate at an anchor differs from its score at the parent by at most the length of the edge times the
    norm of the candidate. A candidate not rescored at the parent hands on the interval it has there. Only
@@ -225,11 +226,15 @@ def _side(v: Column, width: int, plane: int) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) >= 0
 
 
-def _against(blocks: DataFrame, candidates: DataFrame, slots: int) -> DataFrame:
-    """Every block of anchors with every block of candidates; a slot holds one partition of candidates."""
-    spread = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)).cast("array<long>")))
-    c = candidates.select(F.col("part").alias("slot"), F.col("size").alias("c_size"), F.col("packed").alias("c"))
-    return spread.select("slot", "width", F.col("size").alias("a_size"), F.col("packed").alias("a")).join(c, "slot").select("width", "a_size", "a", "c_size", "c")
+def _against(blocks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every block of anchors with every block of candidates, as a product of the stored partitions.
+
+    Spark reads the tables once more for each pair of partitions; no block is copied for a shuffle or sent to the
+    driver, as a join on a slot would do once its small estimate let Spark broadcast the anchors of all slots.
+    """
+    a = blocks.select("width", F.col("size").alias("a_size"), F.col("packed").alias("a"))
+    c = candidates.select(F.col("size").alias("c_size"), F.col("packed").alias("c"))
+    return c.hint("shuffle_replicate_nl").crossJoin(a).select("width", "a_size", "a", "c_size", "c")
 
 
 def mine(vectors: DataFrame, is_anchor: Column, label: Column, n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95,
@@ -255,7 +260,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, n_positives: int
     own = taken.filter("is_anchor").drop("is_anchor").withColumn("side", sides)
     own = store(numbered(own.repartitionByRange(parts, "label", "side", "row").sortWithinPartitions("label", "side", "row")), "anchors")
     blocks = store(own.mapInArrow(_pack(width, anchors, []), BLOCK), "anchor-blocks")
-    found = _against(blocks, rows, slots).mapInArrow(_tiles(positives_of(n_positives), 0, ["anchor", "row", "id", "score"]), "anchor long, row long, id long, score long")
+    found = _against(blocks, rows).mapInArrow(_tiles(positives_of(n_positives), 0, ["anchor", "row", "id", "score"]), "anchor long, row long, id long, score long")
     ranks = Window.partitionBy("anchor").orderBy(F.col("score").desc(), "id", "row")
     positives = found.withColumn("nth", F.row_number().over(ranks)).filter(F.col("nth") <= n_positives)
     positives = store(positives.select("anchor", "nth", "id", "score"), "positives")
@@ -265,7 +270,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, n_positives: int
     # one task for each part, in the order that put neighbours together
     own = own.repartition(parts, "part").sortWithinPartitions("part", "label", "side", "row")
     blocks = store(own.mapInArrow(_pack(width, anchors, known), BLOCK), "asking-blocks")
-    found = _against(blocks, rows, slots).mapInArrow(_tiles(negatives_of(n_negatives, low, high), n_positives, ["anchor", "nth", "id", "score"]), "anchor long, nth long, id long, score long")
+    found = _against(blocks, rows).mapInArrow(_tiles(negatives_of(n_negatives, low, high), n_positives, ["anchor", "nth", "id", "score"]), "anchor long, nth long, id long, score long")
     ranks = Window.partitionBy("anchor", "nth").orderBy(F.col("score").desc(), "id")
     negatives = found.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= n_negatives)
     negatives = negatives.select("anchor", "nth", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))

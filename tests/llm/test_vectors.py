@@ -84,6 +84,25 @@ def test_negatives_of_huge_components_and_of_nothing(spark):
     assert hard_negatives.mine(frame(spark, [(1, [1.0], 1), (50, [1.0], 2)]), F.col("vec_id") % 50 == 0, F.col("label")).count() == 0
 
 
+def broadcast_types(df):
+    """Types of the columns that a plan sends through the driver to all executors."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("BroadcastExchange"):
+            out += [c.dataType().typeName() for c in (node.output().apply(i) for i in range(node.output().size()))]
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_no_block_of_vectors_is_broadcast(spark):
+    rows = vectors(600)
+    got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 10 == 0, F.col("label"), candidates=40, anchors=3)
+    small = spark.createDataFrame([(1, b"x")], "a long, b binary").hint("broadcast")
+    assert "binary" in broadcast_types(spark.range(3).join(small, F.col("id") == F.col("a")))
+    assert "binary" not in broadcast_types(got)
+
+
 def test_bounds_leave_rows_of_clusters_out_and_lose_none():
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 32)) * 10
